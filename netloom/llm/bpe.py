@@ -19,6 +19,7 @@ are kept unless they have the name of an output column, which then wins.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -32,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pre-tokens that one worker remembers before it starts afresh.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 #: Longer texts are cut into blocks of so many pre-tokens.
 BLOCK_TOKENS = 65_536
 BLOCK_CHARS = 1 << 20
+MASK = (1 << 64) - 1
 
 
 class PerfectHash:
@@ -73,7 +75,7 @@ class PerfectHash:
             slot = next(gaps)
             self.shift[b] = -1 - slot
             slot_key[slot] = order[starts[b]]
-        self.slot_key = slot_key
+        self.slot_key, self.shift = slot_key.tolist(), self.shift.tolist()
 
     @staticmethod
     def hashes(keys: list[bytes]) -> np.ndarray:
@@ -83,12 +85,14 @@ class PerfectHash:
         x = (h ^ (shift * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
         return ((x >> np.uint64(32)) % np.uint64(self.n)).astype(np.int64)
 
-    def find(self, keys: list[bytes]) -> np.ndarray:
-        """For each key the number of the only stored key that it may equal."""
-        h = self.hashes(keys)
-        shift = self.shift[((h >> np.uint64(33)) % np.uint64(self.buckets)).astype(np.int64)]
-        slot = np.where(shift < 0, -1 - shift, self._slots(h, np.maximum(shift, 0).astype(np.uint64)))
-        return self.slot_key[slot]
+    def find(self, key: bytes) -> int:
+        """The number of the only stored key that ``key`` may equal."""
+        h = xxhash.xxh3_64_intdigest(key)
+        shift = self.shift[(h >> 33) % self.buckets]
+        if shift < 0:
+            return self.slot_key[-1 - shift]
+        x = (h ^ (shift * 0x9E3779B97F4A7C15 & MASK)) * 0xD6E8FEB86659FD93 & MASK
+        return self.slot_key[(x >> 32) % self.n]
 
 
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
@@ -97,6 +101,21 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, filter(bytes.strip, lines))]
 
 
+class Known(dict):
+    """Ids by pre-token; what is missing is looked up in the perfect hash, then merged."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, name: str) -> tuple[int, ...]:
+        codec, piece = self.codec, name.encode()
+        k = codec.whole.find(piece)
+        ids = (codec.ids[k],) if codec.tokens[k] == piece else codec.merge(piece)
+        self[name] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder for one vocabulary of ranks and one splitting pattern."""
 
@@ -105,50 +124,53 @@ class Codec:
         self.tokens = [t for t, _ in ranks]
         self.ids = [r for _, r in ranks]
         self.rank = dict(ranks)
-        self.token = {r: t for t, r in ranks}
+        self.token = [b""] * (max(self.ids) + 1)
+        for t, r in ranks:
+            self.token[r] = t
         self.whole = PerfectHash(self.tokens)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.byte_id = [self.rank[bytes([b])] for b in range(256)]
+        self.two = [self.rank.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+        self.known = Known(self)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token: lowest-ranked adjacent pair first, leftmost among equals."""
-        n, rank = len(piece), self.rank
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-
-        def pair(i: int) -> None:
-            j = after[i]
-            if j < n:
-                end = after[j]
-                if (r := rank.get(piece[i:end])) is not None:
-                    heapq.heappush(heap, (r, i, end))
-
-        heap: list[tuple[int, int, int]] = []
-        for i in range(n - 1):
-            pair(i)
+        """Ids of one pre-token: lowest-ranked adjacent pair first, leftmost among equals.
+
+        ``after`` and ``before`` link the living parts by their first byte;
+        ``pair`` holds the rank of the pair that begins at a part, which also
+        tells whether an entry of the heap is still current.
+        """
+        n, get, two, push, pop = len(piece), self.rank.get, self.two, heapq.heappush, heapq.heappop
+        ids = list(map(self.byte_id.__getitem__, piece))
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = [two[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        pair.append(-1)
+        heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
+        heapq.heapify(heap)
         while heap:
-            _, i, end = heapq.heappop(heap)
-            if not alive[i] or (j := after[i]) >= n or after[j] != end:
-                continue  # one of the two has been merged meanwhile
-            alive[j] = False
-            after[i] = end
+            entry = pop(heap)
+            i, r = entry & 0xFFFFFFFF, entry >> 32
+            if pair[i] != r:
+                continue
+            j = after[i]
+            end = after[i] = after[j]
+            ids[i], pair[j] = r, -1
             if end < n:
                 before[end] = i
-            pair(i)
-            if before[i] >= 0:
-                pair(before[i])
+                pair[i] = r = get(piece[i : after[end]], -1)
+                if r >= 0:
+                    push(heap, r << 32 | i)
+            else:
+                pair[i] = -1
+            if (h := before[i]) >= 0:
+                pair[h] = r = get(piece[h:end], -1)
+                if r >= 0:
+                    push(heap, r << 32 | h)
         out, i = [], 0
         while i < n:
-            out.append(rank[piece[i : after[i]]])
+            out.append(ids[i])
             i = after[i]
         return tuple(out)
 
-    def learn(self, pieces: set[str]) -> None:
-        names = list(pieces)
-        if not names:
-            return
-        raw = [x.encode() for x in names]
-        for name, piece, k in zip(names, raw, self.whole.find(raw).tolist(), strict=True):
-            self.known[name] = (self.ids[k],) if self.tokens[k] == piece else self.merge(piece)
-
     def blocks(self, text: str) -> Iterator[list[str]]:
         if len(text) <= BLOCK_CHARS:
             yield self.split.findall(text)
@@ -161,10 +183,7 @@ class Codec:
         for block in self.blocks(text):
             if len(self.known) > CACHE_ENTRIES:
                 self.known.clear()
-            known = self.known
-            if missing := set(block).difference(known):
-                self.learn(missing)
-            yield list(chain.from_iterable(map(known.__getitem__, block)))
+            yield list(chain.from_iterable(map(self.known.__getitem__, block)))
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(self.encode_blocks(text or "")))
@@ -180,6 +199,7 @@ _codecs: dict[str, Codec] = {}
 def _codec(key: str, ranks: list[tuple[bytes, int]], pattern: str) -> Codec:
     if key not in _codecs:
         _codecs.clear()
+        gc.disable()  # the cache holds no cycles, and walking its entries costs more than the merges
         _codecs[key] = Codec(ranks, pattern)
     return _codecs[key]
 
@@ -235,7 +255,7 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, key_column: str = "
 
     def run(batches):
         codec = _codec(key, ranks, pattern)
-        names = {r: str(r) for r in codec.token}
+        names = list(map(str, range(len(codec.token))))
         for b in batches:
             counts, id_digests, byte_digests = [], [], []
             for t in b.column(1).to_pylist():
