@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
 
 import ahocorasick
@@ -86,22 +87,37 @@ def _tail(k: int, n: int, p: float) -> float:
     return -n * d / math.log(10)
 
 
+def _copy_keys(text: str) -> set[tuple[int, int]]:
+    """Three MinHash values of the text's runs of four words; near copies share one almost surely."""
+    words = text.split()
+    h = np.array([zlib.crc32(" ".join(words[i : i + 4]).encode()) for i in range(max(1, len(words) - 3))], np.uint64)
+    return {(k, int(((h * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min())) for k, m in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))}
+
+
 def learn_lexicon(rows: list[tuple[str, int]]) -> dict[str, float]:
     """Stem -> weight (log odds of its document frequencies)."""
-    df, n = [Counter(), Counter()], [0, 0]
+    df, n, seen = [Counter(), Counter()], [0, 0], set()
     for text, y in rows:
+        keys = _copy_keys(text)
+        if not seen.isdisjoint(keys):
+            continue  # copies would count one author's words many times
+        seen.update(keys)
         n[y] += 1
         df[y].update({w[:k] for w in set(WORD.findall(fold(text))) for k in STEMS if len(w) >= k})
     if not n[0] or not n[1]:
         return {}
     tried = [(s, a, df[0][s]) for s, a in df[1].items() if a + df[0][s] >= 3]
     needed = math.log10(0.01 / max(1, len(tried)))
-    odds = {}
+    odds, count = {}, {}
     for s, a, b in tried:
         w = math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1))
         if w >= 2.5 and _tail(a, a + b, n[1] / (n[0] + n[1])) <= needed:
-            odds[s] = w
-    # of nested stems the shorter stays, unless it is much less telling
+            odds[s], count[s] = w, a
+    # Of nested stems the shorter goes where one longer is as frequent, and the longer where the shorter is as telling.
+    for s in sorted(odds, key=len):
+        if any(count.get(x, 0) >= 0.95 * count[s] for x in odds if len(x) > len(s) and x.startswith(s)):
+            count[s] = 0
+    odds = {s: w for s, w in odds.items() if count[s]}
     return {s: w for s, w in odds.items() if not any(odds.get(s[:k], -9) >= w - 1 for k in range(STEMS.start, len(s)))}
 
 
