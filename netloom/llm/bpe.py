@@ -32,6 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.common import with_fields
+
 #: Distinct pre-tokens that one worker remembers before it starts afresh.
 CACHE_ENTRIES = 600_000
 #: Longer texts are cut into blocks of so many pre-tokens.
@@ -219,7 +221,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
     key, ranks = _loaded(vocabulary, pattern)
     rest = _kept(df, ids, "n_tokens")
     at = rest.columns.index(text)
-    schema = rest.schema.add(ids, "array<int>").add("n_tokens", "long")
+    schema = with_fields(rest, **{ids: "array<int>", "n_tokens": "long"})
 
     def run(batches):
         codec = _codec(key, ranks, pattern)
@@ -245,7 +247,7 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids",
             texts = [None if x is None else codec.decode(x).decode("utf-8", "replace") for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
-    return rest.mapInArrow(run, rest.schema.add(out, "string"))
+    return rest.mapInArrow(run, with_fields(rest, **{out: "string"}))
 
 
 def round_trip(df: DataFrame, vocabulary: str, pattern: str, key_column: str = "doc_id", text: str = "text") -> DataFrame:

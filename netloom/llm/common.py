@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bound on the labelled rows that a classifier of this subpackage is fitted on.
 LABELLED_SAMPLE = 4000
@@ -18,6 +19,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def with_fields(df: DataFrame, **types: str) -> T.StructType:
+    """The schema of ``df`` and further fields (``df.schema`` is shared, so it is not added to in place)."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in types.items())])
+
+
 def held_out(doc_id: Column) -> Column:
     """True for rows whose labels must not be learnt: crc32 of the decimal id, modulo 5, is 0."""
     return F.crc32(doc_id.cast("string")) % 5 == 0

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import held_out
+from netloom.llm.common import held_out, with_fields
 
 #: Rows of each label, at most, that the lexicon is learnt from.
 POSITIVE_ROWS, NEGATIVE_ROWS = 1500, 4500
@@ -234,7 +234,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity"
     new = [out, "toxic_hits", "toxic_weight"]
     rest = df.drop(*new)
     at = rest.columns.index(text)
-    schema = rest.schema.add(out, "double").add(new[1], "long").add(new[2], "double")
+    schema = with_fields(rest, **dict(zip(new, ("double", "long", "double"), strict=True)))
 
     def run(batches):
         matcher = model.matcher()
