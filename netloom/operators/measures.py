@@ -217,5 +217,5 @@ def edge_count_any(graph: Graph) -> DataFrame:
 def histogram(values: DataFrame, column: str, lo: int, hi: int) -> DataFrame:
     """graph_id, bin, hits: integer bins lo..hi inclusive, values outside not counted."""
     hits = values.where(F.col(column).between(lo, hi)).groupBy("graph_id", F.col(column).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("hits"))
-    bins = values.select("graph_id").distinct().select("graph_id", F.explode(F.sequence(F.lit(lo), F.lit(hi))).cast("long").alias("bin"))
+    bins = values.select("graph_id").distinct().select("graph_id", F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long"))).alias("bin"))
     return bins.join(hits, ["graph_id", "bin"], "left").select("graph_id", "bin", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))

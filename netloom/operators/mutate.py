@@ -105,11 +105,10 @@ def sw_change(edges: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame
     near = edges.select("graph_id", F.col("src").alias("i"), F.col("dst").alias("new"), F.lit(True).alias("_near"))
     status = F.when(F.col("_root").isNull(), "invalid").when(F.col("old") == F.col("new"), "nothing").when(F.col("_near") | (F.col("i") == F.col("new")), "blocked").otherwise("changed")
     judged = wanted.join(root, ["graph_id", "i", "old"], "left").join(near, ["graph_id", "i", "new"], "left").select("graph_id", "i", "old", "new", status.alias("status"))
-    moved = judged.where("status = 'changed'")
-    here = (edges["src"] == moved["i"]) & (edges["dst"] == moved["old"])
-    there = (edges["dst"] == moved["i"]) & (edges["src"] == moved["old"])
-    kept = edges.join(moved, (edges["graph_id"] == moved["graph_id"]) & (here | there), "left_anti")
-    old = edges.join(moved, (edges["graph_id"] == moved["graph_id"]) & (edges["src"] == moved["i"]) & (edges["dst"] == moved["old"])).select(edges["graph_id"], "i", "new", "orig_dst")
+    moved = judged.where("status = 'changed'").select("graph_id", "i", "old", "new")
+    gone = moved.select("graph_id", F.col("i").alias("src"), F.col("old").alias("dst")).unionByName(moved.select("graph_id", F.col("old").alias("src"), F.col("i").alias("dst")))
+    kept = edges.join(gone, KEYS, "left_anti")
+    old = edges.select("graph_id", F.col("src").alias("i"), F.col("dst").alias("old"), "orig_dst").where("orig_dst is not null").join(moved, ["graph_id", "i", "old"]).select("graph_id", "i", "new", "orig_dst")
     halves = old.select("graph_id", F.col("i").alias("src"), F.col("new").alias("dst"), "orig_dst").unionByName(
         old.select("graph_id", F.col("new").alias("src"), F.col("i").alias("dst"), F.lit(None).cast("long").alias("orig_dst"))
     )

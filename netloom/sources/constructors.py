@@ -36,7 +36,7 @@ def graph_from_iter(spark: SparkSession, items, schema: str, graph_id: int = 0)
 
 def complete_graph(spark: SparkSession, n: int, graph_id: int = 0) -> Graph:
     """K_n. Each vertex generates its own partners, so there is no join."""
-    e = spark.range(n).select(F.lit(graph_id).cast("long").alias("graph_id"), F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("dst")).where("src <> dst")
+    e = spark.range(n).select(F.lit(graph_id).cast("long").alias("graph_id"), F.col("id").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("dst")).where("src <> dst")
     return Graph(_vertices(spark, n, graph_id, None), e)
 
 
