@@ -171,7 +171,7 @@ def _fit_field(seqs, rounds: int = 120, rate: float = 0.15) -> tuple[np.ndarray,
 def fit(rows: list[tuple[str, int]]) -> Model:
     labels = [y for _, y in rows]
     prior = sum(labels) / len(labels) if labels else 0.5
-    if not 0 < prior < 1:
+    if not labels or not 0 < prior < 1:
         return Model([], (1, 1, 1, 1), (1.0, 0.0), prior)
     made = [(line_features(ls), y, [len(x) for x in ls]) for t, y in rows if (ls := lines_of(t))]
     balance = (0.5 / prior, 0.5 / (1 - prior))
