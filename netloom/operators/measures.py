@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from netloom.model import Graph
+from netloom.operators import small
 from netloom.operators.access import degrees, edge_count, vertex_count
 from netloom.operators.traverse import all_sources, bfs
 from netloom.plans.fixpoint import iterate
@@ -41,6 +42,8 @@ def labels(graph: Graph) -> DataFrame:
     Each round a vertex takes the least label among its own, its neighbours'
     and its label's label; the jump makes long paths take logarithmically many rounds.
     """
+    if small.fits(graph):
+        return small.labels(graph)
     edges = graph.topology()
     least = edges.groupBy("graph_id", F.col("src").alias("id")).agg(F.min("dst").alias("m"))
     start = graph.vertices.select("graph_id", "id").join(least, ["graph_id", "id"], "left").select("graph_id", "id", F.least("id", "m").alias("label"), F.lit(True).alias("changed"))
@@ -99,12 +102,16 @@ def q_core(graph: Graph, q: int) -> DataFrame:
     ids = graph.vertices.select("graph_id").distinct()
     if q < 2:
         return ids.withColumn("q_core", F.lit(None).cast("long"))
+    if small.fits(graph):
+        return small.q_core(graph, q)
     sizes = labels(core(graph, q)).groupBy("graph_id", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("graph_id").agg(F.max("n").alias("n"))
     return ids.join(sizes, "graph_id", "left").select("graph_id", F.coalesce("n", F.lit(0)).cast("long").alias("q_core"))
 
 
 def diameter(graph: Graph) -> DataFrame:
     """graph_id, diameter; null for a disconnected graph, whose all-source search is not run."""
+    if small.fits(graph, quadratic=True):
+        return small.diameter(graph)
     whole = materialize(is_connected(graph))
     ok = whole.where("is_connected").select("graph_id")
     part = Graph(graph.vertices.join(ok, "graph_id", "left_semi"), graph.edges.join(ok, "graph_id", "left_semi"))
@@ -165,6 +172,8 @@ def vertex_load(graph: Graph, include_endpoints: bool = False) -> DataFrame:
     One search from all sources gives the predecessor edges; the backward pass
     runs one aggregation for each level, for all sources at once.
     """
+    if small.fits(graph, quadratic=True):
+        return small.vertex_load(graph, include_endpoints)
     visits = materialize(all_sources(graph))
     deepest = visits.agg(F.max("depth")).first()[0] or 0
     edges = graph.topology()
@@ -193,6 +202,8 @@ def vertex_load(graph: Graph, include_endpoints: bool = False) -> DataFrame:
 
 def closeness_centrality(graph: Graph) -> DataFrame:
     """(V-1) over the sum of distances; unreachable vertices add nothing, isolated vertices are infinite."""
+    if small.fits(graph, quadratic=True):
+        return small.closeness(graph)
     sums = all_sources(graph).groupBy("graph_id", "id").agg(F.sum("depth").alias("s"))
     return sums.join(vertex_count(graph), "graph_id").select("graph_id", "id", F.when(F.col("s") == 0, F.lit(float("inf"))).otherwise((F.col("vertex_count") - 1) / F.when(F.col("s") != 0, F.col("s"))).alias("closeness"))
 

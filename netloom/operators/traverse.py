@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.model import Graph
+from netloom.operators import small
 from netloom.session import materialize
 
 VISIT = ["graph_id", "source", "id"]
@@ -18,6 +19,8 @@ VISIT = ["graph_id", "source", "id"]
 
 def multi_source_bfs(graph: Graph, sources: DataFrame, limit: int | None = None) -> DataFrame:
     """graph_id, source, id, depth of everything that each (graph_id, source) reaches; unknown sources give nothing."""
+    if limit is None and small.fits(graph, quadratic=True):
+        return small.from_sources(graph, sources)
     edges = graph.topology()
     known = graph.vertices.select("graph_id", F.col("id").alias("source"))
     level = materialize(sources.select("graph_id", "source").distinct().join(known, ["graph_id", "source"], "left_semi").select("graph_id", "source", F.col("source").alias("id"), F.lit(0).cast("long").alias("depth")))
@@ -34,11 +37,16 @@ def multi_source_bfs(graph: Graph, sources: DataFrame, limit: int | None = None)
 
 def bfs(graph: Graph, index: int) -> DataFrame:
     """graph_id, id, depth of the vertices reachable from one index in each graph."""
+    if small.fits(graph):
+        return small.distances(graph, index).drop("source")
     sources = graph.vertices.select("graph_id").distinct().withColumn("source", F.lit(index).cast("long"))
     return multi_source_bfs(graph, sources).drop("source")
 
 
 def all_sources(graph: Graph) -> DataFrame:
+    """graph_id, source, id, depth of every pair of a component."""
+    if small.fits(graph, quadratic=True):
+        return small.distances(graph, None)
     return multi_source_bfs(graph, graph.vertices.select("graph_id", F.col("id").alias("source")))
 
 
