@@ -40,6 +40,7 @@ def per_graph(graph: Graph, schema: str, f: Callable[..., dict[str, list]], mark
     rows = graph.vertices.select("graph_id", F.col("id").alias("src"), F.lit(None).cast("long").alias("dst")).unionByName(graph.topology().where("src < dst"))
     if marked is not None:
         rows = rows.unionByName(marked.select("graph_id", F.col("id").alias("src"), F.lit(MARK).cast("long").alias("dst")))
+    plain = marked is None  # the closure must not hold a DataFrame
     fields = [x.split() for x in schema.split(",")]
     kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
@@ -48,7 +49,7 @@ def per_graph(graph: Graph, schema: str, f: Callable[..., dict[str, list]], mark
         ids = sorted({a for a, b in pairs if b is None})
         index = {v: k for k, v in enumerate(ids)}
         g = kernels.Adjacency.of_edges(len(ids), [(index[a], index[b]) for a, b in pairs if b is not None and b != MARK])
-        out = f(g, ids) if marked is None else f(g, ids, sorted({index[a] for a, b in pairs if b == MARK and a in index}))
+        out = f(g, ids) if plain else f(g, ids, sorted({index[a] for a, b in pairs if b == MARK and a in index}))
         n = len(next(iter(out.values())))
         return pa.table({"graph_id": pa.array([key[0].as_py()] * n, pa.int64()), **{name: pa.array(out[name], kinds[kind]) for name, kind in fields}})
 
