@@ -23,6 +23,7 @@ import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain, islice
 
 import numpy as np
@@ -34,8 +35,12 @@ from pyspark.sql import functions as F
 
 from netloom.llm.common import with_fields
 
-#: Distinct pre-tokens that one worker remembers before it starts afresh.
+#: Distinct pre-tokens that one worker remembers; they are dropped by halves, the longest unused first.
 CACHE_ENTRIES = 600_000
+#: Where two workers share a core's memory (encoding and decoding in one stage).
+SMALL_CACHE = 200_000
+#: Rows that a worker holds as Python lists at once.
+ROWS = 256
 #: Longer texts are cut into blocks of so many pre-tokens.
 BLOCK_TOKENS = 65_536
 BLOCK_CHARS = 1 << 20
@@ -104,16 +109,18 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
 
 
 class Known(dict):
-    """Ids by pre-token; what is missing is looked up in the perfect hash, then merged."""
+    """Ids by pre-token, in two generations: what is missing here comes from the older one, else from the hash or a merge."""
 
-    def __init__(self, codec: Codec):
+    def __init__(self, codec: Codec, old: dict | None = None):
         super().__init__()
-        self.codec = codec
+        self.codec, self.old = codec, old or {}
 
     def __missing__(self, name: str) -> tuple[int, ...]:
-        codec, piece = self.codec, name.encode()
-        k = codec.whole.find(piece)
-        ids = (codec.ids[k],) if codec.tokens[k] == piece else codec.merge(piece)
+        ids = self.old.get(name)
+        if ids is None:
+            codec, piece = self.codec, name.encode()
+            k = codec.whole.find(piece)
+            ids = (codec.ids[k],) if codec.tokens[k] == piece else codec.merge(piece)
         self[name] = ids
         return ids
 
@@ -121,19 +128,29 @@ class Known(dict):
 class Codec:
     """Encoder and decoder for one vocabulary of ranks and one splitting pattern."""
 
-    def __init__(self, ranks: list[tuple[bytes, int]], pattern: str):
-        self.split = regex.compile(pattern)
+    def __init__(self, ranks: list[tuple[bytes, int]], pattern: str, cache: int = CACHE_ENTRIES):
+        self.split, self.generation = regex.compile(pattern), max(1, cache // 2)
         self.tokens = [t for t, _ in ranks]
         self.ids = [r for _, r in ranks]
         self.rank = dict(ranks)
         self.token = [b""] * (max(self.ids) + 1)
         for t, r in ranks:
             self.token[r] = t
-        self.whole = PerfectHash(self.tokens)
-        self.byte_id = [self.rank[bytes([b])] for b in range(256)]
-        self.two = [self.rank.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
         self.known = Known(self)
 
+    @cached_property
+    def whole(self) -> PerfectHash:
+        return PerfectHash(self.tokens)
+
+    @cached_property
+    def byte_id(self) -> list[int]:
+        return [self.rank[bytes([b])] for b in range(256)]
+
+    @cached_property
+    def two(self) -> list[int]:
+        """Ranks of all pairs of bytes, -1 where there is none."""
+        return [self.rank.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token: lowest-ranked adjacent pair first, leftmost among equals.
 
@@ -183,8 +200,9 @@ class Codec:
 
     def encode_blocks(self, text: str) -> Iterator[list[int]]:
         for block in self.blocks(text):
-            if len(self.known) > CACHE_ENTRIES:
-                self.known.clear()
+            if len(self.known) > self.generation:
+                self.known.old = {}
+                self.known = Known(self, self.known)
             yield list(chain.from_iterable(map(self.known.__getitem__, block)))
 
     def encode(self, text: str | None) -> list[int]:
@@ -198,11 +216,11 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def _codec(key: str, ranks: list[tuple[bytes, int]], pattern: str) -> Codec:
+def _codec(key: str, ranks: list[tuple[bytes, int]], pattern: str, cache: int = CACHE_ENTRIES) -> Codec:
     if key not in _codecs:
         _codecs.clear()
         gc.disable()  # the cache holds no cycles, and walking its entries costs more than the merges
-        _codecs[key] = Codec(ranks, pattern)
+        _codecs[key] = Codec(ranks, pattern, cache)
     return _codecs[key]
 
 
@@ -216,6 +234,12 @@ def _kept(df: DataFrame, *new: str) -> DataFrame:
     return df.drop(*new)
 
 
+def _slices(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """``df`` and an array<int> column of the ids of each whole text."""
     key, ranks = _loaded(vocabulary, pattern)
@@ -224,13 +248,13 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
     schema = with_fields(rest, **{ids: "array<int>", "n_tokens": "long"})
 
     def run(batches):
-        codec = _codec(key, ranks, pattern)
-        for b in batches:
-            out = [codec.encode(t) for t in b.column(at).to_pylist()]
-            flat = np.fromiter(chain.from_iterable(out), np.int32, sum(map(len, out)))
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in out], dtype=np.int64))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array([len(x) for x in out], pa.int64())], names=[*b.schema.names, ids, "n_tokens"])
+        codec = _codec(key + "e", ranks, pattern, SMALL_CACHE)
+        for b in _slices(batches):
+            out = [np.array(codec.encode(t), np.int32) for t in b.column(at).to_pylist()]
+            sizes = np.array([len(x) for x in out], np.int64)
+            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(sizes)], names=[*b.schema.names, ids, "n_tokens"])
 
     return rest.mapInArrow(run, schema)
 
@@ -242,9 +266,10 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids",
     at = rest.columns.index(ids)
 
     def run(batches):
-        codec = _codec(key, ranks, pattern)
-        for b in batches:
-            texts = [None if x is None else codec.decode(x).decode("utf-8", "replace") for x in b.column(at).to_pylist()]
+        codec = _codec(key + "d", ranks, pattern, SMALL_CACHE)
+        for b in _slices(batches):
+            lists = b.column(at)
+            texts = [codec.decode(x.values.to_numpy(zero_copy_only=False).tolist()).decode("utf-8", "replace") if x.is_valid else None for x in lists]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
     return rest.mapInArrow(run, with_fields(rest, **{out: "string"}))
@@ -258,7 +283,7 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, key_column: str = "
     def run(batches):
         codec = _codec(key, ranks, pattern)
         names = list(map(str, range(len(codec.token))))
-        for b in batches:
+        for b in _slices(batches):
             counts, id_digests, byte_digests = [], [], []
             for t in b.column(1).to_pylist():
                 n, id_hash, byte_hash = 0, hashlib.sha256(), hashlib.sha256()
