@@ -53,7 +53,7 @@ STEP = 28
 TOLERANCE = 1e-4
 #: Buckets of more members than this are joined block by block, inside tasks.
 LIGHT = 24
-BLOCK = 256
+BLOCK = 512
 CACHE_WORDS = 500_000
 
 _FOLD = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
@@ -365,14 +365,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     verified = materialize(_verify(found.select("a", "b", "set_a", "set_b")))
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    # Each member is completed once; only then is it copied to its pairs of blocks.
+    whole = heavy.join(marks, "rep").join(sk.withColumnRenamed("doc_id", "rep"), "rep").join(sets, "rep")
     dealt = (
-        heavy.withColumn("blocks", blocks)
+        whole.withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", "band", "rep", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-        .join(marks, "rep")
-        .join(sk.withColumnRenamed("doc_id", "rep"), "rep")
-        .join(sets, "rep")
+        .withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
     )
     dense = materialize(_heavy_links(dealt))
     edges = verified.select("a", "b").unionByName(dense.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
