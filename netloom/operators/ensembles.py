@@ -165,6 +165,23 @@ def ensemble(spark: SparkSession, model: str, params: dict, seed: int, samples:
     return _graph(sample_vertices(spark, n, samples), generate(samples_frame(spark, model, params, seed, samples)))
 
 
+def config_from_degrees(degrees: DataFrame, seed: int, samples: int = 1) -> Graph:
+    """A Graph of ``samples`` draws of the configuration model with the degrees of all rows (id, degree).
+
+    The rows go to the samples' tasks as a table: none is collected by the driver or left out.
+    """
+    rows = degrees.crossJoin(degrees.sparkSession.range(samples).withColumnRenamed("id", "graph_id")).select("graph_id", "id", "degree")
+
+    def run(key, t):
+        t = t.sort_by("id")
+        ids = t.column("id").to_pylist()
+        model = kernels.build("config", f"{seed}.{key[0].as_py()}", {"degrees": t.column("degree").to_pylist()})
+        e = [sorted((ids[x], ids[y])) for x, y in model.g.edges()]
+        return pa.table({"graph_id": pa.array([key[0].as_py()] * len(e), pa.int64()), "src": pa.array([x for x, _ in e], pa.int64()), "dst": pa.array([y for _, y in e], pa.int64())})
+
+    return _graph(rows.select("graph_id", "id"), rows.groupBy("graph_id").applyInArrow(run, "graph_id long, src long, dst long"))
+
+
 def simple_sample(samples: DataFrame, measures: list[str]) -> DataFrame:
     """graph_id and one double column for each named measure, measured where the sample is drawn."""
     unknown = set(measures) - set(kernels.MEASURES)

@@ -5,6 +5,7 @@ Anything here is bounded by one graph; many graphs run in parallel.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import deque
 
@@ -557,10 +558,13 @@ def valid_degrees(degrees: list[int]) -> bool:
     if n < 2 or any(d < 0 or d >= n - 1 for d in degrees) or sum(degrees) % 2:
         return False
     d = sorted(degrees, reverse=True)
-    left = 0
+    first = [0, *itertools.accumulate(d)]
+    over = n  # how many degrees are k or more
     for k in range(1, n + 1):
-        left += d[k - 1]
-        if left > k * (k - 1) + sum(min(x, k) for x in d[k:]):
+        while over and d[over - 1] < k:
+            over -= 1
+        wide = max(over, k)
+        if first[k] > k * (k - 1) + k * (wide - k) + first[n] - first[wide]:
             return False
     return True
 

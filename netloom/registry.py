@@ -596,8 +596,7 @@ def _(spark, sf_dir):
 @query("config_model", on("g_mid", f", {DEG} SELECT g.i AS graph_id, deg.id, degree FROM deg, range(3) g(i)"))
 def _(spark, sf_dir):
     g = derived(spark, sf_dir, "g_mid")
-    vector = [r["degree"] for r in access.degrees(g).orderBy("id").limit(100_000).collect()]  # one row of parameters: the model's input
-    return access.degrees(ensembles.ensemble(spark, "config", {"degrees": vector}, 42, 3)).select("graph_id", "id", "degree")
+    return access.degrees(ensembles.config_from_degrees(access.degrees(g).select("id", "degree"), 42, 3)).select("graph_id", "id", "degree")
 
 
 STEPS = {"er_c": {"n": 50, "c": 4.0}, "er_m": {"n": 50, "m": 100}, "sw": {"n": 50, "r": 0.3}, "config": {"degrees": [3] * 40}, "spatial": {"n": 50, "f": 1.5, "alpha": 2.5}}

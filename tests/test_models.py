@@ -105,3 +105,35 @@ def test_wang_landau_finds_the_binomial_shape():
         m.randomize()
     out = kernels.wang_landau(m, 4, 11, lambda g: g.m, 20_000)
     assert max(out, key=out.get) in (6, 7, 8, 9)
+
+
+def test_validity_of_a_degree_vector_against_the_inequalities():
+    import random
+
+    def plain(d):
+        n, d = len(d), sorted(d, reverse=True)
+        return n > 1 and d[0] < n - 1 and sum(d) % 2 == 0 and all(sum(d[:k]) <= k * (k - 1) + sum(min(x, k) for x in d[k:]) for k in range(1, n + 1))
+
+    r = random.Random(3)
+    seen = set()
+    for _ in range(4000):
+        n = r.randint(1, 9)
+        d = [r.randint(0, r.randint(1, 7)) for _ in range(n)]
+        assert kernels.valid_degrees(d) == plain(d), d
+        seen.add((sum(d) % 2, plain(d)))
+    assert (0, True) in seen and (0, False) in seen
+
+
+def test_config_model_keeps_every_vertex(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from netloom import registry
+    from netloom.model import Graph, symmetric
+
+    n = 100_002  # pairs, two of them linked: the degree is 1, but 2 at n - 4 and n - 2
+    v = spark.range(n).select(F.lit(0).cast("long").alias("graph_id"), "id", F.struct("id").alias("payload"))
+    pairs = spark.range(0, n, 2).select(F.lit(0).cast("long").alias("graph_id"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    more = spark.createDataFrame([(0, n - 4, n - 2)], "graph_id long, src long, dst long")
+    monkeypatch.setattr(registry, "derived", lambda *_: Graph(v, symmetric(pairs.unionByName(more))))
+    got = registry.queries()["config_model"](spark, "").groupBy("graph_id").agg(F.count("id"), F.sum("degree"), F.max(F.when(F.col("degree") == 2, F.col("id"))), F.count_if(F.col("degree") == 2)).collect()
+    assert sorted(map(tuple, got)) == [(g, n, n + 2, n - 2, 2) for g in range(3)]
