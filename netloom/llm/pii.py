@@ -6,7 +6,8 @@ propose further, possibly overlapping spans (spelled-out addresses, national
 phone numbers, card-like digit groups, addresses with a port or a single
 label). Boosted trees score every proposal from features of its format and of
 the words around it; the score is calibrated, and proposals at or above their
-kind's threshold that overlap no base span and no better proposal are added.
+kind's threshold that overlap no base span and no better proposal are added;
+of such proposals of one kind, one that lies inside another is a part of it.
 
 All work on documents is DataFrame expressions inside one projection: no
 shuffle, no Python on executors. The trees are fitted on the driver from
@@ -17,7 +18,9 @@ Matches are located without searching: the text split at a pattern and the
 pattern's matches alternate, so positions are running sums of lengths. The
 patterns are the given ones with possessive repeats and a test that a match
 does not start inside a run, which keeps the matches and makes long runs take
-linear time. Positions are code points, ends exclusive.
+linear time. Positions are code points, ends exclusive. Proposals are matches
+of a lookahead at every place where one can start, so none hides another; of
+digit groups, each beginning that ends with a group is a proposal too.
 
 Defined cases: null and empty texts have no spans; texts of any length are
 read whole; equal rows get equal results; extra columns are kept, except those
@@ -46,11 +49,15 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GENERATORS = {
-    "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++(?:@|\x20?(?:\(at\)|\[at\]|\{{at\}})\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20)[A-Za-z0-9-]++)*+",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9](?:[\x20./-]{0,2}[0-9]){11,22}+",
-    "phone": r"(?<![0-9A-Za-z+])(?:00[1-9]|\(?[0-9]{2,5}\)?[\x20./-]{1,2})[0-9][0-9\x20()./-]{4,16}[0-9](?![0-9A-Za-z])",
+    "email": rf"{_LOCAL}++(?:@|\x20?(?:\(at\)|\[at\]|\{{at\}})\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20)[A-Za-z0-9-]++)*+",
+    "ip": r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "card": r"[0-9](?:[\x20./-]{0,2}[0-9]){11,22}+",
+    "phone": r"(?:00[1-9]|\(?[0-9]{2,5}\)?[\x20./-]{1,2})[0-9][0-9\x20()./-]{4,16}[0-9](?![0-9A-Za-z])",
 }
+#: What must hold where a proposal starts; proposals start at all such places, whether or not they overlap.
+STARTS = {"email": rf"(?<!{_LOCAL})", "ip": r"(?<![0-9A-Fa-f:])", "card": r"(?<![0-9])", "phone": r"(?<![0-9A-Za-z+])"}
+#: Where proposals of digit groups may also end: a phone number before a space only, a card, which has a check digit, before any separator.
+GROUPED = {"card": r"(?<=[0-9])(?=[^0-9])", "phone": r"(?<=[0-9])(?=\x20)"}
 #: Cheap test that a text can hold a match at all.
 NEEDS = {"email": r"@|(?i)\bat\b|\(at\)|\[at\]|\{at\}", "ip": r":[0-9A-Fa-f]{1,4}:", "card": r"[0-9]", "phone": r"[0-9]"}
 CUES = {
@@ -112,6 +119,44 @@ def _located(text: Column, pattern: str, made, keep) -> Column:
     return let(F.struct(matches.alias("m"), pieces.alias("p")), fold)
 
 
+def _proposed(text: Column, kind: str, scored, keep) -> Column:
+    """Array of ``scored(start, end, before, match, after)`` that ``keep`` lets stay, of all proposals, overlapping or not.
+
+    A lookahead matches nothing by itself, so a match starts wherever one can. The fold carries the last characters
+    read, and only what is kept. The text is split behind a line feed, since a split at its very start leaves no piece.
+    """
+    pattern = rf"{STARTS[kind]}(?=({GENERATORS[kind]})((?s:.{{0,{CONTEXT}}})))"
+    matches, afters = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2))
+    pieces = F.split(F.concat(F.lit("\n"), text), pattern, -1)
+
+    def ends(m: Column) -> Column:
+        if kind not in GROUPED:
+            return F.array(m)
+        parts = F.split(m, GROUPED[kind], -1)
+        shorter = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ""))
+        return F.filter(shorter, lambda s: (s == m) | s.rlike(rf"\A(?:{GENERATORS[kind]})\z"))
+
+    def fold(arrays: Column) -> Column:
+        steps = F.transform(arrays["m"], lambda m, i: F.struct(arrays["p"][i].alias("p"), m.alias("m"), arrays["a"][i].alias("a")))
+        empty = F.filter(F.array(scored(F.lit(0), F.lit(0), F.lit(""), F.lit(""), F.lit(""))), lambda _: F.lit(False))
+        zero = F.struct(F.lit(-1).alias("pos"), F.lit("").alias("tail"), empty.alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            start, tail = acc["pos"] + F.length(x["p"]), F.right(F.concat(acc["tail"], x["p"]), F.lit(CONTEXT))
+
+            def one(m: Column) -> Column:
+                after = F.left(F.concat(F.substring(x["m"], F.length(m) + 1, F.length(x["m"])), x["a"]), F.lit(CONTEXT))
+                return scored(start, start + F.length(m), tail, m, after)
+
+            made = F.filter(F.transform(F.filter(ends(x["m"]), lambda m: F.length(m) <= 120), one), keep)
+            out = let(made, lambda new: F.when(F.size(new) > 0, F.concat(acc["out"], new)).otherwise(acc["out"]))
+            return F.struct(start.alias("pos"), tail.alias("tail"), out.alias("out"))
+
+        return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+
+    return let(F.struct(matches.alias("m"), afters.alias("a"), pieces.alias("p")), fold)
+
+
 def _span(rank: int, start: Column, end: Column, score: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), end.cast("int").alias("end"), score.alias("score"))
 
@@ -324,19 +369,23 @@ def added_spans(text: Column, base: Column) -> Column:
             bound = let(F.struct(*(v.alias(k) for k, v in x.items())), lambda row: model.column({k: row[k] for k in FEATURES}))
             return _span(rank, s, e, bound)
 
-        found = _located(text, GENERATORS[kind], made, lambda m: F.length(m) <= 120)
-        found = F.filter(found, _at_least(model.threshold))
+        found = _proposed(text, kind, made, _at_least(model.threshold))
         none = F.filter(F.array(_span(rank, F.lit(0), F.lit(0), F.lit(1.0))), lambda _: F.lit(False))
-        parts.append(F.when(text.rlike(NEEDS[kind]) & text.rlike(GENERATORS[kind]), found).otherwise(none))
+        parts.append(F.when(text.rlike(NEEDS[kind]) & text.rlike(STARTS[kind] + GENERATORS[kind]), found).otherwise(none))
 
     meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     clear = F.filter(F.concat(*parts), lambda c: ~F.exists(base, lambda b: meets(b, c)))
 
+    inside = lambda c, b: (b["rank"] == c["rank"]) & (b["start"] <= c["start"]) & (c["end"] <= b["end"]) & (b["end"] - b["start"] > c["end"] - c["start"])
+    whole = let(clear, lambda all_: F.filter(all_, lambda c: ~F.exists(all_, lambda b: inside(c, b))))
+
     def best(all_: Column) -> Column:
-        beats = lambda b, c: (b["score"] > c["score"]) | ((b["score"] == c["score"]) & (F.struct(b["start"], b["rank"]) < F.struct(c["start"], c["rank"])))
-        return F.array_sort(F.filter(all_, lambda c: ~F.exists(all_, lambda b: meets(b, c) & beats(b, c))))
+        """Best first, then the earliest and longest; each stays that meets none of those that stayed before it."""
+        ranked = F.array_sort(F.transform(all_, lambda c: F.struct((-c["score"]).alias("by"), c["start"].alias("start"), (-c["end"]).alias("back"), c["rank"].alias("rank"), c.alias("span"))))
+        none = F.filter(all_, lambda _: F.lit(False))
+        return F.array_sort(F.aggregate(ranked, none, lambda acc, c: F.when(F.exists(acc, lambda b: meets(b, c["span"])), acc).otherwise(F.concat(acc, F.array(c["span"])))))
 
-    return let(clear, best)
+    return let(whole, best)
 
 
 def _listed(spans: Column) -> Column:

@@ -57,6 +57,24 @@ def test_pii_redaction(docs):
     assert got[0] == "" and got[3] is None and got[24] == TEXTS[8]
 
 
+def test_pii_overlapping_proposals(spark):
+    texts = [
+        "reach me at jane at example dot com", "contact us at bob (at) example (dot) org today", "mail me at jane [at] example [dot] net", "jane at example dot com is my mail",
+        "credit card 12 4111.1111.1111.1111 pay", "credit card 4111.1111.1111.1111 12/27 pay", "🙂 mail 🙂 me at jane at example dot com",
+        "mail carl at work at jane at example dot com or mail bob at acme dot org",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert got[0] == "reach me at [EMAIL]"
+    assert got[1] == "contact us at [EMAIL] today"
+    assert got[2] == "mail me at [EMAIL]"
+    assert got[3] == "[EMAIL] is my mail"
+    assert got[4] == "credit card 12 [CARD] pay"
+    assert got[5] == "credit card [CARD] 12/27 pay"
+    assert got[6] == "🙂 mail 🙂 me at [EMAIL]"
+    assert got[7] == "mail carl at work at [EMAIL] or mail [EMAIL]"
+
+
 def test_pii_empty_table(docs):
     assert pii.digest(docs.limit(0)).count() == 0
 
