@@ -2,9 +2,9 @@
 
 Base rules find e-mail addresses, IPv4 addresses, payment cards and
 international phone numbers; their spans always stay. High-recall generators
-propose further, possibly overlapping spans (spelled-out addresses, national
-phone numbers, card-like digit groups, addresses with a port or a single
-label). Boosted trees score every proposal from features of its format and of
+propose further, possibly overlapping spans (addresses that are spelled out, in
+any case of letters, or have a single label, IPv6 addresses in full or with a
+``::``, national phone numbers, card-like digit groups). Boosted trees score every proposal from features of its format and of
 the words around it; the score is calibrated, and proposals at or above their
 kind's threshold that overlap no base span and no better proposal are added;
 of such proposals of one kind, one that lies inside another is a part of it.
@@ -48,9 +48,12 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: " At " behind a full stop begins a sentence, so that form is proposed in lower case only.
+_HEX = "[0-9A-Fa-f]{1,4}"
+_SHORT_IP = "|".join([rf"::{_HEX}(?::{_HEX}){{0,6}}", *(rf"(?:{_HEX}:){{{i}}}:(?:{_HEX}(?::{_HEX}){{0,{6 - i}}})?" for i in range(1, 7)), rf"(?:{_HEX}:){{7}}:"])
 GENERATORS = {
-    "email": rf"{_LOCAL}++(?:@|\x20?(?:\(at\)|\[at\]|\{{at\}})\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20)[A-Za-z0-9-]++)*+",
-    "ip": r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "email": rf"{_LOCAL}++(?:@|(?i:\x20?(?:\(at\)|\[at\]|\{{at\}})\x20?)|\x20at\x20|(?<!\.)(?i:\x20at\x20))[A-Za-z0-9-]++(?:(?:\.|(?i:\x20?(?:\(dot\)|\[dot\]|\{{dot\}})\x20?|\x20dot\x20))[A-Za-z0-9-]++)*+",
+    "ip": rf"(?:(?:{_HEX}:){{7}}{_HEX}(?![0-9A-Fa-f:])|(?<![0-9A-Za-z])(?:{_SHORT_IP})(?![0-9A-Za-z:]))",
     "card": r"[0-9](?:[\x20./-]{0,2}[0-9]){11,22}+",
     "phone": r"(?:00[1-9]|\(?[0-9]{2,5}\)?[\x20./-]{1,2})[0-9][0-9\x20()./-]{4,16}[0-9](?![0-9A-Za-z])",
 }
@@ -59,7 +62,7 @@ STARTS = {"email": rf"(?<!{_LOCAL})", "ip": r"(?<![0-9A-Fa-f:])", "card": r"(?<!
 #: Where proposals of digit groups may also end: a phone number before a space only, a card, which has a check digit, before any separator.
 GROUPED = {"card": r"(?<=[0-9])(?=[^0-9])", "phone": r"(?<=[0-9])(?=\x20)"}
 #: Cheap test that a text can hold a match at all.
-NEEDS = {"email": r"@|(?i)\bat\b|\(at\)|\[at\]|\{at\}", "ip": r":[0-9A-Fa-f]{1,4}:", "card": r"[0-9]", "phone": r"[0-9]"}
+NEEDS = {"email": r"@|(?i)\bat\b|\(at\)|\[at\]|\{at\}", "ip": r":[0-9A-Fa-f]{0,4}:", "card": r"[0-9]", "phone": r"[0-9]"}
 CUES = {
     "email": r"(?i)(mail|contact|write|reach)",
     "ip": r"(?i)(\bip\b|host|server|addr|login)",
@@ -148,7 +151,7 @@ def _proposed(text: Column, kind: str, scored, keep) -> Column:
                 after = F.left(F.concat(F.substring(x["m"], F.length(m) + 1, F.length(x["m"])), x["a"]), F.lit(CONTEXT))
                 return scored(start, start + F.length(m), tail, m, after)
 
-            made = F.filter(F.transform(F.filter(ends(x["m"]), lambda m: F.length(m) <= 120), one), keep)
+            made = F.filter(F.transform(ends(x["m"]), one), keep)
             out = let(made, lambda new: F.when(F.size(new) > 0, F.concat(acc["out"], new)).otherwise(acc["out"]))
             return F.struct(start.alias("pos"), tail.alias("tail"), out.alias("out"))
 
@@ -182,10 +185,10 @@ def features(kind: str, before: Column, m: Column, after: Column) -> dict[str, C
         "luhn": F.when(F.length(d).between(12, 23), luhn(d)).otherwise(False).cast("int"),
         "cue": near.rlike(CUES[kind]).cast("int"),
         "against": F.right(before, F.lit(CONTEXT)).rlike(AGAINST).cast("int"),
-        "spelled": m.rlike(r"[(\[{]|\x20(at|dot)\x20").cast("int"),
+        "spelled": m.rlike(r"(?i)[(\[{]|\x20(at|dot)\x20").cast("int"),
         "parens": m.rlike(r"\([0-9]{2,5}\)").cast("int"),
         "year": m.rlike(r"(^|[^0-9])(19|20)[0-9]{2}([^0-9]|$)").cast("int"),
-        "dots": F.length(F.regexp_replace(m, r"[^.]", "")) + F.when(m.rlike(r"[(\[]dot[)\]]|\x20dot\x20"), 1).otherwise(0),
+        "dots": F.length(F.regexp_replace(m, r"[^.]", "")) + F.when(m.rlike(r"(?i)[(\[{]dot[)\]}]|\x20dot\x20"), 1).otherwise(0),
         "labels": F.size(F.split(m, r"[\x20./-]+")),
     }
     return {k: v.cast("double") for k, v in made.items()}
@@ -208,10 +211,10 @@ def features_of(kind: str, before: str, m: str, after: str) -> list[float]:
         "luhn": 12 <= len(d) <= 23 and total % 10 == 0,
         "cue": bool(re.search(py(CUES[kind]), near)),
         "against": bool(re.search(AGAINST, before[-CONTEXT:])),
-        "spelled": bool(re.search(r"[(\[{]| (at|dot) ", m)),
+        "spelled": bool(re.search(r"(?i)[(\[{]| (at|dot) ", m)),
         "parens": bool(re.search(r"\([0-9]{2,5}\)", m)),
         "year": bool(re.search(r"(^|[^0-9])(19|20)[0-9]{2}([^0-9]|$)", m)),
-        "dots": m.count(".") + bool(re.search(r"[(\[]dot[)\]]| dot ", m)),
+        "dots": m.count(".") + bool(re.search(r"(?i)[(\[{]dot[)\]}]| dot ", m)),
         "labels": len(re.split(r"[ ./-]+", m)),
     }
     return [float(made[k]) for k in FEATURES]
@@ -318,6 +321,10 @@ def training_rows(kind: str, n: int = TRAINING_ROWS // len(KINDS), seed: int = 7
         elif kind == "ip":
             groups = [f"{v:x}" for v in r.integers(0, 65536, 8)]
             m = ":".join(groups if y else [num(2) for _ in range(8)])
+            if r.random() < 0.5:
+                word16 = lambda: "".join(pick(*"abcdef") for _ in range(r.integers(1, 5)))
+                last = [*groups[5 + r.integers(0, 3) : 7], pick(f"{r.integers(1, 256):x}", groups[7])]
+                m = f"{':'.join(groups[: r.integers(1, 5)])}::{':'.join(last)}" if y else pick(f"{word16()}::{word16()}", f"{word16()}::", f"::{word16()}", f"{num(2)}::{num(2)}", f"::{num(1)}")
             if r.random() < (0.5 if y else 0.05):
                 fore = f"{pick('ip', 'host', 'server', 'addr')} "
         elif kind == "card":

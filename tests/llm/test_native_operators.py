@@ -75,6 +75,20 @@ def test_pii_overlapping_proposals(spark):
     assert got[7] == "mail carl at work at [EMAIL] or mail [EMAIL]"
 
 
+def test_pii_wider_proposals(spark):
+    long = "x" * 150
+    texts = [
+        "mail JANE (AT) EXAMPLE (DOT) COM now", "mail Jane AT Example DOT Com now", "mail jane {at} example {dot} com now", "server ip 2001:db8::8a2e:370:7334 is up",
+        "host fe80:12ab::42 is up", f"mail {long} (at) example (dot) com now", "use std::vector and a::b or bad::cafe, at 12::30", "ip 2001:db8:1:2:3:4:5:6:7::1 no",
+        "it rained heavily. At noon it stopped",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert [got[k] for k in (0, 1, 2, 5)] == ["mail [EMAIL] now"] * 4
+    assert got[3] == "server ip [IP] is up" and got[4] == "host [IP] is up"
+    assert got[6] == texts[6] and got[7] == texts[7] and got[8] == texts[8]
+
+
 def test_pii_empty_table(docs):
     assert pii.digest(docs.limit(0)).count() == 0
 
