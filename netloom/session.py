@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,11 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session (tests, benchmarks) gets a temporary
+    folder; a cluster has no folder that all machines see, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="netloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
+        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
     return folder.rstrip("/")
 
 
@@ -40,9 +49,37 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back.
 
     Unlike a local checkpoint the copy outlives executors, and unlike an RDD
-    checkpoint it is columnar, so that later reads prune columns.
+    checkpoint it is columnar, so that later reads prune columns. ``discard``
+    deletes the copy; what is left goes when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/netloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    copy._netloom_path = path
+    _left[path] = spark
+    return copy
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the copies behind frames of ``materialize``; nothing that is still to be read may depend on them."""
+    for df in frames:
+        if path := getattr(df, "_netloom_path", None):
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _left.pop(path, None)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Copies that nothing has deleted yet.
+_left: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _tidy() -> None:
+    for path, spark in list(_left.items()):
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
