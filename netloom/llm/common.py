@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +47,36 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int = L
     return [(r["text"], r["y"]) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(limit).collect()]
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from netloom.session import table
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` has none of (compared as Spark does, whatever the case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-    return table(spark, sf_dir, "documents")
+
+#: Rows of one key from which a join deals them to several tasks, and how many keys can be dealt.
+HOT_ROWS, HOT_KEYS = 10_000, 1_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, salt_by: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` (one row a key) on ``key``, also where a few keys hold most rows.
+
+    ``counts`` (key, n) says how many rows of ``many`` a key has. The ``HOT_KEYS``
+    keys of most rows, of those with more than ``HOT_ROWS``, are dealt by a hash
+    of ``salt_by``, and their rows of ``one`` are copied to each part. The list of
+    them has at most ``HOT_KEYS`` rows, so it is broadcast; a key beyond the list
+    holds less than one row in ``HOT_KEYS``.
+    """
+    hot = counts.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), key).limit(HOT_KEYS)
+    rows = [(r[key], -(-r["n"] // HOT_ROWS)) for r in hot.select(key, "n").collect()]
+    if not rows:
+        return many.join(one, key, how)
+    parts = many.sparkSession.createDataFrame(rows, T.StructType([T.StructField(key, many.schema[key].dataType), T.StructField("_parts", T.LongType())]))
+    dealt = many.join(F.broadcast(parts), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("_parts")), F.lit(0))).drop("_parts")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
+    copied = one.join(F.broadcast(parts), key, "left").withColumn("_salt", copies).drop("_parts")
+    return dealt.join(copied, [key, "_salt"], how).drop("_salt")

@@ -1,40 +1,51 @@
 """N-gram Jaccard self-join with Bayesian candidate pruning.
 
-Documents are sets of 5-word shingles (lower case, punctuation dropped) and
-two of them are linked when the Jaccard similarity of their sets is at least
-0.8. The join runs in these steps.
+Documents are sets of 5-word shingles (lower case, letters and digits) and two
+of them are linked when the Jaccard similarity of their sets is at least 0.8.
+The join runs in these steps.
 
 1. One pass over the texts gives each document a digest of its shingle set and
-   a MinHash sketch (one permutation, 168 bins, empty bins filled from a
-   random other bin). Documents with equal sets form a class; the smallest
-   doc_id represents it, so that copies never meet each other in a join.
-2. The sketches of the representatives are cut into 28 bands of 6 values; a
-   pair at 0.8 shares a band with probability 0.9998. Buckets of up to
-   ``LIGHT`` members give pairs by an equi-join, each pair once.
-3. A larger bucket is cut into blocks, and each pair of blocks is one task
-   group: rows are copied once per block, not once per partner, and no pair
-   leaves the group, only link counts and a spanning forest of the links. A
-   pair is counted in its first such bucket, and not at all there if a light
-   bucket already has it.
-4. Pruning compares sketches 28 values at a time. With a uniform prior the
-   posterior of the similarity is a Beta distribution; a pair is dropped as
-   soon as the posterior probability of 0.8 or more is under ``TOLERANCE``.
-   Sets of fewer than twice as many shingles as bins repeat values in their
-   sketches, which the posterior doesn't allow for: they skip the pruning.
-5. What is left is verified exactly on the shingle sets.
+   a MinHash sketch (one permutation, 165 bins, empty bins filled from a
+   random other bin). Documents with equal sets form a class, so that copies
+   never meet each other in a join.
+2. The sketches of the classes are cut into 33 bands of 5 values; a pair at
+   exactly 0.8 shares no band with probability 2e-6. Buckets of up to ``LIGHT``
+   members give pairs by an equi-join, each pair once.
+3. Pruning compares sketches 33 bins at a time. A bin that is filled in either
+   set is evidence, and matches with a probability equal to the similarity;
+   bins that are empty in both tell nothing and don't count, so that one rule
+   holds for sets of every size. With a uniform prior the posterior of the
+   similarity is a Beta distribution; a pair is dropped as soon as the
+   posterior probability of 0.8 or more is under ``TOLERANCE``.
+4. What is left is verified exactly on the shingle sets, in whole numbers.
+5. In a larger bucket every member is first compared with one pivot, the
+   member that shares most large buckets. Members at 0.9 or more to a pivot
+   form its family. Jaccard distance is a metric, so all of a family are
+   linked to each other: counted by the family's size, never compared.
+   Only pairs across families and outside them are left; the bucket is cut
+   into blocks, a large family has blocks of its own, blocks of one family
+   don't meet, and each other pair of blocks is one task group. No pair leaves
+   a group, only link counts and a spanning forest. A pair counts in its first
+   large bucket, and not there if a small bucket already has it.
 6. Groups are the connected components of the links: labels spread to
    neighbours with pointer jumping, over tables in the shared folder.
 
+Joins on keys that may hold a large share of all rows (classes of copies, large
+buckets, hubs, labels) deal the rows of hot keys to many tasks.
+
 Defined cases: null and empty texts, and texts without any word, have the
 empty set; they are equal to each other and to nothing else. Texts of fewer
-than five words have one shingle, all their words. Rows with a null doc_id are
-left out. A doc_id that occurs twice is one document per distinct text, with
-the same doc_id. Extra columns don't matter.
+than five words have one shingle, all their words. Rows, not ids, are joined:
+a null or repeated doc_id is a document like any other, ids only name classes
+and groups (null if all ids of one are null). Texts of any length are read
+whole. Extra columns, whatever their names, don't matter to ``join`` and are
+kept by ``deduplicate``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from math import comb
 
 import numpy as np
@@ -43,20 +54,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.session import materialize
+from netloom.llm.common import fresh, spread_join
+from netloom.session import discard, materialize
 
 WORDS = 5
-THRESHOLD = 0.8
-BANDS, ROWS = 28, 6
+#: Similarity from which documents are linked, and that of a family's members to its pivot, in whole numbers.
+LINKED, TIGHT = (4, 5), (9, 10)
+THRESHOLD = LINKED[0] / LINKED[1]
+BANDS, ROWS = 33, 5
 BINS = BANDS * ROWS
-STEP = 28
-TOLERANCE = 1e-4
+STEP = 33
+TOLERANCE = 1e-6
 #: Buckets of more members than this are joined block by block, inside tasks.
 LIGHT = 24
-BLOCK = 512
+#: Members and bytes of shingles of a block, at most; small buckets are cut into up to 8 blocks of a few members at least.
+BLOCK, BLOCK_BYTES, FEW = 2048, 16 << 20, 192
 CACHE_WORDS = 500_000
+#: Pairs compared at once inside a task.
+PAIRS = 1 << 14
 
 _FOLD = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
+_MARKS = re.compile(r"[^\w\x00-\x7f]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _RANK = np.argsort(np.random.default_rng(168).random((BINS, BINS)), axis=1).astype(np.int32)
 _EDGES = np.array([((i << 64) // BINS) for i in range(BINS)], dtype=np.uint64)
@@ -73,7 +91,10 @@ class _WordHash(dict):
 def shingles(text: str | None, cache: dict | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of five words."""
     cache = _WordHash() if cache is None else cache
-    words = (text or "").lower().encode("utf-8", "replace").translate(_FOLD).split()
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _MARKS.sub(" ", text)
+    words = text.encode("utf-8", "replace").translate(_FOLD).split()
     if not words:
         return np.empty(0, np.uint64)
     w = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
@@ -87,28 +108,27 @@ def shingles(text: str | None, cache: dict | None = None) -> np.ndarray:
     return np.unique(h)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """One value a bin: the least hash in it; an empty bin takes that of the filled bin it ranks first."""
-    if not len(s):
-        return np.zeros(BINS, np.uint32)
-    first = np.searchsorted(s, _EDGES)
-    filled = first < np.append(first[1:], len(s))
-    out = np.zeros(BINS, np.uint32)
-    out[filled] = (s[first[filled]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    if not filled.all():
-        donors, empty = np.flatnonzero(filled), np.flatnonzero(~filled)
-        out[empty] = out[donors[_RANK[empty][:, donors].argmin(1)]]
-    return out
+def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, filled): the least hash of each bin, an empty bin's from the filled bin it ranks first; which bins are filled."""
+    out, filled = np.zeros(BINS, np.uint32), np.zeros(BINS, bool)
+    if len(s):
+        first = np.searchsorted(s, _EDGES)
+        filled = first < np.append(first[1:], len(s))
+        out[filled] = (s[first[filled]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        if not filled.all():
+            donors, empty = np.flatnonzero(filled), np.flatnonzero(~filled)
+            out[empty] = out[donors[_RANK[empty][:, donors].argmin(1)]]
+    return out, filled
 
 
-def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> dict[int, int]:
-    """For each number of compared values the least matches with which a pair stays.
+def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> np.ndarray:
+    """For each number of bins with evidence, the least matches with which a pair stays.
 
     With a uniform prior, m matches of n make the similarity Beta(m+1, n-m+1),
     and P(S >= t) is the probability of at most m successes in n+1 draws at t.
     """
-    out = {}
-    for n in range(STEP, BINS + 1, STEP):
+    out = np.zeros(BINS + 1, np.int32)
+    for n in range(1, BINS + 1):
         tail, m = 0.0, -1
         while tail < tolerance:
             m += 1
@@ -120,81 +140,100 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
 _LEAST = least_matches()
 
 
-def survivors(a: np.ndarray, b: np.ndarray, exact: np.ndarray) -> np.ndarray:
-    """Which rows of two aligned sketch matrices outlast the pruning; rows marked exact always do."""
+def survivors(a: np.ndarray, fill_a: np.ndarray, b: np.ndarray, fill_b: np.ndarray) -> np.ndarray:
+    """Which rows of two aligned sketch matrices (values, filled) outlast the pruning."""
     live = np.arange(len(a))
-    seen = np.zeros(len(a), np.int32)
-    for n, least in _LEAST.items():
-        cols = slice(n - STEP, n)
-        seen[live] += (a[live, cols] == b[live, cols]).sum(1, dtype=np.int32)
-        live = live[(seen[live] >= least) | exact[live]]
+    seen, same = np.zeros(len(a), np.int32), np.zeros(len(a), np.int32)
+    for n in range(0, BINS, STEP):
+        cols = slice(n, n + STEP)
+        fa, fb = fill_a[live, cols], fill_b[live, cols]
+        seen[live] += (fa | fb).sum(1, dtype=np.int32)
+        same[live] += (fa & fb & (a[live, cols] == b[live, cols])).sum(1, dtype=np.int32)
+        live = live[same[live] >= _LEAST[seen[live]]]
     return live
 
 
+def _row_key():
+    """A hash that names a row by id and text; what it selects is checked again by the set's digest."""
+    return F.xxhash64(F.col("doc_id").cast("string"), F.coalesce(F.col("text"), F.lit("")))
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row_key"), "text")
 
     def run(batches):
         cache = _WordHash()
         for b in batches:
-            sets = [shingles(t, cache) for t in b.column(1).to_pylist()]
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            sigs = [sketch(s).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary())], names=["doc_id", "set_key", "n", "sketch"])
+            sets = [shingles(t, cache) for t in b.column(2).to_pylist()]
+            made = [sketch(s) for s in sets]
+            cols = [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
+            cols += [pa.array([v.tobytes() for v, _ in made], pa.binary()), pa.array([np.packbits(f).tobytes() for _, f in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "row_key", "set_key", "n", "sketch", "filled"])
 
-    return source.mapInArrow(run, "doc_id long, set_key binary, n int, sketch binary")
+    return source.mapInArrow(run, "doc_id long, row_key long, set_key binary, n int, sketch binary, filled binary")
 
 
-def _shingle_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, set_key, sets) for the representatives that verification asks for; the others' texts are dropped early."""
-    source = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep", "left_semi")
+def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, shingles) of the classes in ``wanted`` (cid, row_key, set_key); the other texts are dropped before they are read again."""
+    source = docs.select(_row_key().alias("row_key"), "text").join(wanted.select("row_key").distinct(), "row_key", "left_semi")
 
     def run(batches):
         cache = _WordHash()
         for b in batches:
-            sets = [shingles(t, cache).tobytes() for t in b.column(1).to_pylist()]
-            keys = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["rep", "set_key", "shingles"])
+            sets = [shingles(t, cache) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "shingles"])
 
-    return source.mapInArrow(run, "rep long, set_key binary, shingles binary").dropDuplicates(["rep", "set_key"])
+    found = source.mapInArrow(run, "set_key binary, shingles binary").dropDuplicates(["set_key"])
+    return found.join(wanted.select("cid", "set_key"), "set_key").select("cid", "shingles")
 
 
 def _matrix(column, dtype, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
-def _prune(pairs: DataFrame) -> DataFrame:
+def _filled(column) -> np.ndarray:
+    return np.unpackbits(_matrix(column, np.uint8, -(-BINS // 8)), axis=1)[:, :BINS].astype(bool)
+
+
+def _prune(pairs: DataFrame, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns of the pairs (sketch_a, filled_a, sketch_b, filled_b) that outlast the pruning."""
+
     def run(batches):
         for b in batches:
             if b.num_rows:
-                at = {n: i for i, n in enumerate(b.schema.names)}
-                a, c = _matrix(b.column(at["sketch_a"]), np.uint32, BINS), _matrix(b.column(at["sketch_b"]), np.uint32, BINS)
-                n = np.minimum(b.column(at["n_a"]).to_numpy(), b.column(at["n_b"]).to_numpy())
-                keep = survivors(a, c, n < 2 * BINS)
-                yield pa.RecordBatch.from_arrays([b.column(at["a"]).take(pa.array(keep)), b.column(at["b"]).take(pa.array(keep))], names=["a", "b"])
+                col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+                live = pa.array(survivors(*(x for s in "ab" for x in (_matrix(col[f"sketch_{s}"], np.uint32, BINS), _filled(col[f"filled_{s}"])))))
+                yield pa.RecordBatch.from_arrays([col[c].take(live) for c in keep], names=keep)
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, pairs.select(*keep).schema)
 
 
-def _overlap(a: bytes, b: bytes) -> float:
+def _shared(a: bytes, b: bytes) -> tuple[int, int]:
+    """Sizes of the intersection and the union."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if len(x) > len(y):
         x, y = y, x
-    if len(x) < THRESHOLD * len(y):
-        return 0.0
     at = np.searchsorted(y, x)
     both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-    return both / (len(x) + len(y) - both)
+    return both, len(x) + len(y) - both
+
 
+def _verify(pairs: DataFrame, keep: list[str]) -> DataFrame:
+    """The pairs (set_a, set_b) that are linked, and whether they are tight."""
 
-def _verify(pairs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            sim = [_overlap(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim, pa.float64())], names=["a", "b", "jaccard"])
-            yield out.filter(pa.array([s >= THRESHOLD for s in sim], pa.bool_()))
+            col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+            sizes = np.array([_shared(x, y) for x, y in zip(col["set_a"].to_pylist(), col["set_b"].to_pylist(), strict=True)], np.int64).reshape(-1, 2)
+            tight = TIGHT[1] * sizes[:, 0] >= TIGHT[0] * sizes[:, 1]
+            out = pa.RecordBatch.from_arrays([*(col[c] for c in keep), pa.array(tight)], names=[*keep, "tight"])
+            yield out.filter(pa.array(LINKED[1] * sizes[:, 0] >= LINKED[0] * sizes[:, 1]))
 
-    return pairs.mapInArrow(run, "a long, b long, jaccard double")
+    return pairs.mapInArrow(run, ", ".join([*(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in keep), "tight boolean"]))
 
 
 def _dense_overlap(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
@@ -219,43 +258,49 @@ def _dense_overlap(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.nda
     return out
 
 
-def block_links(band: int, reps_a, sk_a, heavy_a, sets_a, reps_b, sk_b, sets_b, same: bool):
-    """Links between two blocks of one heavy bucket: (index in a, index in b) arrays.
+class Block:
+    """One side of a task group: columns of its members as arrays."""
 
-    A pair counts here if this is the first heavy bucket that it shares and it
-    shares no light one. ``heavy_a``: bit j says that band j's bucket is heavy.
+    def __init__(self, t: pa.Table):
+        self.cid, self.family, self.heavy = (t.column(c).to_numpy() for c in ("cid", "family", "heavy"))
+        self.sketch, self.filled = _matrix(t.column("sketch"), np.uint32, BINS), _filled(t.column("filled"))
+        self.sets = [np.frombuffer(v, np.uint64) for v in t.column("shingles").to_pylist()]
+        self.size = np.array([len(s) for s in self.sets], np.int64)
+
+
+def block_links(band: int, a: Block, b: Block, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two blocks of one large bucket: (index in a, index in b) arrays.
+
+    A pair counts here if it is of no common family, shares no small bucket,
+    and this is the first large bucket that it shares. ``heavy``: bit j says
+    that band j's bucket is large. A family is -1 if there is none.
     """
-    na, nb = len(reps_a), len(reps_b)
-    i, j = (x.ravel() for x in np.indices((na, nb)))
-    if same:
-        keep = i < j
+    na, nb = len(a.cid), len(b.cid)
+    found = []
+    rows = max(1, PAIRS // nb)
+    for lo in range(0, na, rows):
+        i, j = (x.ravel() for x in np.indices((min(rows, na - lo), nb)))
+        i = i + lo
+        keep = (a.family[i] != b.family[j]) | (a.family[i] < 0)
+        if same:
+            keep &= i < j
         i, j = i[keep], j[keep]
-    for k in range(BANDS):  # other shared buckets
-        if k == band or not len(i):
-            continue
-        cols = slice(k * ROWS, (k + 1) * ROWS)
-        shared = np.ones(len(i), bool)
-        for c in range(cols.start, cols.stop):
-            at = np.flatnonzero(shared)
-            shared[at] = sk_a[i[at], c] == sk_b[j[at], c]
-        is_heavy = (heavy_a[i] >> k) & 1 == 1
-        drop = shared & (~is_heavy | (k < band))
-        i, j = i[~drop], j[~drop]
-    size_a, size_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
-    if len(i):
-        n, big = np.minimum(size_a[i], size_b[j]), np.maximum(size_a[i], size_b[j])
-        keep = n >= THRESHOLD * big
+        keep = LINKED[1] * np.minimum(a.size[i], b.size[j]) >= LINKED[0] * np.maximum(a.size[i], b.size[j])
         i, j = i[keep], j[keep]
-        out = []
-        for lo in range(0, len(i), 16384):
-            p, q = i[lo : lo + 16384], j[lo : lo + 16384]
-            live = survivors(sk_a[p], sk_b[q], np.minimum(size_a[p], size_b[q]) < 2 * BINS)
-            out.append(np.stack((p[live], q[live])))
-        i, j = np.concatenate(out, 1) if out else (i, j)
+        live = survivors(a.sketch[i], a.filled[i], b.sketch[j], b.filled[j])
+        i, j = i[live], j[live]
+        for k in range(BANDS):  # other shared buckets
+            if k == band or not len(i):
+                continue
+            shared = (a.sketch[i, k * ROWS : (k + 1) * ROWS] == b.sketch[j, k * ROWS : (k + 1) * ROWS]).all(1)
+            drop = shared & ((a.heavy[i] >> k & 1 == 0) | (k < band))
+            i, j = i[~drop], j[~drop]
+        found.append(np.stack((i, j)))
+    i, j = np.concatenate(found, 1)
     if len(i):
         rows, cols = np.unique(i), np.unique(j)
-        both = _dense_overlap([sets_a[r] for r in rows], [sets_b[c] for c in cols])[np.searchsorted(rows, i), np.searchsorted(cols, j)]
-        keep = both / (size_a[i] + size_b[j] - both) >= THRESHOLD - 1e-9
+        both = _dense_overlap([a.sets[r] for r in rows], [b.sets[c] for c in cols])[np.searchsorted(rows, i), np.searchsorted(cols, j)].astype(np.int64)
+        keep = LINKED[1] * both >= LINKED[0] * (a.size[i] + b.size[j] - both)
         i, j = i[keep], j[keep]
     return i, j
 
@@ -277,32 +322,61 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(find(x), x) for x in root if find(x) != x]
 
 
-def _heavy_links(heavy: DataFrame) -> DataFrame:
-    """(rep, links) rows with links > 0, and (rep, other) rows of the forest, from the blocks of heavy buckets."""
+def _heavy_links(dealt: DataFrame) -> DataFrame:
+    """(cid, links) rows with links > 0, and (cid, other) rows of the forest, from pairs of blocks (bucket, x, y)."""
 
     def run(key, t):
         _, x, y = (k.as_py() for k in key[:3])
         band = t.column("band")[0].as_py()
-        t = t.sort_by([("rep", "ascending"), ("set_key", "ascending")])
+        t = t.sort_by("cid")
         block = t.column("block").to_numpy()
-        sides = [t.filter(pa.array(block == v)) for v in ((x, y) if x != y else (x,))]
-        out_rep, out_links, out_other = [], [], []
-        if all(s.num_rows for s in sides):
-            parts = [(s.column("rep").to_numpy(), _matrix(s.column("sketch"), np.uint32, BINS), s.column("heavy").to_numpy(), [np.frombuffer(v, np.uint64) for v in s.column("shingles").to_pylist()]) for s in sides]
-            (ra, ka, ha, sa), (rb, kb, _, sb) = parts[0], parts[-1]
-            i, j = block_links(band, ra, ka, ha, sa, rb, kb, sb, x == y)
-            for reps, at in ((ra, i), (rb, j)):
+        sides = [Block(t.filter(pa.array(block == v))) for v in ((x, y) if x != y else (x,))]
+        out_cid, out_links, out_other = [], [], []
+        if all(len(s.cid) for s in sides):
+            a, b = sides[0], sides[-1]
+            i, j = block_links(band, a, b, x == y)
+            for side, at in ((a, i), (b, j)):
                 which, count = np.unique(at, return_counts=True)
-                out_rep += reps[which].tolist()
+                out_cid += side.cid[which].tolist()
                 out_links += count.tolist()
                 out_other += [None] * len(which)
-            for p, q in _forest(ra[i], rb[j]):
-                out_rep.append(p)
+            for p, q in _forest(a.cid[i], b.cid[j]):
+                out_cid.append(p)
                 out_links.append(0)
                 out_other.append(q)
-        return pa.table({"rep": pa.array(out_rep, pa.int64()), "links": pa.array(out_links, pa.int64()), "other": pa.array(out_other, pa.int64())})
+        return pa.table({"cid": pa.array(out_cid, pa.int64()), "links": pa.array(out_links, pa.int64()), "other": pa.array(out_other, pa.int64())})
 
-    return heavy.groupBy("bucket", "x", "y").applyInArrow(run, "rep long, links long, other long")
+    return dealt.groupBy("bucket", "x", "y").applyInArrow(run, "cid long, links long, other long")
+
+
+def _count_blocks(members, shingles):
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles * 8 / BLOCK_BYTES), F.least(F.lit(8), F.ceil(members / FEW))).cast("long")
+
+
+def _blocks(heavy: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks of each large bucket, and which of them meet.
+
+    heavy: bucket, cid, family (-1: none), n; sizes: bucket, n. Returns (bucket, cid,
+    block) of every member, and (bucket, block, pairs): an array of the (x, y) that a
+    block takes part in, as long as the bucket has other blocks. A family large
+    enough for blocks of its own is a part of the bucket; all others are one part.
+    """
+    of = heavy.withColumn("of", F.struct("bucket", "family"))
+    count = of.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles"))
+    large = (F.col("of.family") >= 0) & (F.col("n") >= FEW)
+    own = materialize(count.where(large).withColumn("own_blocks", _count_blocks(F.col("n"), F.col("shingles"))))
+    rest = count.where(~large).groupBy(F.col("of.bucket").alias("bucket")).agg(_count_blocks(F.sum("n"), F.sum("shingles")).alias("rest_blocks"))
+    rest = materialize(rest)
+    placed = spread_join(spread_join(of, own.select("of", "own_blocks"), "of", own.select("of", "n"), "cid", "left"), rest, "bucket", sizes, "cid", "left")
+    part, blocks = F.when(F.col("own_blocks").isNotNull(), F.col("family")).otherwise(F.lit(-1)), F.coalesce("own_blocks", "rest_blocks")
+    placed = placed.select("bucket", "cid", F.xxhash64(part, F.pmod(F.xxhash64("cid"), blocks)).alias("block"))
+
+    parts = own.select("of.bucket", F.col("of.family").alias("part"), F.col("own_blocks").alias("blocks")).unionByName(rest.select("bucket", F.lit(-1).cast("long").alias("part"), F.col("rest_blocks").alias("blocks")))
+    each = parts.select("bucket", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")).select("bucket", F.struct("part", F.xxhash64("part", "k").alias("block")).alias("me"))
+    mates = each.groupBy("bucket").agg(F.collect_list("me").alias("all"))
+    met = F.filter("all", lambda o: (o["part"] != F.col("me.part")) | (o["part"] == -1))
+    pairs = F.transform(met, lambda o: F.struct(F.least(o["block"], F.col("me.block")).alias("x"), F.greatest(o["block"], F.col("me.block")).alias("y")))
+    return placed, each.join(mates, "bucket").select("bucket", F.col("me.block").alias("block"), pairs.alias("pairs")).where(F.size("pairs") > 0)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -310,97 +384,124 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round every id takes the least label among its own, its neighbours'
     and its label's label (pointer jumping). Tables between rounds lie in the
-    shared folder; only a count reaches the driver.
+    shared folder; only a count reaches the driver. Hubs and labels that many
+    ids share are dealt to many tasks.
     """
     both = materialize(edges.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("to"))).where("id <> to").distinct())
-    labels = both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("label"))
-    labels = materialize(labels)
+    hubs = both.groupBy("to").agg(F.count(F.lit(1)).alias("n"))
+    labels = materialize(both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("label")))
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("id").alias("to"), "label"), "to").select("id", "label")
+        near = spread_join(both, labels.select(F.col("id").alias("to"), "label"), "to", hubs, "id").select("id", "label")
         # the label's own label, once for each label in use
-        jump = labels.join(labels.select(F.col("id").alias("label"), F.col("label").alias("next")), "label").select("id", F.col("next").alias("label"))
+        used = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        jump = spread_join(labels, labels.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", used, "id").select("id", F.col("next").alias("label"))
         after = near.unionByName(jump).unionByName(labels.select("id", "label")).groupBy("id").agg(F.min("label").alias("new"))
         nxt = materialize(labels.join(after, "id").select("id", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("changed")))
         changed = nxt.where("changed").limit(1).count()
-        labels = nxt.select("id", "label")
+        discard(labels)
+        labels = nxt
         if not changed:
+            discard(both)
             return labels.select("id", F.col("label").alias("component"))
     raise RuntimeError("labels still change after the last round")
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, counts, edges).
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, counts, edges).
 
-    members: doc_id, rep (smallest doc_id of equal shingle sets), copies.
-    counts: rep, n_links (representatives linked to it), if any.
-    edges: a, b whose components are those of all links.
+    rows: doc_id, row_key, set_key of every document.
+    classes: cid, set_key, first_id (smallest doc_id), copies.
+    counts: cid, n_links (classes linked to it), if any.
+    edges: a, b (cids) whose components are those of all links.
     """
-    spark = docs.sparkSession
     base = materialize(_sketches(docs))
-    classes = base.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
-    classes = materialize(classes)
-    members = base.select("doc_id", "set_key").join(classes.select("set_key", "rep", "copies"), "set_key").select("doc_id", "rep", "copies", "set_key")
+    classes = base.groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.first(F.struct("sketch", "filled")).alias("s"))
+    classes = materialize(classes.select("*", "s.*", F.monotonically_increasing_id().alias("cid")).drop("s"))
 
-    one = base.join(classes.where("n > 0").select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sketch", b * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    banded = one.select(F.col("doc_id").alias("rep"), F.posexplode(bands).alias("band", "bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialize(banded.join(sizes, "bucket"))
+    banded = classes.where("n > 0").select("cid", "n", F.posexplode(bands).alias("band", "bucket"))
+    sizes = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = materialize(spread_join(banded, sizes.select("bucket", F.col("n").alias("size")), "bucket", sizes, "cid"))
 
-    light = shared.where(F.col("size") <= LIGHT).select("bucket", "rep")
-    pairs = light.select("bucket", F.col("rep").alias("a")).join(light.select("bucket", F.col("rep").alias("b")), "bucket").where("a < b").select("a", "b").distinct()
-    sk = one.select("doc_id", "n", "sketch")
-    for side in ("a", "b"):
-        pairs = pairs.join(sk.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-    likely = materialize(_prune(pairs.where(f"least(n_a, n_b) >= {THRESHOLD} * greatest(n_a, n_b)")))
+    light = shared.where(F.col("size") <= LIGHT).select("bucket", "cid")
+    pairs = light.select("bucket", F.col("cid").alias("a")).join(light.select("bucket", F.col("cid").alias("b")), "bucket").where("a < b")
+    pairs = pairs.select("a", "b", F.lit(True).alias("light"), F.lit(False).alias("led_by_a"), F.lit(False).alias("led_by_b"))
 
     heavy = shared.where(F.col("size") > LIGHT)
-    marks = heavy.groupBy("rep").agg(F.sum(F.expr("shiftleft(1L, band)")).alias("heavy"))
-    needed = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).unionByName(heavy.select("rep")).distinct()
-    sets = materialize(_shingle_sets(docs, needed).join(classes.select("rep", "set_key"), ["rep", "set_key"], "left_semi"))
+    marks = materialize(heavy.groupBy("cid").agg(F.sum(F.expr("shiftleft(1L, band)")).alias("heavy"), F.count(F.lit(1)).alias("buckets")))
+    pivots = heavy.join(marks, "cid").groupBy("bucket").agg(F.max(F.struct("buckets", "cid"))["cid"].alias("pivot"))
+    led = spread_join(heavy.select("bucket", "cid"), pivots, "bucket", sizes, "cid").where("cid <> pivot")
+    led = led.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"), F.lit(False).alias("light"), (F.col("pivot") < F.col("cid")).alias("led_by_a"), (F.col("pivot") > F.col("cid")).alias("led_by_b"))
+
+    flags = ["light", "led_by_a", "led_by_b"]
+    pairs = pairs.unionByName(led).groupBy("a", "b").agg(*(F.max(c).alias(c) for c in flags))
+    sk = classes.select("cid", "n", "sketch", "filled")
+    for side in ("a", "b"):
+        pairs = pairs.join(sk.select(F.col("cid").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "sketch", "filled"))), side)
+    pairs = pairs.where(f"{LINKED[1]} * least(n_a, n_b) >= {LINKED[0]} * greatest(n_a, n_b)")
+    likely = materialize(_prune(pairs, ["a", "b", *flags]))
 
+    needed = likely.select(F.col("a").alias("cid")).unionByName(likely.select(F.col("b").alias("cid"))).unionByName(marks.select("cid")).distinct()
+    sets = materialize(_shingle_sets(docs, classes.select("cid", "row_key", "set_key").join(needed, "cid", "left_semi")))
     found = likely
     for side in ("a", "b"):
-        found = found.join(sets.select(F.col("rep").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-    verified = materialize(_verify(found.select("a", "b", "set_a", "set_b")))
+        found = found.join(sets.select(F.col("cid").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+    verified = materialize(_verify(found, ["a", "b", *flags]))
+
+    # Each class joins the family of the pivot of smallest cid that it is tight to; a pivot is tight to itself.
+    tight = verified.where("tight")
+    tied = tight.where("led_by_a").select(F.col("b").alias("cid"), F.col("a").alias("pivot")).unionByName(tight.where("led_by_b").select(F.col("a").alias("cid"), F.col("b").alias("pivot")))
+    tied = tied.unionByName(tied.select(F.col("pivot").alias("cid"), "pivot").distinct())
+    family = materialize(tied.groupBy("cid").agg(F.min("pivot").alias("family")))
+    of_family = family.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    inside = spread_join(family, of_family.select("family", F.col("n").alias("size")), "family", of_family, "cid").where("size > 1").select("cid", (F.col("size") - 1).alias("links"))
+    apart = verified.where("light")
+    for side in ("a", "b"):
+        apart = apart.join(family.select(F.col("cid").alias(side), F.col("family").alias(f"family_{side}")), side, "left")
+    apart = apart.where("family_a is null or family_b is null or family_a <> family_b")
 
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     # Each member is completed once; only then is it copied to its pairs of blocks.
-    whole = heavy.join(marks, "rep").join(sk.withColumnRenamed("doc_id", "rep"), "rep").join(sets, "rep")
-    dealt = (
-        whole.withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    )
+    placed, meet = _blocks(heavy.select("bucket", "cid", "n").join(family, "cid", "left").withColumn("family", F.coalesce("family", F.lit(-1))), sizes)
+    per_block = placed.groupBy(F.struct("bucket", "block").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    meeting = spread_join(placed.withColumn("at", F.struct("bucket", "block")), meet.select(F.struct("bucket", "block").alias("at"), "pairs"), "at", per_block, "cid")
+    whole = marks.select("cid", "heavy").join(sk.drop("n"), "cid").join(sets, "cid").join(family, "cid", "left").withColumn("family", F.coalesce("family", F.lit(-1)))
+    bands_of = heavy.groupBy("bucket").agg(F.first("band").alias("band"))
+    complete = spread_join(meeting.select("bucket", "cid", "block", "pairs"), bands_of, "bucket", sizes, "cid").join(whole, "cid")
+    dealt = complete.select("*", F.explode("pairs").alias("pair")).select("*", "pair.x", "pair.y").drop("pairs", "pair")
     dense = materialize(_heavy_links(dealt))
-    edges = verified.select("a", "b").unionByName(dense.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    edges = verified.select("a", "b").unionByName(dense.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")))
     counts = (
-        verified.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("links"))
-        .unionByName(dense.where("links > 0").select("rep", "links"))
-        .groupBy("rep")
+        apart.select(F.explode(F.array("a", "b")).alias("cid"), F.lit(1).cast("long").alias("links"))
+        .unionByName(inside)
+        .unionByName(dense.where("links > 0").select("cid", "links"))
+        .groupBy("cid")
         .agg(F.sum("links").alias("n_links"))
     )
-    return members, counts, edges
+    return base.select("doc_id", "row_key", "set_key"), classes.select("cid", "set_key", "first_id", "copies"), counts, edges
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key, first_id, copies, n_links and group (a cid) of every row."""
+    rows, classes, counts, edges = links(docs)
+    groups = components(edges)
+    per_class = classes.join(counts, "cid", "left").join(groups.withColumnRenamed("id", "cid"), "cid", "left").withColumn("group", F.coalesce("component", "cid"))
+    return spread_join(rows, per_class, "set_key", classes.select("set_key", F.col("copies").alias("n")), "row_key")
 
 
 def join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id with an equal shingle set), copies
     (documents in that class), n_links (other classes at 0.8 or more), group_id (smallest doc_id of
     the connected group)."""
-    members, counts, edges = links(docs)
-    groups = components(edges)
-    per_class = counts.join(groups.withColumnRenamed("id", "rep"), "rep", "full")
-    return members.join(per_class, "rep", "left").select(
-        "doc_id",
-        F.col("rep").alias("class_id"),
-        F.col("copies").cast("long").alias("copies"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "rep").cast("long").alias("group_id"),
-    )
+    found = materialize(_grouped(docs))
+    groups = found.groupBy("group").agg(F.min("first_id").alias("group_id"), F.count(F.lit(1)).alias("n"))
+    named = spread_join(found, groups.drop("n"), "group", groups.select("group", "n"), "row_key")
+    return named.select("doc_id", F.col("first_id").alias("class_id"), F.col("copies").cast("long").alias("copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one of smallest doc_id."""
-    first = join(docs).where("doc_id = group_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one document of each group: the one of smallest doc_id (a null id only if no other is there;
+    of several texts under that id the one of smallest hash; of equal rows any)."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key"))
+    first = _grouped(docs).groupBy("group").agg(best.alias("first")).select(F.col("first.row_key").alias("key"))
+    key = fresh(docs, "row_key")[0]
+    return docs.withColumn(key, _row_key()).join(first.withColumnRenamed("key", key), key, "left_semi").dropDuplicates([key]).select(docs.columns)
