@@ -7,21 +7,29 @@ such occurrence. One Aho-Corasick automaton finds the pieces of all items in a
 pass over the whole text; a hit fixes where the item would lie, and Myers'
 bit-parallel algorithm measures the edit distance of the item to the best
 substring of that window. Hits of one item on overlapping windows are verified
-once.
-
-The items must fit into a task closure: they are read under ``MAX_ITEM_CHARS``
-a block, and a larger set runs in several blocks of items over the documents,
-so what is broadcast is bounded whatever the benchmark's size. Documents are
-never shuffled by the search.
-
-Defined cases: null and empty texts match nothing; items with fewer than
-``MIN_CHARS`` normalised characters are too short to tell and match nothing;
-equal items are reported each under its own id; a null item_id or text is
-left out.
+once. Items under ``MIN_CHARS`` characters are too short to tell from prose
+with edits in them: they must occur exactly (k = 0) and as whole words, except
+in scripts without spaces, where any place will do.
+
+The items travel in task closures, at most ``MAX_ITEM_CHARS`` at a time. A
+larger set runs block by block: the driver reads one block, its search ends
+and its hits lie in the shared folder before the next block is read, so that
+neither the driver nor a task ever holds more than one block. Documents are
+never shuffled; a worker builds the automaton of a block once.
+
+Defined cases: null and empty texts match nothing; items without a letter or
+digit match nothing; equal items are reported each under its own id; a null
+item_id is reported as null, a null item text is left out; documents with a
+null or repeated doc_id are searched like all others, row by row, and equal
+rows give equal results; texts of any length are searched whole; an empty
+table on either side gives no hit; ``remove`` keeps all columns, whatever
+their names; of several best windows the first is reported.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,19 +37,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.session import materialize
+
 #: Edits allowed for each character of an item.
 ERRORS = 0.08
 MIN_CHARS = 40
 #: Normalised characters of items in one automaton.
 MAX_ITEM_CHARS = 4_000_000
 
-_FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if chr(c).isalnum() or c > 127 else 32 for c in range(256))
+_FOLD = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
+_MARKS = re.compile(r"[^\w\x00-\x7f]+")
+#: Scripts that are written without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana and Chinese characters.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normalise(text: str | None) -> str:
     if not text:
         return ""
-    return b" ".join(text.lower().encode("utf-8", "replace").translate(_FOLD).split()).decode()
+    text = text.lower()
+    if not text.isascii():
+        text = _MARKS.sub(" ", text)
+    return b" ".join(text.encode("utf-8", "replace").translate(_FOLD).split()).decode()
+
+
+def _whole_words(text: str, lo: int, hi: int) -> bool:
+    """Whether text[lo:hi] starts and ends at the border of a word, or in a script without spaces."""
+    return (lo == 0 or text[lo - 1] == " " or bool(_UNSPACED.match(text[lo]))) and (hi == len(text) or text[hi] == " " or bool(_UNSPACED.match(text[hi - 1])))
 
 
 def best_match(item: str, text: str, limit: int) -> tuple[int, int] | None:
@@ -74,8 +95,9 @@ def best_match(item: str, text: str, limit: int) -> tuple[int, int] | None:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], errors: float = ERRORS, min_chars: int = MIN_CHARS):
-        self.items = [(i, n, int(len(n) * errors)) for i, t in items if len(n := normalise(t)) >= min_chars]
+    def __init__(self, items: list[tuple[int | None, str]], errors: float = ERRORS, min_chars: int = MIN_CHARS):
+        self.min_chars = min_chars
+        self.items = [(i, n, int(len(n) * errors) if len(n) >= min_chars else 0) for i, t in items if (n := normalise(t))]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for which, (_, text, k) in enumerate(self.items):
             for p in range(k + 1):
@@ -96,6 +118,8 @@ class Matcher:
             start = last + 1 - size
             for which, offset in places:
                 _, item, k = self.items[which]
+                if len(item) < self.min_chars and not _whole_words(text, start, last + 1):
+                    continue
                 lo, hi = max(0, start - offset - k), min(len(text), start - offset + len(item) + k)
                 spans = out.setdefault(which, [])
                 if spans and lo <= spans[-1][1]:
@@ -117,38 +141,68 @@ class Matcher:
                 yield item_id, best[0], best[1], len(item)
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
-    for r in items.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
+#: The matcher of this worker process, by its items.
+_matchers: dict[bytes, Matcher] = {}
+
+
+def _matcher(key: bytes, block: list[tuple[int | None, str]]) -> Matcher:
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(block)
+    return _matchers[key]
+
+
+def _blocks(items: DataFrame) -> Iterator[tuple[bytes, list[tuple[int | None, str]]]]:
+    """(digest, items) of at most MAX_ITEM_CHARS each, or of one longer item; none is empty but the only one."""
+    block, size, made = [], 0, 0
+    for r in items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
+        if block and size + len(r["text"]) > MAX_ITEM_CHARS:
+            yield hashlib.sha256(repr(block).encode("utf-8", "replace")).digest(), block
+            block, size, made = [], 0, made + 1
         block.append((r["item_id"], r["text"]))
         size += len(r["text"])
-        if size > MAX_ITEM_CHARS:
-            yield block
-            block, size = [], 0
-    yield block
+    if block or not made:
+        yield hashlib.sha256(repr(block).encode("utf-8", "replace")).digest(), block
 
 
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, edits, item_chars, end_char (in the normalised text) of each item that a document contains."""
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for block in _blocks(items):
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-        def run(batches, block=block):
-            matcher = Matcher(block)
+    def search(key, block) -> DataFrame:
+        def run(batches):
+            matcher = _matcher(key, block)
             for b in batches:
                 rows = [(i, *m) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in matcher.search(t)]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(cols[k], pa.int64()) for k in (0, 1, 2, 4, 3)], names=["doc_id", "item_id", "edits", "item_chars", "end_char"])
 
-        part = source.mapInArrow(run, "doc_id long, item_id long, edits long, item_chars long, end_char long")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return source.mapInArrow(run, "doc_id long, item_id long, edits long, item_chars long, end_char long")
+
+    out, waiting = None, None
+    for block in _blocks(items):  # a block is searched when the next one turns up; the last one, often the only one, is left to the caller
+        if waiting is not None:
+            done = materialize(waiting)
+            out = done if out is None else out.unionByName(done)
+        waiting = search(*block)
+    return waiting if out is None else out.unionByName(waiting)
 
 
 def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that contain an item."""
-    from netloom.session import materialize
+    """``docs`` without the rows whose text contains an item. Each row is judged by itself, whatever its id."""
+    at = docs.columns.index("text")
 
-    hit = materialize(find(docs, items).select("doc_id").distinct())
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    def keep(key, block):
+        def run(batches):
+            matcher = _matcher(key, block)
+            for b in batches:
+                yield b.filter(pa.array([next(matcher.search(t), None) is None for t in b.column(at).to_pylist()], pa.bool_()))
+
+        return run
+
+    waiting = None
+    for block in _blocks(items):
+        if waiting is not None:
+            docs = materialize(docs.mapInArrow(waiting, docs.schema))
+        waiting = keep(*block)
+    return docs.mapInArrow(waiting, docs.schema)
