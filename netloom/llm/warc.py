@@ -9,16 +9,21 @@ The headers of a resolved record are those of the response, updated by the
 headers that a 304 may carry.
 
 A url may hold a third of all records, so the join is a prefix scan in two
-levels. A sort of narrow records by time numbers them, equal stretches of that
-order are buckets, windows run over (url, bucket), and what a bucket hands on,
-its last full response, runs over the buckets of each url, at most ``BUCKETS``
-rows. Bodies are never shuffled.
+levels. A sort of narrow records by time numbers them, stretches of
+``BUCKET_ROWS`` of that order are buckets, windows run over (url, bucket), and
+what a bucket hands on, its last full response, runs over the buckets of each
+url: one row for ``BUCKET_ROWS`` records. Bodies are never shuffled.
+
+Header names are compared in lower case, and are given so.
 
 Defined cases: records with a null url, time or id are left out; a revisit
 without an earlier response is an ``orphan``; without a pair of validators to
 compare it is ``unverified``; with differing ones a ``mismatch``, and only a
-``resolved`` record has merged headers; null header maps count as empty;
-repeated revisit records are each resolved; extra columns don't matter.
+``resolved`` record has merged headers; null header maps count as empty, and of
+names that differ in case only the last counts; repeated revisit records, also
+those that share an id, are each resolved once, with their own headers; of
+responses of one id and time the one of largest digest of its headers counts;
+urls and headers of any length are read whole; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,6 +34,9 @@ from pyspark.sql.window import Window
 
 from netloom.session import materialize
 
+#: Records of one bucket: what one task holds of a url that fills all of it.
+BUCKET_ROWS = 65_536
+#: Small tables are cut into so many buckets all the same.
 BUCKETS = 512
 # Header fields that a not-modified response updates.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -55,19 +63,20 @@ def _same(a: str, b: str) -> Column:
 
 
 def as_of(records: DataFrame) -> DataFrame:
-    """For every revisit: record_id, canonical_url, own and found (structs of record_id and validators; found may be null)."""
+    """For every revisit: record_id, canonical_url, own and found (structs of record_id, validators and headers; found may be null)."""
     narrow = records.where("record_id is not null and url is not null and ts is not null").select(
         F.col("record_id").cast("long").alias("record_id"), canonical(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), (F.col("kind") == "response").alias("full"),
-        F.struct(F.col("record_id").cast("long").alias("record_id"), "etag", "last_modified", "digest").alias("own"),
+        F.struct(F.col("record_id").cast("long").alias("record_id"), "etag", "last_modified", "digest", "headers").alias("own"),
     )
-    placed = materialize(narrow.orderBy("ts", "record_id").withColumn("_m", F.monotonically_increasing_id()))
+    content = F.xxhash64("own.etag", "own.last_modified", "own.digest", F.to_json("own.headers"))
+    placed = materialize(narrow.orderBy("ts", "record_id", F.desc("full"), content).withColumn("_m", F.monotonically_increasing_id()))
     totals = sorted((r["p"], r["n"]) for r in placed.groupBy(F.shiftright("_m", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     starts, total = [], 0
     for p, n in totals:
         starts.append((p, total))
         total += n
     offsets = records.sparkSession.createDataFrame(starts, "_p long, _start long")  # one row a partition
-    size = max(1, -(-total // BUCKETS))
+    size = min(BUCKET_ROWS, max(1, -(-total // BUCKETS)))
     rows = placed.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(offsets), "_p")
     rows = rows.withColumn("row", F.col("_start") + F.col("_m").bitwiseAND((1 << 33) - 1)).withColumn("bucket", F.floor(F.col("row") / size)).drop("_p", "_m", "_start")
 
@@ -82,11 +91,18 @@ def as_of(records: DataFrame) -> DataFrame:
     return found.select("record_id", "canonical_url", "own", F.coalesce("near", "before").alias("found"))
 
 
+def _plain(headers: Column) -> Column:
+    """Header names in lower case; of names that then are equal the last counts."""
+    low = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    names = F.transform(low, lambda e: e["key"])
+    last = F.filter(low, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"]))
+    return F.coalesce(F.map_from_entries(last), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+
+
 def merged_headers(stored: Column, fresh: Column) -> Column:
-    """The stored header map, updated by the permitted fields of the fresh one."""
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    allowed = F.map_filter(F.coalesce(fresh, none), lambda k, _: k.isin(*PERMITTED))
-    return F.map_concat(F.map_filter(F.coalesce(stored, none), lambda k, _: ~F.map_contains_key(allowed, k)), allowed)
+    """The stored header map, updated by the permitted fields of the fresh one; names in lower case."""
+    allowed = F.map_filter(_plain(fresh), lambda k, _: k.isin(*PERMITTED))
+    return F.map_concat(F.map_filter(_plain(stored), lambda k, _: ~F.map_contains_key(allowed, k)), allowed)
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -94,11 +110,9 @@ def resolve(records: DataFrame) -> DataFrame:
     (record_id, url, ts, kind, etag, last_modified, digest, headers)."""
     same = _same("own", "found")
     status = F.when(F.col("found").isNull(), "orphan").when(same.isNull(), "unverified").when(same, "resolved").otherwise("mismatch")
-    judged = as_of(records).select("record_id", "canonical_url", F.col("found.record_id").alias("target_id"), status.alias("status"))
-    heads = records.select(F.col("record_id").cast("long").alias("_id"), "headers")
-    fresh, stored = heads.withColumnsRenamed({"_id": "_a", "headers": "fresh"}), heads.withColumnsRenamed({"_id": "_b", "headers": "stored"})
-    both = judged.join(fresh, F.col("record_id") == F.col("_a")).join(stored, (F.col("target_id") == F.col("_b")) & (F.col("status") == "resolved"), "left")
-    return both.select("record_id", "canonical_url", "target_id", "status", F.when(F.col("status") == "resolved", merged_headers(F.col("stored"), F.col("fresh"))).alias("headers"))
+    judged = as_of(records).select("record_id", "canonical_url", F.col("found.record_id").alias("target_id"), status.alias("status"), "own", "found")
+    merged = F.when(F.col("status") == "resolved", merged_headers(F.col("found.headers"), F.col("own.headers")))
+    return judged.select("record_id", "canonical_url", "target_id", "status", merged.alias("headers"))
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
