@@ -9,12 +9,15 @@ bits of each value are packed into a hexadecimal string. Two unrelated values
 agree in 8 bits with probability 1/256, which ``likeness`` corrects for.
 
 Only built-in expressions run. The fingerprint needs no shuffle. ``neighbours``
-finds the next document by a global sort of the ids alone.
+finds the next document by a global sort of the ids alone, and only the
+beginning of the next text that an edit needs, and its fingerprint, travel.
 
 Defined cases: null counts as empty; a text without words has the fingerprint
 of dashes, which is like itself (1.0) and unlike anything else (0.0); a text of
 one to four words has a single shingle, all of them; extra columns don't
-matter; rows with a null doc_id are left out; exact repeats of a row are each
+matter; null doc_ids come before all others in the order of documents, as
+Spark sorts them; of rows with one doc_id those of smaller hash of the text come
+first; exact repeats of a row are one document in that order, and each is
 returned.
 """
 
@@ -102,21 +105,21 @@ def row_numbers(keys: DataFrame, *order: str) -> DataFrame:
 def neighbours(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint, that of its text with the last quarter replaced by the
     beginning of the next document, and the likeness to that edited text and to the next document."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
-    ids = base.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("rows"), F.max(F.length("text")).alias("n"))
-    placed = materialize(row_numbers(ids, "doc_id", "h"))
+    text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
+    key = ["known", "id", "h"]  # a null id equals itself here
+    base = docs.select(doc_id.alias("doc_id"), doc_id.isNotNull().alias("known"), F.coalesce(doc_id, F.lit(0)).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
+    ids = base.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.max(F.length("text")).alias("n"))
+    placed = materialize(row_numbers(ids, *key))
     span = placed.agg(F.max("row"), F.max("rows")).first()
     last, repeats = span[0] or 0, (span[1] or 0) > 1
-    follows = placed.select(F.when(F.col("row") == 0, F.lit(last)).otherwise(F.col("row") - 1).alias("row"), F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"))
-    pairs = placed.select("row", F.col("doc_id").alias("own_id"), F.col("h").alias("own_h"), F.floor(F.col("n") / 4).cast("int").alias("quarter")).join(follows, "row").drop("row")
+    follows = placed.select(F.when(F.col("row") == 0, F.lit(last)).otherwise(F.col("row") - 1).alias("row"), *key)
+    owners = placed.select("row", *(F.col(k).alias(f"own_{k}") for k in key), F.floor(F.col("n") / 4).cast("int").alias("quarter"))
+    pairs = follows.join(owners, "row").drop("row")
 
     base = base.withColumn("fingerprint", fingerprint(F.col("text")))
-    once = base.dropDuplicates(["doc_id", "h"]) if repeats else base
-    heads = once.join(pairs, (F.col("doc_id") == F.col("next_id")) & (F.col("h") == F.col("next_h"))).select(
-        "own_id", "own_h", "quarter", F.expr("substring(text, 1, quarter)").alias("head"), F.col("fingerprint").alias("next_fingerprint")
-    )
-    joined = base.join(heads, (F.col("doc_id") == F.col("own_id")) & (F.col("h") == F.col("own_h")))
+    once = base.dropDuplicates(key) if repeats else base
+    heads = once.join(pairs, key).select(*(F.col(f"own_{k}").alias(k) for k in key), "quarter", F.expr("substring(text, 1, quarter)").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
+    joined = base.join(heads, key)
     edited = F.expr("concat(substring(text, 1, length(text) - quarter), head)")
     out = joined.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
     out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
