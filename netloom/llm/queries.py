@@ -103,5 +103,25 @@ SELECT record_id, canonical_url, page_id * 2 AS target_id,
        CASE WHEN page_id IS NOT NULL AND etag = stored THEN
          'cache-control: max-age=60' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: W/' || etag END AS headers
 FROM pairs WHERE k = 1
+""",
+    "op6_sharding": """
+WITH RECURSIVE bits(i, k, v) AS (
+  SELECT i::BIGINT, 0, i::BIGINT FROM range(256) r(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8
+), crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8
+), sized AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
+), summed AS (
+  SELECT doc_id, size,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(t[xor(a & 255, b) + 1], a >> 8))) AS text_crc32
+  FROM sized, crc_table
+), led AS (
+  SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lead, sum(size) OVER () AS total FROM summed
+), cut AS (
+  SELECT *, CAST(least(7, (2 * lead + size) * 8 // (2 * total)) AS INTEGER) AS shard FROM led
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut
 """,
 }
