@@ -12,8 +12,10 @@ Python worker builds the hash once. Encoding is a map over documents: there is
 no shuffle, and a lost executor only repeats its own partitions.
 
 Defined cases: a null text counts as empty and gives no ids; every text,
-whatever its length, is encoded whole, in blocks of pre-tokens; other columns
-are kept unless they have the name of an output column, which then wins.
+whatever its length, is encoded whole, in blocks of pre-tokens; equal rows get
+equal ids, rows with null or repeated ids are rows like all others; an empty
+table gives an empty table; other columns are kept unless they have the name of
+an output column, which the caller can choose.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cached_property
 from itertools import chain, islice
 
@@ -37,6 +40,8 @@ from netloom.llm.common import with_fields
 
 #: Distinct pre-tokens that one worker remembers; they are dropped by halves, the longest unused first.
 CACHE_ENTRIES = 600_000
+#: Longer pre-tokens are not remembered, which bounds the bytes of a cache and not only its entries.
+LONGEST_CACHED = 64
 #: Where two workers share a core's memory (encoding and decoding in one stage).
 SMALL_CACHE = 200_000
 #: Rows that a worker holds as Python lists at once.
@@ -121,7 +126,8 @@ class Known(dict):
             codec, piece = self.codec, name.encode()
             k = codec.whole.find(piece)
             ids = (codec.ids[k],) if codec.tokens[k] == piece else codec.merge(piece)
-        self[name] = ids
+        if len(name) <= LONGEST_CACHED:
+            self[name] = ids
         return ids
 
 
@@ -219,14 +225,25 @@ _codecs: dict[str, Codec] = {}
 def _codec(key: str, ranks: list[tuple[bytes, int]], pattern: str, cache: int = CACHE_ENTRIES) -> Codec:
     if key not in _codecs:
         _codecs.clear()
-        gc.disable()  # the cache holds no cycles, and walking its entries costs more than the merges
         _codecs[key] = Codec(ranks, pattern, cache)
     return _codecs[key]
 
 
+@contextmanager
+def _without_gc():
+    """No garbage collection while a task runs: the cache holds no cycles, and walking its entries costs more than the merges."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def _loaded(path: str, pattern: str) -> tuple[str, list[tuple[bytes, int]]]:
     ranks = read_ranks(path)
-    key = hashlib.sha256(repr((path, pattern, len(ranks))).encode()).hexdigest()
+    key = hashlib.sha256(repr((ranks, pattern)).encode()).hexdigest()
     return key, ranks
 
 
@@ -235,17 +252,18 @@ def _kept(df: DataFrame, *new: str) -> DataFrame:
 
 
 def _slices(batches):
-    for b in batches:
-        for at in range(0, b.num_rows, ROWS):
-            yield b.slice(at, ROWS)
+    with _without_gc():
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                yield b.slice(at, ROWS)
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """``df`` and an array<int> column of the ids of each whole text."""
+def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens") -> DataFrame:
+    """``df``, an array<int> column of the ids of each whole text, and how many they are."""
     key, ranks = _loaded(vocabulary, pattern)
-    rest = _kept(df, ids, "n_tokens")
+    rest = _kept(df, ids, count)
     at = rest.columns.index(text)
-    schema = with_fields(rest, **{ids: "array<int>", "n_tokens": "long"})
+    schema = with_fields(rest, **{ids: "array<int>", count: "long"})
 
     def run(batches):
         codec = _codec(key + "e", ranks, pattern, SMALL_CACHE)
@@ -254,7 +272,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
             sizes = np.array([len(x) for x in out], np.int64)
             ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(sizes)], names=[*b.schema.names, ids, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(sizes)], names=[*b.schema.names, ids, count])
 
     return rest.mapInArrow(run, schema)
 
