@@ -1,13 +1,15 @@
 """Operators 3, 4, 8, 9 and 10 against brute force, exact round trips and held-out accuracy."""
 
+import hashlib
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import tiktoken
 
-from netloom.llm import bpe, decontam, jaccard_join, quality, toxicity
+from netloom.llm import bpe, common, decontam, jaccard_join, quality, toxicity
 
 tokenizers = pytest.importorskip("public_tokenizers")
 RANKS = bpe.read_ranks(tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -49,6 +51,23 @@ def test_bpe_tables(spark, own):
     assert rows[1]["token_ids"] == [] and rows[1]["n_tokens"] == 0 and len(rows) == 4
 
 
+def test_bpe_query_equals_the_library(spark, own):
+    """The whole query, digests included; one text spans several blocks."""
+    texts = ["Hello  world", None, "", "", "é" * 3000 + "\n\n" + "word 12,345 " * 100_000, "x" * 5000, "🙂 ñandú\r\n  "]
+    rows = [*enumerate(texts), (None, "no id"), (3, "again")]
+    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_tokens string")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = []
+    for i, t in rows:
+        ids = own.encode_ordinary(t or "")
+        want.append((str(i), len(ids), sha(",".join(map(str, ids))), sha(t or "")))
+    got = bpe.round_trip(df, path, tokenizers.PATTERN).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == sorted(want)
+    assert bpe.round_trip(df.limit(0), path, tokenizers.PATTERN).count() == 0
+    assert bpe.encode(df, path, tokenizers.PATTERN, count="k").columns == ["doc_id", "text", "n_tokens", "token_ids", "k"]
+
+
 def _semi_global(a, b):
     prev = [0] * (len(b) + 1)
     for i, c in enumerate(a, 1):
@@ -83,35 +102,48 @@ def test_pigeonhole_loses_no_occurrence():
         assert {x[:2] for x in m.search(doc)} == want
 
 
-def test_decontamination_tables(spark):
+def test_decontamination_tables(spark, monkeypatch):
     item = "the quick brown fox jumps over the lazy dog and runs away from the angry bear"
-    docs = spark.createDataFrame([(1, f"Intro. {item.upper()}! End"), (2, "clean text"), (3, None), (4, ""), (None, item), (5, item.replace("lazy", "lasy"))], "doc_id long, text string")
-    items = spark.createDataFrame([(7, item), (8, "short"), (None, item), (9, None)], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"], r["edits"]) for r in decontam.find(docs, items).collect()}
-    assert got == {(1, 7, 0), (5, 7, 1)}
-    assert {r["doc_id"] for r in decontam.remove(docs, items).collect()} == {2, 3, 4, None}
-    assert decontam.find(docs, items.limit(0)).count() == 0 and decontam.find(docs.limit(0), items).count() == 0
-
-
-def _labelled(spark, label):
-    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    long = "clean words here " * 60_000
+    rows = [(1, f"Intro. {item.upper()}! End"), (2, "clean text"), (3, None), (4, ""), (None, item), (5, item.replace("lazy", "lasy")), (2, item), (6, "as short as this"), (7, "shortest, shor t"), (8, "天気がいい日です"), (9, long), (10, long + item.replace(" ", "\u2019 ")), (2, "clean text")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, item_id string")
+    items = spark.createDataFrame([(7, item), (8, "Short!"), (12, "がいい"), (None, item), (9, None), (10, "...")], "item_id long, text string")
+    want = {(1, 7, 0), (1, None, 0), (None, 7, 0), (None, None, 0), (5, 7, 1), (5, None, 1), (2, 7, 0), (2, None, 0), (6, 8, 0), (8, 12, 0), (10, 7, 0), (10, None, 0)}
+    for limit in (4_000_000, 50):  # one block of items, and one block for each
+        monkeypatch.setattr(decontam, "MAX_ITEM_CHARS", limit)
+        assert {(r["doc_id"], r["item_id"], r["edits"]) for r in decontam.find(docs, items).collect()} == want
+        kept = decontam.remove(docs, items)
+        assert kept.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in kept.where("text is not null").collect()) == sorted([(2, "clean text"), (2, "clean text"), (4, ""), (7, rows[8][1]), (9, long)])
+    assert decontam.find(docs, items.limit(0)).count() == 0 and decontam.find(docs.limit(0), items).count() == 0 and decontam.remove(docs, items.limit(0)).count() == len(rows)
+
+
+def _labelled(spark, label, sf=SF):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     rows = docs.join(labels, "doc_id").select("doc_id", "text", label).collect()
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
     return docs, labels, {r["doc_id"]: r[label] for r in rows if held(r["doc_id"])}
 
 
+def _recall_precision(held, flagged):
+    both = sum(y and flagged[i] for i, y in held.items())
+    return both / max(1, sum(held.values())), both / max(1, sum(flagged[i] for i in held))
+
+
 def test_quality_held_out(spark):
     docs, labels, held = _labelled(spark, "quality")
     model = quality.fit_tables(docs, labels)
     p = {r["doc_id"]: r["quality_score"] for r in quality.score(docs, model).select("doc_id", "quality_score").collect()}
-    assert sum((p[i] >= quality.THRESHOLD) == (y == 1) for i, y in held.items()) / len(held) > 0.93
+    recall, precision = _recall_precision(held, {i: p[i] >= quality.THRESHOLD for i in held})
+    bad, clean = _recall_precision({i: 1 - y for i, y in held.items()}, {i: p[i] < quality.THRESHOLD for i in held})
+    assert recall > 0.95 and precision > 0.95 and bad > 0.9 and clean > 0.9
 
 
 def test_toxicity_held_out(spark):
-    docs, labels, held = _labelled(spark, "toxic")
+    docs, labels, held = _labelled(spark, "toxic", "/root/testdata/sf0.1")
     model = toxicity.fit_tables(docs, labels)
     p = {r["doc_id"]: r["toxicity"] for r in toxicity.score(docs, model).select("doc_id", "toxicity").collect()}
-    assert sum((p[i] >= toxicity.THRESHOLD) == (y == 1) for i, y in held.items()) / len(held) > 0.93
+    recall, precision = _recall_precision(held, {i: p[i] >= toxicity.THRESHOLD for i in held})
+    assert recall >= 0.9 and precision >= 0.95
 
 
 def test_models_without_labels(spark):
@@ -123,7 +155,7 @@ def test_models_without_labels(spark):
 
 def test_folding_and_exceptions():
     assert toxicity.fold("ІDІ0Т") == toxicity.fold("idiot") == toxicity.fold("1d10t")
-    m = toxicity.Matcher({toxicity.fold("clown"): 3.0}, [toxicity.fold("clown fish")])
+    m = toxicity.Matcher({toxicity.fold("clown"): (3.0, 0.0)}, [toxicity.fold("clown fish")])
     assert m.figures("A Cl0wn!")[1] == 1 and m.figures("a clown fish")[1] == 0 and m.figures("aclown")[1] == 0 and m.figures("")[1] == 0
 
 
@@ -169,11 +201,12 @@ def _brute(texts):
     return {i: (rep[s], len(links[rep[s]]), group[rep[s]]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("light,block", [(24, 512), (3, 8)])
-def test_jaccard_join(spark, monkeypatch, light, block):
-    """Also with limits so low that most buckets are heavy and span several blocks."""
+@pytest.mark.parametrize("light,few,hot", [(24, 192, 10_000), (3, 4, 5)])
+def test_jaccard_join(spark, monkeypatch, light, few, hot):
+    """Also with limits so low that most buckets are large, span several blocks and have families, and keys are dealt."""
     monkeypatch.setattr(jaccard_join, "LIGHT", light)
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
     base = [word() for _ in range(120)]
@@ -183,6 +216,10 @@ def test_jaccard_join(spark, monkeypatch, light, block):
         for _ in range(r.randint(0, 4)):
             w[r.randrange(len(w))] = word()
         texts[i] = " ".join(w)
+    for i in range(200, 240):
+        w = list(base)
+        w[r.randrange(len(w))] = word()
+        texts[i] = " ".join(w)
     for i in range(70, 100):
         texts[i] = " ".join(word() for _ in range(r.randint(1, 300)))
     texts[100] = texts[99]
@@ -192,6 +229,21 @@ def test_jaccard_join(spark, monkeypatch, light, block):
     assert {x["doc_id"] for x in jaccard_join.deduplicate(df).collect()} == {g[2] for g in got.values()}
 
 
+def test_jaccard_join_of_awkward_rows(spark):
+    """Null and repeated ids, equal rows, very long texts, clashing columns."""
+    long = " ".join(f"w{i}" for i in range(120_000))
+    same, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(None, same), (4, same), (4, other), (4, other), (None, long), (9, long + " end"), (7, None), (None, ""), (None, "only here"), (None, "only here")]
+    df = spark.createDataFrame([(*r, 1, "y", "z") for r in rows], "doc_id long, text string, _keep int, row_key string, cid string")
+    got = sorted((str(r["doc_id"]), str(r["class_id"]), r["copies"], r["n_links"], str(r["group_id"])) for r in jaccard_join.join(df).collect())
+    want = [("None", "4", 2, 0, "4"), ("4", "4", 2, 0, "4"), ("4", "4", 2, 0, "4"), ("4", "4", 2, 0, "4"), ("None", "None", 1, 1, "9"), ("9", "9", 1, 1, "9"), ("7", "7", 2, 0, "7"), ("None", "7", 2, 0, "7"), ("None", "None", 2, 0, "None"), ("None", "None", 2, 0, "None")]
+    assert got == sorted(want)
+    kept = jaccard_join.deduplicate(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.where("text is not null").collect()) == sorted([("4", same), ("4", other), ("9", long + " end"), ("None", "only here")])
+    assert kept.where("text is null").count() == 1
+
+
 def test_jaccard_join_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.join(df).count() == 0 and jaccard_join.deduplicate(df).count() == 0
@@ -199,7 +251,68 @@ def test_jaccard_join_of_nothing(spark):
 
 def test_posterior_table():
     least = jaccard_join.least_matches()
-    assert least[28] < 0.8 * 28 and all(a < b for a, b in zip(list(least.values()), list(least.values())[1:], strict=False))
+    assert least[0] == 0 and least[33] < 0.8 * 33 and (least[1:] >= least[:-1]).all() and (least <= 0.8 * np.arange(len(least))).all()
+
+
+def test_pruning_keeps_links_of_small_sets():
+    """One rule for all sizes: links of sets that fill few bins stay, unlike sets go."""
+    r = np.random.default_rng(4)
+    tried = kept = large = gone = 0
+    for _ in range(400):
+        n = int(r.integers(5, 120))
+        a = np.unique(r.integers(0, 2**64, n, np.uint64))
+        b = np.unique(np.concatenate((a[: len(a) - len(a) // 6], r.integers(0, 2**64, len(a) // 12, np.uint64))))
+        both = len(np.intersect1d(a, b))
+        if 5 * both < 4 * (len(a) + len(b) - both):
+            continue
+        c = np.unique(r.integers(0, 2**64, n, np.uint64))
+        (va, fa), (vb, fb), (vc, fc) = map(jaccard_join.sketch, (a, b, c))
+        tried += 1
+        kept += len(jaccard_join.survivors(va[None], fa[None], vb[None], fb[None]))
+        large += n > 30
+        gone += n > 30 and not len(jaccard_join.survivors(va[None], fa[None], vc[None], fc[None]))
+    assert kept == tried > 50 and gone == large > 50
+
+
+@pytest.fixture(scope="module")
+def tiny(spark, tmp_path_factory):
+    """A folder of tables whose documents have every awkward row and columns of clashing names."""
+    folder = str(tmp_path_factory.mktemp("tiny"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    item = "the quick brown fox jumps over the lazy dog and runs away from the angry bear"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").write.parquet(f"{folder}/labelled.parquet")
+    texts = [None, "", "you stupid pathetic idiot, you worthless moron, disgusting scum and trash", f"Intro {item} end", "mail bob@example.com now please and thank you", "mail bob@example.com now please and thank you", "word " * 210_000, "plain words that nobody minds at all"]
+    rows = [(k if k % 2 else None, t) for k, t in enumerate(texts)] + [(1, "another text under the same id as one before"), (1, "another text under the same id as one before"), (None, "plain words that nobody minds at all")]
+    names = ["spans", "base_spans", "toxic_hits", "toxicity", "_keep", "_decoded", "rep", "token_ids", "n_tokens", "decodes", "pii", "row_key"]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *names) for r in rows], ", ".join(["doc_id long, text string, n_chars long", *(f"{n} string" for n in names)]))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def _rows(df):
+    return sorted(tuple(map(str, r)) for r in df.collect())
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tiny):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(pipeline.STAGES)
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    every, columns = _rows(docs), docs.columns
+    toxic = stages["toxicity"](spark, docs.unionByName(spark.read.parquet(f"{tiny}/labelled.parquet"), allowMissingColumns=True), tiny)
+    assert toxic.columns == columns
+    assert _rows(toxic.where("spans is not null")) == [r for r in every if "stupid" not in r[1]]
+    clean = stages["decontamination"](spark, docs, tiny)
+    assert clean.columns == columns and _rows(clean) == [r for r in every if "quick brown" not in r[1]]
+    single = stages["near_duplicates"](spark, docs, tiny)
+    assert single.columns == columns and sorted(r["text"] or "" for r in single.collect()) == sorted({r["text"] or "" for r in docs.collect()})
+    redacted = stages["pii"](spark, docs, tiny)
+    assert redacted.columns == columns and sorted(r["text"] or "" for r in redacted.collect()) == sorted((r["text"] or "").replace("bob@example.com", "[EMAIL]") for r in docs.collect())
+    assert all(r["n_chars"] == len(r["text"] or "") and r["spans"] == "spans" and r["toxic_hits"] == "toxic_hits" for r in redacted.collect())
+    ids = stages["byte_bpe"](spark, docs, tiny)
+    assert ids.columns == [*columns, "token_ids_", "n_tokens_", "decodes_"] and all(r["decodes_"] and r["decodes"] == "decodes" for r in ids.collect()) and ids.count() == len(every)
+    for name, stage in stages.items():
+        assert stage(spark, docs.limit(0), tiny).count() == 0, name
 
 
 def test_pipeline(spark):
