@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from netloom.model import Graph
+from netloom.plans.ordering import with_rank
 
 
 def vertex_count(graph: Graph) -> DataFrame:
@@ -97,6 +97,5 @@ def sw_edge_predicates(edges: DataFrame) -> DataFrame:
 
 def nth(frame: DataFrame, n: int, *order: str) -> DataFrame:
     """The n-th row (from 0) of each graph's rows in an order; negative n counts from the end."""
-    cols = [F.col(c).desc() for c in order] if n < 0 else [F.col(c) for c in order]
-    k = -n if n < 0 else n + 1
-    return frame.withColumn("_k", F.row_number().over(Window.partitionBy("graph_id").orderBy(*cols))).where(F.col("_k") == k).drop("_k")
+    cols = [F.col(c).desc() if n < 0 else F.col(c) for c in order]
+    return with_rank(frame, *cols, out="_k").where(F.col("_k") == (-n - 1 if n < 0 else n)).drop("_k")

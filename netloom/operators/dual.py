@@ -93,6 +93,17 @@ def dual_dfs(dual: DualGraph, layer: int, index: int, graph_id: int = 0) -> Data
     return tagged(found, dual).select("graph_id", "visit_pos", "layer", "id")
 
 
+def dual_dfs_contained(dual: DualGraph, layer: int, index: int, graph_id: int = 0) -> DataFrame:
+    """graph_id, visit_pos, layer, id, payload in stack order: ``dual_dfs`` with what the vertices hold.
+
+    The payloads of the two layers may differ in type, so each has its own column, null for the other layer.
+    """
+    found = dual_dfs(dual, layer, index, graph_id)
+    held = lambda g, k: g.vertices.select("graph_id", F.lit(k).alias("layer"), "id", F.col("payload").alias(f"payload_{k}"))
+    keys = ["graph_id", "layer", "id"]
+    return found.join(held(dual.one, 1), keys, "left").join(held(dual.two, 2), keys, "left")
+
+
 def dual_is_connected(dual: DualGraph) -> DataFrame:
     """True for one component over both layers, and for two empty graphs."""
     return measures.is_connected(dual.unified())

@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from netloom.functions.rng import uniform
+from netloom.functions.rng import uniform, uniform_py
 from netloom.model import Graph, GraphError, symmetric
-from netloom.operators import kernels
+from netloom.operators import access, kernels
+from netloom.plans.ordering import with_rank
+from netloom.session import materialize
 
 
 def sample_vertices(spark: SparkSession, n: int, samples: int = 1) -> DataFrame:
@@ -44,32 +46,63 @@ def _graph(vertices: DataFrame, canonical: DataFrame) -> Graph:
 
 
 def er_c(spark: SparkSession, n: int, c: float, seed: int, samples: int = 1) -> Graph:
-    """Each pair with probability c/(n-1): u <= p."""
+    """Each pair with probability p = c/(n-1), in time proportional to the edges.
+
+    Vertex i skips from one of its partners above i to the next: the gaps are
+    geometric, the k-th one from the random number of (sample, i, k) (Batagelj
+    and Brandes 2005). No pair without an edge is ever looked at.
+    """
     if n < 2:
         raise GraphError("at least two vertices")
-    v = sample_vertices(spark, n, samples)
-    return _graph(v, all_pairs(v, n).where(uniform(seed, "er_c", "graph_id", "src", "dst") <= F.lit(c / (n - 1))))
+    v, p = sample_vertices(spark, n, samples), c / (n - 1)
+
+    def partners(g: int, i: int):
+        if p >= 1:
+            yield from range(i + 1, n)
+        elif p > 0:
+            at, k = i, 1
+            while (at := at + 1 + int(math.log(1 - uniform_py(seed, "er_c", g, i, k)) / math.log(1 - p))) < n:
+                yield at
+                k += 1
+
+    def run(batches):
+        for b in batches:
+            src, dst, gid = [], [], []
+            for g, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                new = list(partners(g, i))
+                dst += new
+                src += [i] * len(new)
+                gid += [g] * len(new)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (gid, src, dst)], names=["graph_id", "src", "dst"])
+
+    return _graph(v, v.mapInArrow(run, "graph_id long, src long, dst long"))
 
 
 def er_m(spark: SparkSession, n: int, m: int, seed: int, samples: int = 1) -> Graph:
-    """Exactly m pairs: those of the m smallest random numbers.
+    """Exactly m pairs, all sets of m equally likely, in time proportional to m.
 
-    All but a few candidates are dropped by a threshold that the m-th smallest
-    exceeds with negligible probability; the rank then sorts what is left, and
-    the threshold is dropped should a sample turn out short.
+    Up to half of all pairs: pairs are drawn one after the other and the first m
+    different ones count; should the draws not give m, more are made. Beyond
+    that the graph has most pairs anyway, and those of the m smallest random numbers are taken.
     """
     pairs = n * (n - 1) // 2
     if m > pairs:
         raise GraphError("more edges than pairs")
     v = sample_vertices(spark, n, samples)
-    ranked = all_pairs(v, n).withColumn("u", uniform(seed, "er_m", "graph_id", "src", "dst"))
-    likely = (m + 10 * math.sqrt(m + 1) + 20) / pairs
-    if likely < 0.5:
-        few = ranked.where(F.col("u") <= likely)
-        enough = few.groupBy("graph_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= m).count() == samples
-        ranked = few if enough else ranked
-    order = Window.partitionBy("graph_id").orderBy("u", "src", "dst")
-    return _graph(v, ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= m))
+    if 2 * m > pairs:
+        ranked = with_rank(all_pairs(v, n).withColumn("u", uniform(seed, "er_m", "graph_id", "src", "dst")), "u", "src", "dst")
+        return _graph(v, ranked.where(F.col("rank") < m))
+    draws = 2 * m + 64
+    while True:
+        drawn = spark.range(samples * draws).select(F.floor(F.col("id") / draws).alias("graph_id"), (F.col("id") % draws).alias("k"))
+        a = F.floor(uniform(seed, "er_m_a", "graph_id", "k") * n)
+        b = F.floor(uniform(seed, "er_m_b", "graph_id", "k") * (n - 1))
+        both = drawn.select("graph_id", "k", a.alias("a"), b.alias("b")).withColumn("b", F.col("b") + (F.col("b") >= F.col("a")).cast("long"))
+        first = both.groupBy("graph_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.min("k").alias("k"))
+        kept = materialize(with_rank(first, "k").where(F.col("rank") < m))
+        if kept.count() == samples * m:
+            return _graph(v, kept)
+        draws *= 2
 
 
 def positions(spark: SparkSession, n: int, seed: int, samples: int = 1) -> DataFrame:
@@ -113,11 +146,9 @@ def spatial(spark: SparkSession, n: int, f: float, alpha: float, seed: int, samp
 def latin_hypercube_2d(spark: SparkSession, n: int, seed: int, samples: int = 1) -> DataFrame:
     """graph_id, id, x, y: each coordinate a random permutation of 0..n-1."""
     v = sample_vertices(spark, n, samples)
-    out = v
     for c in ("x", "y"):
-        order = Window.partitionBy("graph_id").orderBy(uniform(seed, f"lhs_{c}", "graph_id", "id"), "id")
-        out = out.withColumn(c, (F.row_number().over(order) - 1).cast("long"))
-    return out
+        v = with_rank(v, uniform(seed, f"lhs_{c}", "graph_id", "id"), "id", out=c)
+    return v
 
 
 def dog_base(spark: SparkSession, n: int, kappa: float, seed: int, samples: int = 1) -> Graph:
@@ -182,18 +213,38 @@ def config_from_degrees(degrees: DataFrame, seed: int, samples: int = 1) -> Grap
     return _graph(rows.select("graph_id", "id"), rows.groupBy("graph_id").applyInArrow(run, "graph_id long, src long, dst long"))
 
 
-def simple_sample(samples: DataFrame, measures: list[str]) -> DataFrame:
-    """graph_id and one double column for each named measure, measured where the sample is drawn."""
-    unknown = set(measures) - set(kernels.MEASURES)
-    if unknown:
-        raise ValueError(f"unknown measures: {sorted(unknown)}")
+#: A measure: a name of kernels.MEASURES, or a function of a kernels.Adjacency that returns a number or None.
+Measure = str | Callable[[kernels.Adjacency], float | None]
+
+
+def measure(m: Measure) -> Callable[[kernels.Adjacency], float | None]:
+    """The function behind a name, or a function itself."""
+    if callable(m):
+        return m
+    if m not in kernels.MEASURES:
+        raise ValueError(f"unknown measure: {m!r}")
+    return kernels.MEASURES[m]
+
+
+def measures_of(measures: list[str] | dict[str, Measure]) -> dict[str, Callable]:
+    """Column name -> function: from a list of names, or from names that the caller gives to functions or named measures."""
+    return {name: measure(m) for name, m in (measures if isinstance(measures, dict) else {m: m for m in measures}).items()}
+
+
+def _figure(x) -> float | None:
+    return None if x is None else float(x)
+
+
+def simple_sample(samples: DataFrame, measures: list[str] | dict[str, Measure]) -> DataFrame:
+    """graph_id and one double column for each measure, taken where the sample is drawn."""
+    chosen = measures_of(measures)
 
     def run(batches):
         for graph_id, model in _each(batches):
-            cols = [pa.array([kernels.MEASURES[m](model.g)], pa.float64()) for m in measures]
-            yield pa.RecordBatch.from_arrays([pa.array([graph_id], pa.int64()), *cols], names=["graph_id", *measures])
+            cols = [pa.array([_figure(f(model.g))], pa.float64()) for f in chosen.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([graph_id], pa.int64()), *cols], names=["graph_id", *chosen])
 
-    return samples.mapInArrow(run, ", ".join(["graph_id long", *(f"{m} double" for m in measures)]))
+    return samples.mapInArrow(run, ", ".join(["graph_id long", *(f"`{m}` double" for m in chosen)]))
 
 
 def step_log(samples: DataFrame, steps: int) -> DataFrame:
@@ -225,58 +276,133 @@ def steps_and_undo(samples: DataFrame, steps: int) -> DataFrame:
     return samples.mapInArrow(run, "graph_id long, src long, dst long, stage string")
 
 
-def metropolis(samples: DataFrame, steps: int, step_size: int, temperature: float, energy: str, connected: bool = False) -> DataFrame:
-    """graph_id, counter, energy, accepted of one chain for each sample.
-
-    ``energy`` names a measure; a null energy refuses the proposal. With
-    ``connected`` the start is redrawn until the graph is connected.
+def metropolis(
+    samples: DataFrame,
+    steps: int,
+    step_size: int,
+    temperature: float,
+    energy: Measure,
+    connected: bool = False,
+    stop: Callable[[int, float | None], bool] | None = None,
+    observe: dict[str, Measure] | None = None,
+) -> DataFrame:
+    """graph_id, counter, energy, accepted of one chain for each sample, and a double column for each measure in ``observe``.
+
+    A null energy refuses the proposal. With ``connected`` the start is redrawn
+    until the graph is connected. A chain ends after ``steps`` proposals, or
+    behind the first for which ``stop(counter, energy)`` is true.
     """
+    f, seen = measure(energy), measures_of(observe or {})
 
     def run(batches):
         for graph_id, model in _each(batches):
             while connected and not kernels.connected(model.g):
                 model.randomize()
-            rows = list(kernels.metropolis(model, steps, step_size, temperature, kernels.MEASURES[energy]))
-            yield pa.RecordBatch.from_arrays([pa.array([graph_id] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.bool_())], names=["graph_id", "counter", "energy", "accepted"])
+            rows = [(*r, *(_figure(o(model.g)) for o in seen.values())) for r in kernels.metropolis(model, steps, step_size, temperature, f, stop=stop)]
+            cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([_figure(r[1]) for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.bool_())]
+            cols += [pa.array([r[3 + k] for r in rows], pa.float64()) for k in range(len(seen))]
+            yield pa.RecordBatch.from_arrays([pa.array([graph_id] * len(rows), pa.int64()), *cols], names=["graph_id", "counter", "energy", "accepted", *seen])
 
-    return samples.mapInArrow(run, "graph_id long, counter long, energy double, accepted boolean")
+    return samples.mapInArrow(run, ", ".join(["graph_id long", "counter long", "energy double", "accepted boolean", *(f"`{k}` double" for k in seen)]))
 
 
-def reject_chain(samples: DataFrame, steps: int, measure: str, least: float) -> DataFrame:
+def reject_chain(samples: DataFrame, steps: int, value: Measure, least: float) -> DataFrame:
     """graph_id, stayed, and the measure at the end, of chains that refuse graphs whose measure is under ``least``."""
+    f = measure(value)
 
     def run(batches):
         for graph_id, model in _each(batches):
-            f = kernels.MEASURES[measure]
             stayed = kernels.reject_chain(model, steps, lambda g: (f(g) or 0.0) >= least)
-            yield pa.RecordBatch.from_arrays([pa.array([graph_id], pa.int64()), pa.array([stayed], pa.int64()), pa.array([f(model.g)], pa.float64())], names=["graph_id", "stayed", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([graph_id], pa.int64()), pa.array([stayed], pa.int64()), pa.array([_figure(f(model.g))], pa.float64())], names=["graph_id", "stayed", "value"])
 
     return samples.mapInArrow(run, "graph_id long, stayed long, value double")
 
 
-def wang_landau(samples: DataFrame, lo: int, hi: int, measure: str, sweeps: int) -> DataFrame:
-    """graph_id, value, log_density: independent estimates, one for each sample that starts inside lo..hi."""
+def _into_window(model: kernels.Model, f: Callable, lo: int, hi: int) -> None:
+    """Redraw until the value lies inside lo..hi; ValueError if 1000 draws don't."""
+    for _ in range(1000):
+        if lo <= int(f(model.g)) <= hi:
+            return
+        model.randomize()
+    raise ValueError(f"no draw lies inside {lo}..{hi}")
+
+
+def wang_landau(samples: DataFrame, lo: int, hi: int, value: Measure, sweeps: int) -> DataFrame:
+    """graph_id, value, log_density: an estimate for each sample, whose chain starts inside lo..hi."""
+    f = measure(value)
 
     def run(batches):
         for graph_id, model in _each(batches):
-            f = kernels.MEASURES[measure]
-            for _ in range(100):
-                if lo <= int(f(model.g)) <= hi:
-                    break
-                model.randomize()
+            _into_window(model, f, lo, hi)
             out = kernels.wang_landau(model, lo, hi, lambda g: int(f(g)), sweeps)
             yield pa.RecordBatch.from_arrays([pa.array([graph_id] * len(out), pa.int64()), pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.float64())], names=["graph_id", "value", "log_density"])
 
     return samples.mapInArrow(run, "graph_id long, value long, log_density double")
 
 
-def measure_grouped(graph: Graph, measures: list[str]) -> DataFrame:
-    """Named measures of every graph of a Graph, one group for each graph: for many small graphs."""
+def entropic(samples: DataFrame, lo: int, hi: int, value: Measure, sweeps: int, steps: int) -> DataFrame:
+    """graph_id, value, hits, log_density: Wang and Landau's estimate, refined by ``steps`` steps of entropic sampling with it."""
+    f = measure(value)
+
+    def run(batches):
+        for graph_id, model in _each(batches):
+            _into_window(model, f, lo, hi)
+            first = kernels.wang_landau(model, lo, hi, lambda g: int(f(g)), sweeps)
+            hits, out = kernels.entropic(model, first, lambda g: int(f(g)), steps)
+            cols = [pa.array([graph_id] * len(out), pa.int64()), pa.array(list(out), pa.int64()), pa.array(list(hits.values()), pa.int64()), pa.array(list(out.values()), pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["graph_id", "value", "hits", "log_density"])
+
+    return samples.mapInArrow(run, "graph_id long, value long, hits long, log_density double")
+
+
+def states(samples: DataFrame, steps: int = 0) -> DataFrame:
+    """graph_id, state: the whole state of each ensemble, generator included, as JSON, after ``steps`` Markov steps."""
+
+    def run(batches):
+        for graph_id, model in _each(batches):
+            model.m_steps(steps)
+            yield pa.RecordBatch.from_arrays([pa.array([graph_id], pa.int64()), pa.array([json.dumps(model.state())])], names=["graph_id", "state"])
+
+    return samples.mapInArrow(run, "graph_id long, state string")
+
+
+def states_of(graph: Graph, seed: int, c: float) -> DataFrame:
+    """graph_id, state: each graph as the state of an ensemble whose pairs are edges with probability c/(n-1), to go on from with ``resume``."""
+
+    def run(key, t):
+        t = t.sort_by("id")
+        n, adj = t.num_rows, t.column("adj").to_pylist()
+        if t.column("id").to_pylist() != list(range(n)):
+            raise GraphError("ids must be dense")
+        state = {"model": "ErC", "rng": [f"{seed}.{key[0].as_py()}", "er_c", 0], "adj": adj, "own": {"n": n, "c": c}}
+        return pa.table({"graph_id": pa.array([key[0].as_py()], pa.int64()), "state": pa.array([json.dumps(state)])})
+
+    return access.containers(graph).select("graph_id", "id", "adj").groupBy("graph_id").applyInArrow(run, "graph_id long, state string")
+
+
+def resume(saved: DataFrame, steps: int, measures: list[str] | dict[str, Measure] = ()) -> DataFrame:
+    """graph_id, state and measures after ``steps`` more steps from saved states: the same as if the chain had not stopped."""
+    chosen = measures_of(measures if isinstance(measures, dict) else list(measures))
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                model = kernels.resume(json.loads(r["state"]))
+                model.m_steps(steps)
+                cols = [pa.array([_figure(f(model.g))], pa.float64()) for f in chosen.values()]
+                yield pa.RecordBatch.from_arrays([pa.array([r["graph_id"]], pa.int64()), pa.array([json.dumps(model.state())]), *cols], names=["graph_id", "state", *chosen])
+
+    return saved.select("graph_id", "state").mapInArrow(run, ", ".join(["graph_id long", "state string", *(f"`{m}` double" for m in chosen)]))
+
+
+def measure_grouped(graph: Graph, measures: list[str] | dict[str, Measure]) -> DataFrame:
+    """Measures of every graph of a Graph, one group for each graph: for many small graphs."""
+    chosen = measures_of(measures)
     sizes = graph.vertices.groupBy("graph_id").agg((F.max("id") + 1).alias("n"))
     lists = graph.topology().where("src < dst").join(sizes, "graph_id", "right").select("graph_id", "n", "src", "dst")
 
     def run(key, t):
         g = kernels.Adjacency.of_edges(t.column("n")[0].as_py(), [(a, b) for a, b in zip(t.column("src").to_pylist(), t.column("dst").to_pylist(), strict=True) if a is not None])
-        return pa.table({"graph_id": pa.array([key[0].as_py()], pa.int64()), **{m: pa.array([kernels.MEASURES[m](g)], pa.float64()) for m in measures}})
+        return pa.table({"graph_id": pa.array([key[0].as_py()], pa.int64()), **{m: pa.array([_figure(f(g))], pa.float64()) for m, f in chosen.items()}})
 
-    return lists.groupBy("graph_id").applyInArrow(run, ", ".join(["graph_id long", *(f"{m} double" for m in measures)]))
+    return lists.groupBy("graph_id").applyInArrow(run, ", ".join(["graph_id long", *(f"`{m}` double" for m in chosen)]))

@@ -5,6 +5,7 @@ Anything here is bounded by one graph; many graphs run in parallel.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import math
 from collections import deque
@@ -218,9 +219,36 @@ MEASURES = {
 # ---------------------------------------------------------------- models
 
 
+class StepError(ValueError):
+    """A step that can't be undone: the graph is not the one that the step left."""
+
+
+class DegreeError(ValueError):
+    """No simple graph has these degrees."""
+
+
+class RingError(ValueError):
+    """A ring of this distance, or a probability, that the model can't have."""
+
+
 class Model:
     """A random graph with reversible Markov steps; ``rng`` is its only source of chance."""
 
+    #: Parameters that ``set_params`` may change; steps and draws from then on follow the new values.
+    PARAMS: tuple[str, ...] = ()
+
+    def set_params(self, **params: float) -> None:
+        unknown = set(params) - set(self.PARAMS)
+        if unknown:
+            raise ValueError(f"no such parameters: {sorted(unknown)}")
+        for k, v in params.items():
+            setattr(self, k, v)
+
+    def state(self) -> dict:
+        """Everything, generator and order of adjacency included, as values of JSON; ``resume`` goes on from it."""
+        own = {k: [[*e, x] for e, x in v.items()] if k == "at_origin" else v for k, v in self.__dict__.items() if k not in ("rng", "g")}
+        return {"model": type(self).__name__, "rng": [self.rng.seed, self.rng.stream, self.rng.counter], "adj": [list(a) for a in self.g.adj], "own": own}
+
     def __init__(self, rng: Rng, n: int):
         self.rng, self.n = rng, n
         self.g = Adjacency(n)
@@ -245,14 +273,16 @@ class Model:
         kind, i, j = step[:3]
         if kind == "add":
             if not self.g.remove(i, j):
-                raise ValueError(f"step can't be undone: {step}")
+                raise StepError(f"step can't be undone: {step}")
         elif kind == "remove" and not self.g.add(i, j):
-            raise ValueError(f"step can't be undone: {step}")
+            raise StepError(f"step can't be undone: {step}")
 
 
 class ErC(Model):
     """Each pair is an edge with probability c/(n-1)."""
 
+    PARAMS = ("c",)
+
     def __init__(self, rng, n, c):
         if n < 2:
             raise ValueError("at least two vertices")
@@ -330,9 +360,11 @@ class ErM(Model):
 class Sw(Model):
     """Small world with root edges: every vertex owns d edges that a rewiring moves and a reset brings back."""
 
+    PARAMS = ("r",)
+
     def __init__(self, rng, n, r, distance=2):
         if n < 2 * distance + 1:
-            raise ValueError("the ring needs more vertices")
+            raise RingError("the ring needs more vertices")
         super().__init__(rng, n)
         self.r, self.d = r, distance
         self.g = Adjacency.of_edges(n, [(i, (i + k) % n) for i in range(n) for k in range(1, distance + 1)])
@@ -353,6 +385,10 @@ class Sw(Model):
         self.root[i][k] = to
         return ("changed", i, k, old, to)
 
+    def draw_edge(self) -> tuple[int, int]:
+        """A root edge at random: (vertex, which of its own edges)."""
+        return self.rng.below(self.n), self.rng.below(self.d)
+
     def _draw(self, i: int, k: int):
         if self.rng.random() <= self.r:
             to = self.rng.below(self.n - 1)
@@ -365,11 +401,11 @@ class Sw(Model):
                 self._draw(i, k)
 
     def m_step(self):
-        return self._draw(self.rng.below(self.n), self.rng.below(self.d))
+        return self._draw(*self.draw_edge())
 
     def undo(self, step):
         if step[0] == "changed" and self._move(step[1], step[2], step[3])[0] != "changed":
-            raise ValueError(f"step can't be undone: {step}")
+            raise StepError(f"step can't be undone: {step}")
 
     def long_ranging(self) -> int:
         return sum(self.root[i][k] != self.origin(i, k) for i in range(self.n) for k in range(self.d))
@@ -396,9 +432,11 @@ class Sw(Model):
 class Ws(Model):
     """Watts-Strogatz variant: an edge at its origin moves to a uniformly drawn pair without edge."""
 
+    PARAMS = ("p",)
+
     def __init__(self, rng, n, distance, p, single_pass=False):
         if n < 2 * distance + 1 or distance < 1 or not 0 <= p <= 1:
-            raise ValueError("ring distance or probability out of range")
+            raise RingError("ring distance or probability out of range")
         super().__init__(rng, n)
         self.d, self.p, self.single_pass = distance, p, single_pass
         self.randomize()
@@ -453,26 +491,43 @@ class Ba(Model):
 
 
 class Config(Model):
-    """A simple graph with an exact degree vector, by stub matching with restarts."""
+    """A simple graph with an exact degree vector: a graph that has it, then random swaps of edge pairs.
+
+    The start connects the vertex of most missing partners to those that miss
+    most after it (Havel and Hakimi), which always succeeds for a valid vector.
+    ``MIXING`` swaps for each edge forget the start (each keeps all degrees,
+    and any graph can be reached), so a draw takes time linear in the edges
+    whatever the degrees.
+    """
 
-    ATTEMPTS = 20_000
+    MIXING = 10
 
     def __init__(self, rng, degrees):
         self.degrees = list(degrees)
         if not valid_degrees(self.degrees):
-            raise ValueError("no simple graph has these degrees")
+            raise DegreeError("no simple graph has these degrees")
         super().__init__(rng, len(self.degrees))
         self.randomize()
 
     def randomize(self):
-        stubs = [v for v, d in enumerate(self.degrees) for _ in range(d)]
-        for _ in range(self.ATTEMPTS):
-            self.rng.shuffle(stubs)
-            g = Adjacency(self.n)
-            if all(g.add(a, b) for a, b in zip(stubs[::2], stubs[1::2], strict=True)):
-                self.g = g
-                return
-        raise RuntimeError("no simple matching found")
+        g = Adjacency(self.n)
+        heap = [(-d, v) for v, d in enumerate(self.degrees) if d]
+        heapq.heapify(heap)
+        while heap:
+            d, v = heapq.heappop(heap)
+            for e, w in [heapq.heappop(heap) for _ in range(-d)]:
+                g.add(v, w)
+                if e < -1:
+                    heapq.heappush(heap, (e + 1, w))
+        self.g = g
+        edges = g.edges()
+        for _ in range(self.MIXING * len(edges)):
+            a, b = self.rng.below(len(edges)), self.rng.below(len(edges))
+            (i, j), (k, x) = edges[a], edges[b]
+            if self.rng.random() < 0.5:
+                k, x = x, k
+            if self._swap(i, j, k, x)[0] == "swap":
+                edges[a], edges[b] = (i, k), (j, x)
 
     def m_step(self):
         """(n, j), (k, l) become (n, k), (j, l)."""
@@ -495,12 +550,14 @@ class Config(Model):
 
     def undo(self, step):
         if step[0] == "swap" and self._swap(step[1], step[3], step[2], step[4])[0] != "swap":
-            raise ValueError(f"step can't be undone: {step}")
+            raise StepError(f"step can't be undone: {step}")
 
 
 class Spatial(ErC):
     """Points in the unit square; the chance of an edge falls with the distance."""
 
+    PARAMS = ("f", "alpha")
+
     def __init__(self, rng, n, f, alpha):
         self.f, self.alpha = f, alpha
         self.xy = [(rng.random(), rng.random()) for _ in range(n)]
@@ -588,8 +645,21 @@ def build(model: str, seed: int, params: dict) -> Model:
     return makers[model]()
 
 
-def metropolis(model: Model, steps: int, step_size: int, temperature: float, energy, counter: int = 0, start: float | None = None):
-    """Yield (counter, energy, accepted) for each of ``steps`` proposals of ``step_size`` Markov steps."""
+def resume(state: dict) -> Model:
+    """The model that ``Model.state`` described."""
+    kind = {c.__name__: c for c in (ErC, ErM, Sw, Ws, Ba, Config, Spatial, Dog)}[state["model"]]
+    model = kind.__new__(kind)
+    own = dict(state["own"])
+    if "at_origin" in own:
+        own["at_origin"] = {(a, b): x for a, b, x in own["at_origin"]}
+    model.__dict__.update(own)
+    model.rng = Rng(*state["rng"])
+    model.g = Adjacency.of(model.n, enumerate(state["adj"]))
+    return model
+
+
+def metropolis(model: Model, steps: int, step_size: int, temperature: float, energy, counter: int = 0, start: float | None = None, stop=None):
+    """Yield (counter, energy, accepted) for each of ``steps`` proposals of ``step_size`` Markov steps, up to the first that ``stop(counter, energy)`` ends with."""
     e = energy(model.g) if start is None else start
     for k in range(counter + 1, counter + steps + 1):
         made = model.m_steps(step_size)
@@ -600,6 +670,8 @@ def metropolis(model: Model, steps: int, step_size: int, temperature: float, ene
         else:
             model.undo_steps(made)
         yield k, e, ok
+        if stop is not None and stop(k, e):
+            return
 
 
 def reject_chain(model: Model, steps: int, keep) -> int:
@@ -634,3 +706,26 @@ def wang_landau(model: Model, lo: int, hi: int, value, sweeps: int, step_size: i
             if log_f < least_log_f:
                 break
     return {v: g - min(log_g.values()) for v, g in log_g.items()}
+
+
+def entropic(model: Model, log_density: dict[int, float], value, steps: int, step_size: int = 1) -> tuple[dict[int, int], dict[int, float]]:
+    """Entropic sampling (Lee 1993): a chain whose weights are the inverse of an estimated density visits all values about equally.
+
+    Returns how often each value was visited, and the estimate corrected by
+    that: log density plus log visits, for the values visited.
+    """
+    hits = dict.fromkeys(log_density, 0)
+    now = value(model.g)
+    if now not in hits:
+        raise ValueError("the start lies outside the window")
+    for _ in range(steps):
+        made = model.m_steps(step_size)
+        new = value(model.g)
+        if new in hits and math.log(max(model.rng.random(), 1e-300)) <= log_density[now] - log_density[new]:
+            now = new
+        else:
+            model.undo_steps(made)
+        hits[now] += 1
+    seen = {v: log_density[v] + math.log(h) for v, h in hits.items() if h}
+    least = min(seen.values(), default=0.0)
+    return hits, {v: seen[v] - least if v in seen else None for v in hits}

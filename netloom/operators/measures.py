@@ -2,7 +2,8 @@
 
 Relational where one plan expresses the measure; loops over tables in the
 shared folder where the number of rounds depends on the data; one group for
-each graph only where the algorithm is sequential.
+each graph only where the algorithm is sequential, or where the caller asks for
+it (``in_tasks``, for many small graphs; same results).
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql.window import Window
 from netloom.model import Graph
 from netloom.operators import small
 from netloom.operators.access import degrees, edge_count, vertex_count
-from netloom.operators.traverse import all_sources, bfs
+from netloom.operators.traverse import all_sources, bfs, filtered
 from netloom.plans.fixpoint import iterate
-from netloom.session import materialize
+from netloom.plans.ordering import with_rank
+from netloom.session import Levels, discard, materialize
 
 
 def average_degree(graph: Graph) -> DataFrame:
@@ -36,13 +38,13 @@ def leaf_count(graph: Graph) -> DataFrame:
     return degrees(graph).groupBy("graph_id").agg(F.count_if(F.col("degree") == 1).alias("leaf_count"))
 
 
-def labels(graph: Graph) -> DataFrame:
+def labels(graph: Graph, in_tasks: bool = False) -> DataFrame:
     """graph_id, id, label: the least index of the component.
 
     Each round a vertex takes the least label among its own, its neighbours'
     and its label's label; the jump makes long paths take logarithmically many rounds.
     """
-    if small.fits(graph):
+    if in_tasks:
         return small.labels(graph)
     edges = graph.topology()
     least = edges.groupBy("graph_id", F.col("src").alias("id")).agg(F.min("dst").alias("m"))
@@ -58,59 +60,60 @@ def labels(graph: Graph) -> DataFrame:
     return iterate(start, step)
 
 
-def connected_components_ids(graph: Graph) -> DataFrame:
+def connected_components_ids(graph: Graph, in_tasks: bool = False) -> DataFrame:
     """graph_id, id, component: components numbered by their least member, from 0."""
-    found = labels(graph)
-    roots = found.where("id = label").select("graph_id", "label", (F.row_number().over(Window.partitionBy("graph_id").orderBy("label")) - 1).cast("long").alias("component"))
+    found = labels(graph, in_tasks)
+    roots = with_rank(found.where("id = label").select("graph_id", "label"), "label", out="component")
     return found.join(roots, ["graph_id", "label"]).select("graph_id", "id", "component")
 
 
-def connected_components(graph: Graph) -> DataFrame:
+def connected_components(graph: Graph, in_tasks: bool = False) -> DataFrame:
     """graph_id, rank, size: component sizes, descending."""
-    sizes = labels(graph).groupBy("graph_id", "label").agg(F.count(F.lit(1)).alias("size"))
-    order = Window.partitionBy("graph_id").orderBy(F.desc("size"), "label")
-    return sizes.select("graph_id", (F.row_number().over(order) - 1).cast("long").alias("rank"), "size")
+    sizes = labels(graph, in_tasks).groupBy("graph_id", "label").agg(F.count(F.lit(1)).alias("size"))
+    return with_rank(sizes, F.desc("size"), "label").select("graph_id", "rank", "size")
 
 
-def suggest_connections(graph: Graph) -> DataFrame:
+def suggest_connections(graph: Graph, in_tasks: bool = False) -> DataFrame:
     """graph_id, id: the least vertex of each component."""
-    return labels(graph).where("id = label").select("graph_id", "id")
+    return labels(graph, in_tasks).where("id = label").select("graph_id", "id")
 
 
-def is_connected(graph: Graph) -> DataFrame:
-    return labels(graph).groupBy("graph_id").agg((F.count_if(F.col("id") == F.col("label")) == 1).alias("is_connected"))
+def is_connected(graph: Graph, in_tasks: bool = False) -> DataFrame:
+    return labels(graph, in_tasks).groupBy("graph_id").agg((F.count_if(F.col("id") == F.col("label")) == 1).alias("is_connected"))
 
 
 def core(graph: Graph, q: int) -> Graph:
-    """The q-core: vertices of degree under q removed until none is left. All of a round go at once."""
-    import netloom.operators.traverse as traverse
-
-    kept = materialize(graph.vertices.select("graph_id", "id"))
-    g = Graph(kept, materialize(graph.topology()))
-    while True:
-        strong = materialize(degrees(g).where(F.col("degree") >= q).select("graph_id", "id"))
-        gone = kept.join(strong, ["graph_id", "id"], "left_anti").limit(1).count()
-        if not gone:
-            return g
-        kept = strong
-        part = traverse.filtered(Graph(strong, g.edges), F.lit(True))
-        g = Graph(strong, materialize(part.edges))
-
-
-def q_core(graph: Graph, q: int) -> DataFrame:
+    """The q-core: vertices of degree under q removed until none is left. All of a round go at once, and
+    rounds carry only the degrees of vertices that lost a neighbour: as many rounds as the longest cascade."""
+    edges = graph.topology()
+    gone = Levels(graph.vertices.sparkSession, "round")
+    weak = gone.write(degrees(graph).where(F.col("degree") < q).select("graph_id", "id"), 0)
+    state, k = materialize(degrees(graph).where(F.col("degree") >= q)), 0
+    while weak.limit(1).count():
+        k += 1
+        lost = weak.join(edges.select("graph_id", F.col("src").alias("id"), "dst"), ["graph_id", "id"]).groupBy("graph_id", F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("lost"))
+        after = materialize(state.join(lost, ["graph_id", "id"], "left").select("graph_id", "id", (F.col("degree") - F.coalesce("lost", F.lit(0))).alias("degree")))
+        discard(state)
+        weak = gone.write(after.where(F.col("degree") < q).select("graph_id", "id"), k)
+        state = after.where(F.col("degree") >= q)
+        state._netloom_path = after._netloom_path
+    return filtered(Graph(graph.vertices.join(state.select("graph_id", "id"), ["graph_id", "id"], "left_semi"), edges), F.lit(True))
+
+
+def q_core(graph: Graph, q: int, in_tasks: bool = False) -> DataFrame:
     """graph_id, q_core: size of the largest component of the q-core, 0 if it is empty; null if q < 2."""
     ids = graph.vertices.select("graph_id").distinct()
     if q < 2:
         return ids.withColumn("q_core", F.lit(None).cast("long"))
-    if small.fits(graph):
+    if in_tasks:
         return small.q_core(graph, q)
-    sizes = labels(core(graph, q)).groupBy("graph_id", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("graph_id").agg(F.max("n").alias("n"))
+    sizes = labels(core(graph, q).materialized()).groupBy("graph_id", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("graph_id").agg(F.max("n").alias("n"))
     return ids.join(sizes, "graph_id", "left").select("graph_id", F.coalesce("n", F.lit(0)).cast("long").alias("q_core"))
 
 
-def diameter(graph: Graph) -> DataFrame:
+def diameter(graph: Graph, in_tasks: bool = False) -> DataFrame:
     """graph_id, diameter; null for a disconnected graph, whose all-source search is not run."""
-    if small.fits(graph, quadratic=True):
+    if in_tasks:
         return small.diameter(graph)
     whole = materialize(is_connected(graph))
     ok = whole.where("is_connected").select("graph_id")
@@ -119,9 +122,9 @@ def diameter(graph: Graph) -> DataFrame:
     return whole.select("graph_id").join(far, "graph_id", "left")
 
 
-def longest_shortest_path(graph: Graph, index: int) -> DataFrame:
+def longest_shortest_path(graph: Graph, index: int, in_tasks: bool = False) -> DataFrame:
     """The eccentricity of one vertex inside its component."""
-    return bfs(graph, index).groupBy("graph_id").agg(F.max("depth").alias("longest"))
+    return bfs(graph, index, in_tasks).groupBy("graph_id").agg(F.max("depth").alias("longest"))
 
 
 def transitivity(graph: Graph) -> DataFrame:
@@ -162,19 +165,18 @@ def vertex_biconnected_components(graph: Graph, skip_bridges: bool = False) -> D
     sizes = edges.groupBy("graph_id", "label").applyInArrow(run, "graph_id long, label long, size long")
     if skip_bridges:
         sizes = sizes.where("size > 2")
-    order = Window.partitionBy("graph_id").orderBy(F.desc("size"), "label")
-    return sizes.select("graph_id", (F.row_number().over(order) - 1).cast("long").alias("rank"), "size")
+    return with_rank(sizes, F.desc("size"), "label").select("graph_id", "rank", "size")
 
 
-def vertex_load(graph: Graph, include_endpoints: bool = False) -> DataFrame:
+def vertex_load(graph: Graph, include_endpoints: bool = False, in_tasks: bool = False) -> DataFrame:
     """graph_id, id, load: each shortest path is shared equally among the predecessors of every vertex on it.
 
     One search from all sources gives the predecessor edges; the backward pass
     runs one aggregation for each level, for all sources at once.
     """
-    if small.fits(graph, quadratic=True):
+    if in_tasks:
         return small.vertex_load(graph, include_endpoints)
-    visits = materialize(all_sources(graph))
+    visits = all_sources(graph)
     deepest = visits.agg(F.max("depth")).first()[0] or 0
     edges = graph.topology()
     # (source, v) -> predecessors p one level nearer
@@ -200,9 +202,9 @@ def vertex_load(graph: Graph, include_endpoints: bool = False) -> DataFrame:
     return graph.vertices.select("graph_id", "id").join(load, ["graph_id", "id"], "left").select("graph_id", "id", F.coalesce("load", F.lit(0.0)).alias("load"))
 
 
-def closeness_centrality(graph: Graph) -> DataFrame:
+def closeness_centrality(graph: Graph, in_tasks: bool = False) -> DataFrame:
     """(V-1) over the sum of distances; unreachable vertices add nothing, isolated vertices are infinite."""
-    if small.fits(graph, quadratic=True):
+    if in_tasks:
         return small.closeness(graph)
     sums = all_sources(graph).groupBy("graph_id", "id").agg(F.sum("depth").alias("s"))
     return sums.join(vertex_count(graph), "graph_id").select("graph_id", "id", F.when(F.col("s") == 0, F.lit(float("inf"))).otherwise((F.col("vertex_count") - 1) / F.when(F.col("s") != 0, F.col("s"))).alias("closeness"))

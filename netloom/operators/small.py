@@ -1,8 +1,7 @@
-"""The same measures for graphs that fit into a task each: one job instead of one for every round.
+"""The same measures with one task for each graph: one job instead of one for every round.
 
-Used when every graph of a Graph is under a bound on the work of one task;
-larger graphs take the loops over tables. The bound depends on the largest
-graph, not on how many there are, so ensembles of any number stay one job.
+For ensembles of many graphs that are small each; the caller asks for it
+(``in_tasks``), the loops over tables are the default at every size.
 """
 
 from __future__ import annotations
@@ -16,19 +15,6 @@ from pyspark.sql import functions as F
 from netloom.model import Graph
 from netloom.operators import kernels
 
-#: Half-edges and vertices of one graph for linear algorithms, and their product for all-source ones.
-LINEAR, QUADRATIC = 200_000, 8_000_000
-
-
-def fits(graph: Graph, quadratic: bool = False) -> bool:
-    """Whether the largest graph is under the bound; two counts by graph_id reach the driver as one row."""
-    e = graph.edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("e"), F.lit(0).cast("long").alias("v"))
-    v = graph.vertices.groupBy("graph_id").agg(F.lit(0).cast("long").alias("e"), F.count(F.lit(1)).alias("v"))
-    sizes = e.unionByName(v).groupBy("graph_id").agg(F.sum("e").alias("e"), F.sum("v").alias("v"))
-    most = sizes.agg(F.max(F.col("e") + F.col("v")), F.max((F.col("e") + F.col("v")) * F.col("v"))).first()
-    return (most[1] or 0) <= QUADRATIC if quadratic else (most[0] or 0) <= LINEAR
-
-
 MARK = -1
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from netloom.model import Graph, symmetric
 from netloom.operators.measures import labels
+from netloom.plans.ordering import with_rank
+from netloom.session import materialize
 
 
 def clone_topology(graph: Graph, payload: Column) -> Graph:
@@ -20,18 +21,18 @@ def cloned_subgraph(graph: Graph, ids: DataFrame) -> Graph | None:
     want = ids.select("graph_id", "id").distinct()
     if not want.limit(1).count() or want.join(graph.vertices, ["graph_id", "id"], "left_anti").limit(1).count():
         return None
-    index = want.withColumn("new", (F.row_number().over(Window.partitionBy("graph_id").orderBy("id")) - 1).cast("long"))
+    index = materialize(with_rank(want, "id", out="new"))
     v = graph.vertices.join(index, ["graph_id", "id"]).drop("id").withColumnRenamed("new", "id")
     ends = lambda c: index.select("graph_id", F.col("id").alias(c), F.col("new").alias(f"{c}_new"))
     e = graph.topology().join(ends("src"), ["graph_id", "src"]).join(ends("dst"), ["graph_id", "dst"])
     return Graph(v, e.select("graph_id", F.col("src_new").alias("src"), F.col("dst_new").alias("dst")))
 
 
-def chain_components(graph: Graph) -> DataFrame:
+def chain_components(graph: Graph, in_tasks: bool = False) -> DataFrame:
     """(graph_id, src, dst): an edge from the least vertex of each component to that of the next."""
-    firsts = labels(graph).where("id = label").select("graph_id", "id")
-    nxt = F.lead("id").over(Window.partitionBy("graph_id").orderBy("id"))
-    return firsts.select("graph_id", F.col("id").alias("src"), nxt.alias("dst")).where("dst is not null")
+    firsts = with_rank(labels(graph, in_tasks).where("id = label").select("graph_id", "id"), "id")
+    later = firsts.select("graph_id", (F.col("rank") - 1).alias("rank"), F.col("id").alias("dst"))
+    return firsts.withColumnRenamed("id", "src").join(later, ["graph_id", "rank"]).select("graph_id", "src", "dst")
 
 
 def make_connected(graph: Graph) -> Graph:

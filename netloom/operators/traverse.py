@@ -1,8 +1,13 @@
 """Traversals: level-synchronous breadth-first search over tables, and stack orders inside a group.
 
-A search keeps (graph_id, source, id, depth) for every source at once. Each
-round joins only the newest level with the edges; what is already visited is
-removed by an anti-join. Levels are tables in the shared folder.
+A search keeps (graph_id, source, id) of every level for every source at once.
+Each round joins only the newest level with the edges. Edges go both ways, so
+what a level reaches lies in the level before it, in itself or in the next one:
+an anti-join against two levels is enough, and a round costs as much as its
+level. Levels are tables in one folder of the shared ones, read back as one.
+
+``in_tasks`` runs one task for each graph instead (see ``small``): the same
+rows, and faster for many small graphs, but a graph has to fit into a task.
 """
 
 from __future__ import annotations
@@ -12,40 +17,43 @@ from pyspark.sql import functions as F
 
 from netloom.model import Graph
 from netloom.operators import small
-from netloom.session import materialize
+from netloom.plans.ordering import with_rank
+from netloom.session import Levels
 
 VISIT = ["graph_id", "source", "id"]
 
 
-def multi_source_bfs(graph: Graph, sources: DataFrame, limit: int | None = None) -> DataFrame:
+def multi_source_bfs(graph: Graph, sources: DataFrame, limit: int | None = None, in_tasks: bool = False) -> DataFrame:
     """graph_id, source, id, depth of everything that each (graph_id, source) reaches; unknown sources give nothing."""
-    if limit is None and small.fits(graph, quadratic=True):
-        return small.from_sources(graph, sources)
+    if in_tasks:
+        found = small.from_sources(graph, sources)
+        return found if limit is None else found.where(F.col("depth") <= limit)
     edges = graph.topology()
     known = graph.vertices.select("graph_id", F.col("id").alias("source"))
-    level = materialize(sources.select("graph_id", "source").distinct().join(known, ["graph_id", "source"], "left_semi").select("graph_id", "source", F.col("source").alias("id"), F.lit(0).cast("long").alias("depth")))
-    visited, depth = level, 0
+    levels = Levels(graph.vertices.sparkSession, "depth")
+    level = levels.write(sources.select("graph_id", "source").distinct().join(known, ["graph_id", "source"], "left_semi").select("graph_id", "source", F.col("source").alias("id")), 0)
+    before, depth = level, 0
     while limit is None or depth < limit:
         depth += 1
-        reached = level.join(edges, (level["graph_id"] == edges["graph_id"]) & (level["id"] == edges["src"])).select(level["graph_id"], "source", F.col("dst").alias("id")).distinct()
-        level = materialize(reached.join(visited, VISIT, "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        reached = level.join(edges.select("graph_id", F.col("src").alias("id"), "dst"), ["graph_id", "id"]).select("graph_id", "source", F.col("dst").alias("id")).distinct()
+        fresh = reached.join(level if depth == 1 else level.unionByName(before), VISIT, "left_anti")
+        before, level = level, levels.write(fresh, depth)
         if not level.limit(1).count():
             break
-        visited = visited.unionByName(level)
-    return visited
+    return levels.read()
 
 
-def bfs(graph: Graph, index: int) -> DataFrame:
+def bfs(graph: Graph, index: int, in_tasks: bool = False) -> DataFrame:
     """graph_id, id, depth of the vertices reachable from one index in each graph."""
-    if small.fits(graph):
+    if in_tasks:
         return small.distances(graph, index).drop("source")
     sources = graph.vertices.select("graph_id").distinct().withColumn("source", F.lit(index).cast("long"))
     return multi_source_bfs(graph, sources).drop("source")
 
 
-def all_sources(graph: Graph) -> DataFrame:
-    """graph_id, source, id, depth of every pair of a component."""
-    if small.fits(graph, quadratic=True):
+def all_sources(graph: Graph, in_tasks: bool = False) -> DataFrame:
+    """graph_id, source, id, depth of every pair of a component: as many rows as pairs, by definition."""
+    if in_tasks:
         return small.distances(graph, None)
     return multi_source_bfs(graph, graph.vertices.select("graph_id", F.col("id").alias("source")))
 
@@ -69,6 +77,24 @@ def is_handled(graph: Graph, index: int, keep: Column) -> DataFrame:
     return graph.vertices.withColumn("_no", ~F.coalesce(keep, F.lit(False))).join(seen, ["graph_id", "id"], "left").select("graph_id", "id", (F.col("_no") | F.coalesce("_seen", F.lit(False))).alias("handled"))
 
 
+def bfs_mut(graph: Graph, index: int, payload: Column) -> Graph:
+    """``graph`` with a new payload at every vertex that a search from ``index`` reaches: an expression over id,
+    payload, ``depth`` and ``visit_pos``, the position of the vertex in the search (by depth, then by index)."""
+    order = with_rank(bfs(graph, index).select("graph_id", "id", "depth"), "depth", "id", out="visit_pos")
+    return _rewritten(graph, order, payload)
+
+
+def dfs_mut(graph: Graph, index: int, payload: Column) -> Graph:
+    """``graph`` with a new payload at every vertex that a stack search from ``index`` reaches: an expression over id, payload and ``visit_pos``."""
+    return _rewritten(graph, dfs(graph, index), payload)
+
+
+def _rewritten(graph: Graph, order: DataFrame, payload: Column) -> Graph:
+    columns = graph.vertices.columns
+    seen = graph.vertices.join(order.withColumn("_seen", F.lit(True)), ["graph_id", "id"], "left")
+    return graph.with_vertices(seen.withColumn("payload", F.when(F.col("_seen"), payload).otherwise(F.col("payload"))).select(columns))
+
+
 def dfs(graph: Graph, index: int) -> DataFrame:
     """graph_id, visit_pos, id in the order of an explicit stack whose vertices are marked when pushed.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from netloom.session import materialize
 
@@ -23,3 +24,19 @@ def with_position(df: DataFrame, *order: str, out: str = "id") -> DataFrame:
         total += r["n"]
     offsets = df.sparkSession.createDataFrame(starts, "_p long, _s long")
     return placed.join(F.broadcast(offsets), "_p").withColumn(out, F.col("_s") + F.col("_i")).drop("_p", "_i", "_m", "_s")
+
+
+def with_rank(df: DataFrame, *order, out: str = "rank", by: str = "graph_id") -> DataFrame:
+    """``df`` and the dense position (from 0) of each row among those of its graph, in the given order.
+
+    Like ``with_position``, so that one large graph is spread over all
+    partitions. The first row of a graph in a partition and the rows of the
+    graph in the partitions before fix the positions there: one row for each
+    graph in each partition that holds some of it.
+    """
+    placed = materialize(df.orderBy(by, *order).withColumn("_m", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1))
+    parts = placed.groupBy(by, "_p").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select(by, "_p", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_s"))
+    return placed.join(starts, [by, "_p"]).withColumn(out, F.col("_s") + F.col("_i")).drop("_p", "_i", "_m", "_s")

@@ -361,11 +361,34 @@ def _(spark, sf_dir):
     return traverse.dfs(g, 0).join(g.vertices, ["graph_id", "id"]).select("id", "payload.key")
 
 
-@query("dfs_order")
+DFS = """, near AS (SELECT src, list(dst ORDER BY dst) AS ids FROM e GROUP BY src),
+walk(pos, id, stack, seen) AS (
+  SELECT CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), [CAST(0 AS BIGINT)], [CAST(0 AS BIGINT)]
+  UNION ALL
+  SELECT pos + 1, top, rest || new, seen || new FROM (
+    SELECT pos, seen, stack[len(stack)] AS top, stack[1:len(stack) - 1] AS rest, list_filter(coalesce(near.ids, []), lambda x: NOT list_contains(seen, x)) AS new
+    FROM walk LEFT JOIN near ON near.src = stack[len(stack)] WHERE len(stack) > 0)
+)
+"""
+
+
+@query("dfs_order", on("g_mid", DFS + "SELECT pos AS visit_pos, id FROM walk WHERE pos >= 0"))
 def _(spark, sf_dir):
     return traverse.dfs(derived(spark, sf_dir, "g_mid"), 0).select("visit_pos", "id")
 
 
+@query("dfs_mut", on("g_mid", DFS + "SELECT v.id, CASE WHEN walk.pos >= 0 THEN 1000 * walk.pos + v.key ELSE v.key END AS key FROM v LEFT JOIN walk ON walk.id = v.id"))
+def _(spark, sf_dir):
+    g = traverse.dfs_mut(derived(spark, sf_dir, "g_mid"), 0, F.struct((1000 * F.col("visit_pos") + F.col("payload.key")).alias("key")))
+    return g.vertices.select("id", "payload.key")
+
+
+@query("bfs_index_depth_mut", on("g_mid", DIST + ", o AS (SELECT id, d, row_number() OVER (ORDER BY d, id) - 1 AS pos FROM dist WHERE s = 0) SELECT v.id, CASE WHEN pos IS NOT NULL THEN CAST(d * 1000 + pos AS BIGINT) ELSE v.key END AS key FROM v LEFT JOIN o ON o.id = v.id"))
+def _(spark, sf_dir):
+    g = traverse.bfs_mut(derived(spark, sf_dir, "g_mid"), 0, F.struct((1000 * F.col("depth") + F.col("visit_pos")).alias("key")))
+    return g.vertices.select("id", "payload.key")
+
+
 # ------------------------------------------------------------ 2.5 measures
 
 
@@ -439,7 +462,19 @@ for _g in ("g_supp", "g_user"):
         return measures.transitivity(derived(spark, sf_dir, g)).select(F.round("transitivity", 9).alias("transitivity"))
 
 
-@query("vertex_biconnected_components")
+# Two edges of a vertex x are in one component if their other ends are connected without x.
+BLOCKS = """,
+r(x, s, id) AS (SELECT src, dst, dst FROM e UNION SELECT r.x, r.s, e.dst FROM r JOIN e ON e.src = r.id WHERE e.dst <> r.x),
+num AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS k FROM ce),
+half AS (SELECT src, dst, k FROM num UNION ALL SELECT dst, src, k FROM num),
+near AS (SELECT DISTINCT a.k AS k1, b.k AS k2 FROM r JOIN half a ON a.src = r.x AND a.dst = r.s JOIN half b ON b.src = r.x AND b.dst = r.id),
+blk(k0, k) AS (SELECT k, k FROM num UNION SELECT blk.k0, near.k2 FROM blk JOIN near ON near.k1 = blk.k),
+lab AS (SELECT k, min(k0) AS block FROM blk GROUP BY k),
+sized AS (SELECT block, count(DISTINCT half.src) AS size FROM lab JOIN half ON half.k = lab.k GROUP BY block)
+"""
+
+
+@query("vertex_biconnected_components", on("g_mid", BLOCKS + "SELECT row_number() OVER (ORDER BY size DESC) - 1 AS rank, size FROM sized"))
 def _(spark, sf_dir):
     return measures.vertex_biconnected_components(derived(spark, sf_dir, "g_mid")).select("rank", "size")
 
@@ -517,12 +552,28 @@ def _(spark, sf_dir):
 PAIRS = "SELECT a.i AS src, b.i AS dst FROM range({n}) a(i), range({n}) b(i) WHERE a.i < b.i"
 
 
-@query("er_c", f"SELECT g.i AS graph_id, src, dst FROM range(3) g(i), ({PAIRS.format(n=300)}) WHERE {uniform_sql(42, 'er_c', 'g.i', 'src', 'dst')} <= 4.0 / 299")
+def _er_c_sql(n: int, c: float, samples: int) -> str:
+    """Geometric gaps from each vertex to its next partner above it."""
+    return f"""WITH RECURSIVE d(graph_id, src, k, dst) AS (
+  SELECT g.i, v.i, CAST(0 AS BIGINT), v.i FROM range({samples}) g(i), range({n}) v(i)
+  UNION ALL
+  SELECT graph_id, src, k + 1, dst + 1 + CAST(floor(ln(1 - {uniform_sql(42, 'er_c', 'graph_id', 'src', 'k + 1')}) / ln(1 - {c} / {n - 1}.0)) AS BIGINT) FROM d WHERE dst < {n}
+), ce AS (SELECT graph_id, src, dst FROM d WHERE k > 0 AND dst < {n})"""
+
+
+@query("er_c", _er_c_sql(300, 4.0, 3) + " SELECT graph_id, src, dst FROM ce")
 def _(spark, sf_dir):
     return ensembles.er_c(spark, 300, 4.0, 42, 3).canonical
 
 
-@query("er_m", f"SELECT graph_id, src, dst FROM (SELECT g.i AS graph_id, src, dst, row_number() OVER (PARTITION BY g.i ORDER BY {uniform_sql(42, 'er_m', 'g.i', 'src', 'dst')}, src, dst) AS k FROM range(3) g(i), ({PAIRS.format(n=300)})) WHERE k <= 600")
+@query("er_m_dense", f"SELECT graph_id, src, dst FROM (SELECT g.i AS graph_id, src, dst, row_number() OVER (PARTITION BY g.i ORDER BY {uniform_sql(42, 'er_m', 'g.i', 'src', 'dst')}, src, dst) AS k FROM range(3) g(i), ({PAIRS.format(n=40)})) WHERE k <= 600")
+def _(spark, sf_dir):
+    return ensembles.er_m(spark, 40, 600, 42, 3).canonical
+
+
+@query("er_m", f"""WITH drawn AS (SELECT g.i AS graph_id, k.i AS k, CAST(floor({uniform_sql(42, 'er_m_a', 'g.i', 'k.i')} * 300) AS BIGINT) AS a, CAST(floor({uniform_sql(42, 'er_m_b', 'g.i', 'k.i')} * 299) AS BIGINT) AS b FROM range(3) g(i), range(1264) k(i)),
+firsts AS (SELECT graph_id, least(a, b + (b >= a)::BIGINT) AS src, greatest(a, b + (b >= a)::BIGINT) AS dst, min(k) AS k FROM drawn GROUP BY ALL)
+SELECT graph_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY k) AS r FROM firsts) WHERE r <= 600""")
 def _(spark, sf_dir):
     return ensembles.er_m(spark, 300, 600, 42, 3).canonical
 
@@ -585,10 +636,34 @@ _sampled("ba", "ba", {"n": 80, "m": 2}, ["edges", "components"], "SELECT i AS gr
 _sampled("ba_from_graph", "ba", {"n": 60, "m": 3, "seed_n": 4, "seed_edges": [[0, 1], [0, 2], [0, 3], [1, 2], [1, 3], [2, 3]]}, ["edges", "components"], "SELECT i AS graph_id, 174.0::DOUBLE AS edges, 1.0::DOUBLE AS components FROM range(20) r(i)")
 _sampled("config_from_const", "config", {"degrees": [3] * 40}, ["edges", "min_degree"], "SELECT i AS graph_id, 60.0::DOUBLE AS edges, 3.0::DOUBLE AS min_degree FROM range(20) r(i)")
 _sampled("dog_extra", "dog", {"n": 60, "kappa": 12.0, "tau": 0.5, "lam": 2.0}, ["edges", "components"], None)
-_sampled("simple_sample", "er_c", {"n": 50, "c": 4.0}, ["edges", "q_core_3", "transitivity", "diameter"], None)
 
 
-@query("simple_sample_vec", f"SELECT graph_id, CAST(count(*) AS DOUBLE) AS edges FROM (SELECT g.i AS graph_id FROM range(20) g(i), ({PAIRS.format(n=50)}) WHERE {uniform_sql(42, 'er_c', 'g.i', 'src', 'dst')} <= 4.0 / 49) GROUP BY graph_id")
+def _hub_share(g):
+    """A measure that a user would write: the share of vertices with more than five neighbours."""
+    return sum(g.degree(v) > 5 for v in range(g.n)) / g.n
+
+
+# The sequential model asks its generator for one number a pair, in the order of the pairs.
+DRAWN = """WITH pr AS (SELECT a.i AS src, b.i AS dst, row_number() OVER (ORDER BY a.i, b.i) AS k FROM range(50) a(i), range(50) b(i) WHERE a.i < b.i),
+ce AS (SELECT g.i AS g, src, dst FROM range(20) g(i), pr WHERE ('0x' || substr(md5(concat_ws(':', '42.' || g.i, 'er_c', k)), 1, 13))::BIGINT / 4503599627370496.0 <= 4.0 / 49),
+e AS (SELECT g, src, dst FROM ce UNION ALL SELECT g, dst, src FROM ce),
+deg AS (SELECT g.i AS g, v.i AS id, count(e.dst) AS d FROM range(20) g(i) CROSS JOIN range(50) v(i) LEFT JOIN e ON e.g = g.i AND e.src = v.i GROUP BY g.i, v.i),
+closed AS (SELECT a.g, count(*) AS t FROM e a JOIN e b ON b.g = a.g AND b.src = a.dst JOIN e c ON c.g = a.g AND c.src = a.src AND c.dst = b.dst WHERE b.dst <> a.src GROUP BY a.g)
+SELECT deg.g AS graph_id, sum(d) / 2.0 AS edges, CAST(count(*) FILTER (WHERE d = 1) AS DOUBLE) AS leaves, round(coalesce(any_value(t), 0) / sum(d * (d - 1))::DOUBLE, 9) AS transitivity, round(count(*) FILTER (WHERE d > 5) / 50.0, 9)::DOUBLE AS hubs
+FROM deg LEFT JOIN closed ON closed.g = deg.g GROUP BY deg.g"""
+
+
+@query("simple_sample", DRAWN.replace("sum(d) / 2.0 AS edges", "CAST(sum(d) / 2 AS DOUBLE) AS edges"))
+def _(spark, sf_dir):
+    """Named measures and one of the user's."""
+    found = ensembles.simple_sample(ensembles.samples_frame(spark, "er_c", {"n": 50, "c": 4.0}, 42, 20), {"edges": "edges", "leaves": "leaves", "transitivity": "transitivity", "hubs": _hub_share})
+    return found.select("graph_id", "edges", "leaves", F.round("transitivity", 9).alias("transitivity"), F.round("hubs", 9).alias("hubs"))
+
+
+_sampled("simple_sample_measures", "er_c", {"n": 50, "c": 4.0}, ["edges", "q_core_3", "transitivity", "diameter"], None)
+
+
+@query("simple_sample_vec", _er_c_sql(50, 4.0, 20) + " SELECT graph_id, CAST(count(*) AS DOUBLE) AS edges FROM ce GROUP BY graph_id")
 def _(spark, sf_dir):
     return ensembles.measure_grouped(ensembles.er_c(spark, 50, 4.0, 42, 20), ["edges"])
 
@@ -629,6 +704,19 @@ def _(spark, sf_dir):
     return ensembles.metropolis(ensembles.samples_frame(spark, "er_c", {"n": 60, "c": 6.0}, 42, 8), 20, 10, -10.0, "diameter", connected=True)
 
 
+@query("entropic")
+def _(spark, sf_dir):
+    return ensembles.entropic(ensembles.samples_frame(spark, "er_c", {"n": 12, "c": 2.0}, 42, 4), 6, 18, "edges", 2000, 2000)
+
+
+@query("resume", "SELECT i AS graph_id, CAST(0 AS BIGINT) AS differing FROM range(5) r(i)")
+def _(spark, sf_dir):
+    """States of 60 steps at once against those of 25, saved, and 35 more; differing ones."""
+    drawn = ensembles.samples_frame(spark, "sw", {"n": 40, "r": 0.3}, 42, 5)
+    whole, halves = ensembles.states(drawn, 60), ensembles.resume(ensembles.states(drawn, 25), 35)
+    return whole.join(halves.withColumnRenamed("state", "again"), "graph_id").select("graph_id", F.when(F.col("state") == F.col("again"), 0).otherwise(1).cast("long").alias("differing"))
+
+
 @query("wang_landau")
 def _(spark, sf_dir):
     return ensembles.wang_landau(ensembles.samples_frame(spark, "er_c", {"n": 12, "c": 2.0}, 42, 4), 6, 18, "edges", 2000)
@@ -709,6 +797,11 @@ def _(spark, sf_dir):
     return dual.dual_dfs(_dual(spark, sf_dir), 1, 0).select("layer", "id")
 
 
+@query("dual_dfs_contained", on_dual(", r(id) AS (SELECT CAST(0 AS BIGINT) UNION SELECT e.dst FROM r JOIN e ON e.src = r.id) SELECT v.layer, v.own AS id, v1.key AS key_1, v2.key AS key_2 FROM r JOIN v ON v.id = r.id LEFT JOIN v1 ON v.layer = 1 AND v1.id = v.own LEFT JOIN v2 ON v.layer = 2 AND v2.id = v.own"))
+def _(spark, sf_dir):
+    return dual.dual_dfs_contained(_dual(spark, sf_dir), 1, 0).select("layer", "id", F.col("payload_1.key").alias("key_1"), F.col("payload_2.key").alias("key_2"))
+
+
 @query("dual_bfs_index", on_dual(", walk(id, d) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.dst, w.d + 1 FROM walk w JOIN e ON e.src = w.id WHERE w.d < 30) SELECT v.layer, v.own AS id, CAST(min(d) AS BIGINT) AS depth FROM walk JOIN v ON v.id = walk.id GROUP BY v.layer, v.own"))
 def _(spark, sf_dir):
     return dual.dual_bfs(_dual(spark, sf_dir), 1, 0).select("layer", "id", "depth")
@@ -758,7 +851,7 @@ def _dot(name: str, label_sql: str, label, options: str = ""):
 
 _dot("dot", "''", lambda: None)
 _dot("dot_with_indices", "v.id", lambda: F.col("id").cast("string"), "splines=true;")
-_dot("dot_from_indices", "'Hey ' || v.id || '!'", lambda: F.concat(F.lit("Hey "), "id", F.lit("!")))
+_dot("dot_from_indices", "'vertex ' || v.id", lambda: F.concat(F.lit("vertex "), "id"))
 _dot("dot_from_contained", "'key ' || v.key", lambda: F.concat(F.lit("key "), F.col("payload.key")))
 _dot("dot_from_container", "'degree ' || deg.degree", lambda: F.concat(F.lit("degree "), F.size("adj")))
 
@@ -774,6 +867,23 @@ def _(spark, sf_dir):
     return dot.dot_lines(g, F.col("id").cast("string"), positions=True).where("part = 2").select("line")
 
 
+@query("to_dot_with_labels", on("g_part", f"SELECT string_agg(line, chr(10) ORDER BY part, a, b) AS dot FROM (SELECT * FROM {DOT_HEAD.format(o='splines=true;')} UNION ALL SELECT 2, v.id, 0, chr(9) || '\"' || v.id || '\" [label=\"key ' || v.key || '\"];' FROM v{DOT_TAIL})"))
+def _(spark, sf_dir):
+    return dot.to_dot_with_labels(derived(spark, sf_dir, "g_part"), "splines=true;", F.concat(F.lit("key "), F.col("payload.key"))).select("dot")
+
+
+@query("dog_dot", f"""WITH {LHS} SELECT chr(9) || '"' || id || '" [label="' || id || '" pos="' || format('{{:.2f}}', x / 200.0 * 100.0) || ',' || format('{{:.2f}}', y / 200.0 * 100.0) || '!"];' AS line FROM lhs""")
+def _(spark, sf_dir):
+    return dot.dog_dot(ensembles.dog_base(spark, 200, 12.0, 42)).where("part = 2").select("line")
+
+
+@query("load_fields", "SELECT CAST(0 AS BIGINT) AS graph_id, 0.016::DOUBLE AS prob, 2.0::DOUBLE AS c_target, '1' AS rng_state, '2' AS rng_increment")
+def _(spark, sf_dir):
+    path = f"{shared_dir(spark)}/netloom-json-{uuid.uuid4().hex}"
+    dot.save_json(derived(spark, sf_dir, "g_mid"), path, prob=F.lit(0.016).cast("double"), c_target=F.lit(2.0), rng=F.struct(F.lit("1").alias("state"), F.lit("2").alias("increment")))
+    return dot.load_fields(spark, path).select("graph_id", "prob", "c_target", F.col("rng.state").alias("rng_state"), F.col("rng.increment").alias("rng_increment"))
+
+
 @query("save_json", on("g_mid", "SELECT v.id, coalesce(string_agg(e.dst::VARCHAR, ',' ORDER BY e.dst), '') AS adj FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id"))
 def _(spark, sf_dir):
     state = dot.json_state(derived(spark, sf_dir, "g_mid")).select(F.from_json("json", dot.STATE).alias("s"))

@@ -61,6 +61,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return copy
 
 
+class Levels:
+    """Tables of equal schema written one after the other into a folder each, and read together with their number."""
+
+    def __init__(self, spark: SparkSession, number: str):
+        self.spark, self.number, self.path, self.schema = spark, number, f"{shared_dir(spark)}/netloom-{uuid.uuid4().hex}", None
+        _left[self.path] = spark
+
+    def write(self, df: DataFrame, k: int) -> DataFrame:
+        self.schema = df.schema
+        df.write.parquet(f"{self.path}/{self.number}={k}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.number}={k}")
+
+    def read(self) -> DataFrame:
+        """All tables with a bigint column for their number: one scan, however many there are."""
+        types = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields), f"`{self.number}` bigint"])
+        copy = self.spark.read.schema(types).option("basePath", self.path).parquet(self.path)
+        copy._netloom_path = self.path
+        return copy
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the copies behind frames of ``materialize``; nothing that is still to be read may depend on them."""
     for df in frames:

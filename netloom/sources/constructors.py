@@ -57,7 +57,7 @@ def init_ring(graph: Graph, distance: int, n: int | None = None) -> Graph:
         least = n
     if least is not None and least < 2 * distance + 1:
         raise EdgeExists(f"a ring of distance {distance} needs {2 * distance + 1} vertices")
-    ids = graph.vertices.select("graph_id", "id").join(F.broadcast(sizes) if n is not None else sizes, "graph_id")
+    ids = graph.vertices.select("graph_id", "id").join(sizes, "graph_id")
     return graph.with_edges(symmetric(ring_edges(ids, F.col("n"), distance)))
 
 
@@ -83,8 +83,3 @@ def graph_from_generic(graph: Graph) -> Graph:
 def reset_from_graph(graph: Graph, other: Graph) -> Graph:
     """``graph`` with the edges of a smaller one on its first vertices."""
     return graph.with_edges(other.topology())
-
-
-def spans(n: int) -> None:
-    if n < 2:
-        raise GraphError("at least two vertices are needed")

@@ -58,8 +58,13 @@ def dot_with_indices(graph: Graph, options: str = "") -> DataFrame:
     return dot_lines(graph, F.col("id").cast("string"), options)
 
 
+def dog_dot(graph: Graph, options: str = "") -> DataFrame:
+    """The text of a spatial or distance-dependent graph as rows, vertices labelled by their index and pinned at x and y."""
+    return dot_lines(graph, F.col("id").cast("string"), options, positions=True)
+
+
 def dot_string(graph: Graph, label: Column | None = None, options: str = "", **kwargs) -> DataFrame:
-    """graph_id, dot: the whole text of each graph in one row."""
+    """graph_id, dot: the whole text of each graph in one row, which holds at most 2 GB; ``dot_lines`` has no such limit."""
     lines = dot_lines(graph, label, options, **kwargs)
     rows = F.sort_array(F.collect_list(F.struct("part", "a", "b", "line")))
     return lines.groupBy("graph_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("dot"))
@@ -70,6 +75,11 @@ def to_dot(graph: Graph) -> DataFrame:
     return dot_string(graph, legacy=True)
 
 
+def to_dot_with_labels(graph: Graph, options: str, label: Column) -> DataFrame:
+    """The old name of ``dot_string`` with a label: an expression over a vertex's payload, or its adjacency (``adj``)."""
+    return dot_string(graph, label, options)
+
+
 def write_dot(graph: Graph, path: str, label: Column | None = None, options: str = "") -> None:
     """Text files below ``path``, a folder for each graph; lines of a graph stay in order in one file."""
     lines = dot_lines(graph, label, options)
@@ -82,7 +92,7 @@ STATE = "graph struct<next_id: bigint, edge_count: bigint, vertices: array<struc
 
 
 def json_state(graph: Graph, **fields: Column) -> DataFrame:
-    """graph_id, json: the whole state of each graph as one JSON object; ``fields`` are added beside it."""
+    """graph_id, json: the whole state of each graph as one JSON object, at most 2 GB; ``fields`` are added beside it."""
     v = containers(graph)
     state = F.struct(
         F.count(F.lit(1)).alias("next_id"),
@@ -98,6 +108,12 @@ def save_json(graph: Graph, path: str, **fields: Column) -> None:
     json_state(graph, **fields).write.partitionBy("graph_id").text(path)
 
 
+def load_fields(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """graph_id, prob, c_target, rng of saved states: what ``load_json`` leaves out. Generator states are too long for numbers and stay strings."""
+    frame = spark.read.schema(STATE + ", graph_id long").option("primitivesAsString", "false").json(path, multiLine=multi_line)
+    return frame.select(F.coalesce("graph_id", F.lit(0)).cast("long").alias("graph_id"), "prob", "c_target", "rng")
+
+
 def load_json(spark: SparkSession, path: str, multi_line: bool = False) -> Graph:
     """A saved graph; the order of adjacency lists is kept as adj_pos. Long generator states stay strings."""
     frame = spark.read.schema(STATE + ", graph_id long").option("primitivesAsString", "false").json(path, multiLine=multi_line)

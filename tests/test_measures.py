@@ -25,29 +25,23 @@ def many(spark):
     return Graph(spark.createDataFrame(v, "graph_id long, id long"), spark.createDataFrame(e, "graph_id long, src long, dst long")).materialized()
 
 
-@pytest.fixture(scope="module", params=["tables", "tasks"], autouse=True)
-def strategy(request):
+@pytest.fixture(params=["tables", "tasks"])
+def how(request):
     """Every measure twice: by loops over tables, and as one task for each graph."""
-    from netloom.operators import small
-
-    keep = small.LINEAR, small.QUADRATIC
-    if request.param == "tables":
-        small.LINEAR = small.QUADRATIC = -1
-    yield
-    small.LINEAR, small.QUADRATIC = keep
+    return {"in_tasks": request.param == "tasks"}
 
 
 def by_graph(frame, column):
     return {r["graph_id"]: r[column] for r in frame.collect()}
 
 
-def test_components(many):
-    assert by_graph(measures.is_connected(many), "is_connected") == {0: False, 1: False, 2: True, 3: True, 4: True, 5: True, 6: True, 7: False, 8: True, 9: True}
+def test_components(many, how):
+    assert by_graph(measures.is_connected(many, **how), "is_connected") == {0: False, 1: False, 2: True, 3: True, 4: True, 5: True, 6: True, 7: False, 8: True, 9: True}
     sizes = {}
-    for r in measures.connected_components(many).orderBy("graph_id", "rank").collect():
+    for r in measures.connected_components(many, **how).orderBy("graph_id", "rank").collect():
         sizes.setdefault(r["graph_id"], []).append(r["size"])
     assert sizes[0] == [6, 4, 3] + [1] * 7 and sizes[1] == [1] * 20 and sizes[2] == [20]
-    ids = {(r["graph_id"], r["id"]): r["component"] for r in measures.connected_components_ids(many).collect()}
+    ids = {(r["graph_id"], r["id"]): r["component"] for r in measures.connected_components_ids(many, **how).collect()}
     assert [ids[0, i] for i in range(7)] == [0, 0, 0, 1, 2, 3, 3]
 
 
@@ -58,15 +52,15 @@ def test_degrees(many):
     assert bins[9, 0] == 1 and bins[4, 2] == 4 and bins[0, 0] == 7
 
 
-def test_q_core(many):
-    two, three, four = (by_graph(measures.q_core(many, q), "q_core") for q in (2, 3, 4))
+def test_q_core(many, how):
+    two, three, four = (by_graph(measures.q_core(many, q, **how), "q_core") for q in (2, 3, 4))
     assert (two[0], three[0], four[0]) == (4, 4, 0)
     assert two[2] == three[2] == four[2] == 20 and two[9] == 0
-    assert set(by_graph(measures.q_core(many, 1), "q_core").values()) == {None}
+    assert set(by_graph(measures.q_core(many, 1, **how), "q_core").values()) == {None}
 
 
-def test_diameter(many):
-    d = by_graph(measures.diameter(many), "diameter")
+def test_diameter(many, how):
+    d = by_graph(measures.diameter(many, **how), "diameter")
     assert (d[0], d[2], d[3], d[4], d[9]) == (None, 1, 4, 2, 0)
 
 
@@ -75,9 +69,9 @@ def test_transitivity(many):
     assert math.isnan(t[1]) and t[2] == 1.0 and t[6] == pytest.approx(3 / 11) and t[3] == 0.0
 
 
-def test_load(many):
+def test_load(many, how):
     g = Graph(many.vertices.where("graph_id in (5, 4)"), many.edges.where("graph_id in (5, 4)"))
-    load = {(r["graph_id"], r["id"]): r["load"] for r in measures.vertex_load(g).collect()}
+    load = {(r["graph_id"], r["id"]): r["load"] for r in measures.vertex_load(g, **how).collect()}
     assert [load[5, i] for i in range(8)] == pytest.approx([0, 14 / 3, 8, 2 / 3, 26 / 3, 10, 0, 0])
     k4 = kernels.Adjacency.of_edges(4, K(4))
     assert kernels.vertex_load(k4, True) == [3.0] * 4 and kernels.vertex_load(k4, False) == [0.0] * 4
@@ -92,17 +86,17 @@ def test_biconnected(many):
     assert short == [3]
 
 
-def test_kernels_agree_with_tables(many):
+def test_kernels_agree_with_tables(many, how):
     from netloom.operators.ensembles import measure_grouped
 
     rows = {r["graph_id"]: r for r in measure_grouped(many, ["edges", "components", "diameter", "q_core_3", "transitivity"]).collect()}
-    d, q, t = by_graph(measures.diameter(many), "diameter"), by_graph(measures.q_core(many, 3), "q_core"), by_graph(measures.transitivity(many), "transitivity")
+    d, q, t = by_graph(measures.diameter(many, **how), "diameter"), by_graph(measures.q_core(many, 3, **how), "q_core"), by_graph(measures.transitivity(many), "transitivity")
     for g, r in rows.items():
         assert r["diameter"] == d[g] and r["q_core_3"] == q[g] and (r["transitivity"] == pytest.approx(t[g]) or math.isnan(t[g]))
 
 
-def test_closeness(many):
-    c = {(r["graph_id"], r["id"]): r["closeness"] for r in measures.closeness_centrality(many).collect()}
+def test_closeness(many, how):
+    c = {(r["graph_id"], r["id"]): r["closeness"] for r in measures.closeness_centrality(many, **how).collect()}
     assert c[3, 0] == pytest.approx(0.4) and c[3, 2] == pytest.approx(4 / 6) and math.isinf(c[1, 0])
 
 
@@ -141,7 +135,10 @@ def test_search_order_and_range(spark):
     order = [r["id"] for r in traverse.dfs(g, 0).orderBy("visit_pos").collect()]
     assert order == [0, 2, 4, 1, 3]
     assert traverse.dfs(g, 9).count() == 0 and traverse.bfs(g, 9).count() == 0
-    assert {r["id"]: r["depth"] for r in traverse.bfs(g, 0).collect()} == {0: 0, 1: 1, 2: 1, 3: 2, 4: 2}
+    for tasks in (False, True):
+        assert {r["id"]: r["depth"] for r in traverse.bfs(g, 0, in_tasks=tasks).collect()} == {0: 0, 1: 1, 2: 1, 3: 2, 4: 2}
+        sources = spark.createDataFrame([(0, 3), (0, 5), (0, 77)], "graph_id long, source long")
+        assert {(r["source"], r["id"]): r["depth"] for r in traverse.multi_source_bfs(g, sources, limit=2, in_tasks=tasks).collect()} == {(3, 3): 0, (3, 1): 1, (3, 0): 2, (5, 5): 0}
     assert traverse.bfs_filtered(g, 0, F.col("id") != 0).count() == 0
 
 
