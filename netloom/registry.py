@@ -57,7 +57,7 @@ reach(s, id) AS (SELECT id, id FROM v UNION SELECT r.s, e.dst FROM reach r JOIN
 lab AS (SELECT s AS id, min(id) AS label FROM reach GROUP BY s)
 """
 DIST = """,
-walk(s, id, d) AS (SELECT id, id, 0 FROM v UNION SELECT w.s, e.dst, w.d + 1 FROM walk w JOIN e ON e.src = w.id WHERE w.d < 14),
+walk(s, id, d) AS (SELECT id, id, 0 FROM v UNION SELECT w.s, e.dst, w.d + 1 FROM walk w JOIN e ON e.src = w.id WHERE w.d < 30),
 dist AS MATERIALIZED (SELECT s, id, min(d) AS d FROM walk GROUP BY s, id)
 """
 DEG = "deg AS (SELECT v.id, count(e.dst) AS degree FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id)"
@@ -218,14 +218,14 @@ def _(spark, sf_dir):
 # ------------------------------------------------------------ 2.3 access
 
 
-@query("vertex_count", on("g_supp", "SELECT count(*) AS vertex_count FROM v"))
+@query("vertex_count", on("g_all", "SELECT count(*) AS vertex_count FROM v"))
 def _(spark, sf_dir):
-    return access.vertex_count(derived(spark, sf_dir, "g_supp")).select("vertex_count")
+    return access.vertex_count(derived(spark, sf_dir, "g_all")).select("vertex_count")
 
 
-@query("edge_count", on("g_supp", "SELECT count(*) AS edge_count FROM ce"))
+@query("edge_count", on("g_all", "SELECT count(*) AS edge_count FROM ce"))
 def _(spark, sf_dir):
-    return access.edge_count(derived(spark, sf_dir, "g_supp")).select("edge_count")
+    return access.edge_count(derived(spark, sf_dir, "g_all")).select("edge_count")
 
 
 @query("at", on("g_supp", "SELECT id, key FROM v WHERE id = 3"))
@@ -290,9 +290,9 @@ def _(spark, sf_dir):
     return access.degree(derived(spark, sf_dir, "g_supp"), 3).select("id", "degree")
 
 
-@query("degree_vec", on("g_supp", f", {DEG} SELECT id, degree FROM deg"))
+@query("degree_vec", on("g_all", f", {DEG} SELECT id, degree FROM deg"))
 def _(spark, sf_dir):
-    return access.degrees(derived(spark, sf_dir, "g_supp")).select("id", "degree")
+    return access.degrees(derived(spark, sf_dir, "g_all")).select("id", "degree")
 
 
 @query("sw_count_root", "SELECT i AS id, CAST(2 AS BIGINT) AS roots FROM range(10) r(i)")
@@ -392,19 +392,19 @@ def _(spark, sf_dir):
 # ------------------------------------------------------------ 2.5 measures
 
 
-@query("average_degree", on("g_part", "SELECT CAST(CAST(2 * (SELECT count(*) FROM ce) AS FLOAT) / (SELECT count(*) FROM v) AS FLOAT) AS average_degree"))
+@query("average_degree", on("g_all", "SELECT CAST(CAST(2 * (SELECT count(*) FROM ce) AS FLOAT) / (SELECT count(*) FROM v) AS FLOAT) AS average_degree"))
 def _(spark, sf_dir):
-    return measures.average_degree(derived(spark, sf_dir, "g_part")).select("average_degree")
+    return measures.average_degree(derived(spark, sf_dir, "g_all")).select("average_degree")
 
 
-@query("degree_histogram", on("g_supp", f", {DEG}, b AS (SELECT unnest(range((SELECT min(degree) FROM deg), (SELECT max(degree) FROM deg) + 1)) AS degree) SELECT b.degree, count(deg.id) AS n FROM b LEFT JOIN deg ON deg.degree = b.degree GROUP BY b.degree"))
+@query("degree_histogram", on("g_all", f", {DEG}, b AS (SELECT unnest(range((SELECT min(degree) FROM deg), (SELECT max(degree) FROM deg) + 1)) AS degree) SELECT b.degree, count(deg.id) AS n FROM b LEFT JOIN deg ON deg.degree = b.degree GROUP BY b.degree"))
 def _(spark, sf_dir):
-    return measures.degree_histogram(derived(spark, sf_dir, "g_supp")).select("degree", "n")
+    return measures.degree_histogram(derived(spark, sf_dir, "g_all")).select("degree", "n")
 
 
-@query("leaf_count", on("g_part", f", {DEG} SELECT count(*) AS leaf_count FROM deg WHERE degree = 1"))
+@query("leaf_count", on("g_all", f", {DEG} SELECT count(*) AS leaf_count FROM deg WHERE degree = 1"))
 def _(spark, sf_dir):
-    return measures.leaf_count(derived(spark, sf_dir, "g_part")).select("leaf_count")
+    return measures.leaf_count(derived(spark, sf_dir, "g_all")).select("leaf_count")
 
 
 @query("is_connected", on("g_part", REACH + "SELECT count(*) = 1 AS is_connected FROM lab WHERE id = label"))
@@ -455,9 +455,9 @@ def _(spark, sf_dir):
 TRANS = "SELECT round((SELECT count(*) FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = a.src AND c.dst = b.dst WHERE b.dst <> a.src) / (SELECT sum(d * (d - 1)) FROM (SELECT count(*) AS d FROM e GROUP BY src))::DOUBLE, 9) AS transitivity"
 
 
-for _g in ("g_supp", "g_user"):
+for _n, _g in (("transitivity", "g_all"), ("transitivity_dense", "g_user")):
 
-    @query("transitivity" if _g == "g_supp" else "transitivity_dense", on(_g, TRANS))
+    @query(_n, on(_g, TRANS))
     def _(spark, sf_dir, g=_g):
         return measures.transitivity(derived(spark, sf_dir, g)).select(F.round("transitivity", 9).alias("transitivity"))
 
@@ -615,9 +615,9 @@ def _(spark, sf_dir):
     return ensembles.dog_base(spark, 200, 12.0, 42).canonical.select("src", "dst")
 
 
-@query("degree_vec_is_valid", on("g_part", f", {DEG} SELECT count(*) > 1 AND max(degree) < count(*) - 1 AND sum(degree) % 2 = 0 AS valid FROM deg"))
+@query("degree_vec_is_valid", on("g_all", f", {DEG} SELECT count(*) > 1 AND max(degree) < count(*) - 1 AND sum(degree) % 2 = 0 AS valid FROM deg"))
 def _(spark, sf_dir):
-    return ensembles.degree_vec_is_valid(access.degrees(derived(spark, sf_dir, "g_part"))).select("valid")
+    return ensembles.degree_vec_is_valid(access.degrees(derived(spark, sf_dir, "g_all"))).select("valid")
 
 
 # ------------------------------------------------------------ 2.8 - 2.10 sequential models: invariants that SQL predicts
@@ -694,9 +694,44 @@ def _(spark, sf_dir):
     return ensembles.reject_chain(ensembles.samples_frame(spark, "sw", {"n": 40, "r": 0.3}, 42, 10), 100, "largest", 38).select("graph_id", (F.col("value") >= 38).alias("kept"))
 
 
-@query("metropolis", "SELECT g.i AS graph_id, k.i AS counter FROM range(8) g(i), range(1, 21) k(i)")
+def _u(counter: str) -> str:
+    """The sequential generator's number of a counter, for sample g of seed 42."""
+    return f"(('0x' || substr(md5(concat_ws(':', '42.' || g, 'er_c', {counter})), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+# The chain with the same numbers: 10 Markov steps a proposal, three numbers a step, one for the verdict. An edge i-j is 60 i + j.
+CHAIN_SQL = f"""WITH RECURSIVE pr AS (SELECT a.i * 60 + b.i AS code, row_number() OVER (ORDER BY a.i, b.i) AS k FROM range(60) a(i), range(60) b(i) WHERE a.i < b.i),
+start AS (SELECT g.i AS g, list(code) AS es FROM range(8) g(i), pr WHERE {_u('k').replace("'42.' || g,", "'42.' || g.i,")} <= 6.0 / 59 GROUP BY g.i),
+walk(g, t, ctr, es, old, ok) AS (
+  SELECT g, 0, 1770, es, es, true FROM start
+  UNION ALL
+  SELECT g, t + 1, CASE WHEN (t + 1) % 10 = 0 THEN ctr + 4 ELSE ctr + 3 END,
+         CASE WHEN (t + 1) % 10 = 0 AND NOT acc THEN old ELSE nxt END,
+         CASE WHEN (t + 1) % 10 = 0 AND acc THEN nxt ELSE old END,
+         acc
+  FROM (
+    SELECT *, {_u('ctr + 4')} <= exp(least(0.0, -(len(nxt) - len(old)) / 5.0)) AS acc FROM (
+      SELECT *, CASE WHEN grow AND NOT list_contains(es, code) THEN list_append(es, code) WHEN NOT grow THEN list_filter(es, lambda x: x <> code) ELSE es END AS nxt FROM (
+        SELECT *, least(i, j + (j >= i)::BIGINT) * 60 + greatest(i, j + (j >= i)::BIGINT) AS code FROM (
+          SELECT *, CAST(floor({_u('ctr + 1')} * 60) AS BIGINT) AS i, CAST(floor({_u('ctr + 2')} * 59) AS BIGINT) AS j, {_u('ctr + 3')} <= 6.0 / 59 AS grow FROM walk WHERE t < 200
+        ))))
+), chain AS (SELECT g AS graph_id, CAST(t // 10 AS BIGINT) AS counter, CAST(len(es) AS DOUBLE) AS energy, ok AS accepted FROM walk WHERE t % 10 = 0 AND t > 0)
+"""
+
+
+def _chain(spark, **more):
+    return ensembles.metropolis(ensembles.samples_frame(spark, "er_c", {"n": 60, "c": 6.0}, 42, 8), 20, 10, 5.0, "edges", **more)
+
+
+@query("metropolis", CHAIN_SQL + "SELECT graph_id, counter, energy, accepted FROM chain")
+def _(spark, sf_dir):
+    return _chain(spark)
+
+
+@query("metropolis_while", CHAIN_SQL + "SELECT graph_id, counter, energy, accepted, energy AS seen FROM chain c WHERE NOT EXISTS (SELECT 1 FROM chain b WHERE b.graph_id = c.graph_id AND b.counter < c.counter AND b.energy <= 160)")
 def _(spark, sf_dir):
-    return ensembles.metropolis(ensembles.samples_frame(spark, "er_c", {"n": 60, "c": 6.0}, 42, 8), 20, 10, -10.0, "diameter", connected=True).select("graph_id", "counter")
+    """A stop condition and an observed measure of the user's."""
+    return _chain(spark, stop=lambda counter, energy: energy <= 160, observe={"seen": lambda g: g.m})
 
 
 @query("metropolis_energy")
@@ -749,7 +784,7 @@ def _(spark, sf_dir):
 
 
 def _dual(spark, sf_dir):
-    one, two = derived(spark, sf_dir, "g_mid"), derived(spark, sf_dir, "g_part")
+    one, two = derived(spark, sf_dir, "g_supp"), derived(spark, sf_dir, "g_part")
     key = lambda g, c: g.vertices.select("graph_id", F.col("id").alias(f"id{c}"), F.col("payload.key").alias(f"k{c}"))
     lines = table(spark, sf_dir, "lineitem").where("l_quantity <= 2").select(F.col("l_suppkey").cast("long").alias("k1"), F.col("l_partkey").cast("long").alias("k2")).distinct()
     cross = lines.join(key(one, 1), "k1").join(key(two, 2).drop("graph_id"), "k2").select("graph_id", "id1", "id2")
@@ -757,7 +792,7 @@ def _dual(spark, sf_dir):
 
 
 def on_dual(body: str) -> str:
-    one = graph_sql("g_mid").replace("raw AS", "raw1 AS").replace("FROM raw ", "FROM raw1 ").replace("p AS (SELECT DISTINCT", "p1 AS (SELECT DISTINCT").replace("FROM p UNION", "FROM p1 UNION").replace("SELECT b FROM p)", "SELECT b FROM p1)").replace("FROM p JOIN", "FROM p1 p JOIN").replace("v AS (", "v1 AS (").replace("JOIN v s", "JOIN v1 s").replace("JOIN v d", "JOIN v1 d").replace("ce AS (", "ce1 AS (").replace("e AS (SELECT src", "e1 AS (SELECT src").replace("FROM ce", "FROM ce1")
+    one = graph_sql("g_supp").replace("raw AS", "raw1 AS").replace("FROM raw ", "FROM raw1 ").replace("p AS (SELECT DISTINCT", "p1 AS (SELECT DISTINCT").replace("FROM p UNION", "FROM p1 UNION").replace("SELECT b FROM p)", "SELECT b FROM p1)").replace("FROM p JOIN", "FROM p1 p JOIN").replace("v AS (", "v1 AS (").replace("JOIN v s", "JOIN v1 s").replace("JOIN v d", "JOIN v1 d").replace("ce AS (", "ce1 AS (").replace("e AS (SELECT src", "e1 AS (SELECT src").replace("FROM ce", "FROM ce1")
     two = graph_sql("g_part").replace("raw AS", "raw2 AS").replace("FROM raw ", "FROM raw2 ").replace("p AS (SELECT DISTINCT", "p2 AS (SELECT DISTINCT").replace("FROM p UNION", "FROM p2 UNION").replace("SELECT b FROM p)", "SELECT b FROM p2)").replace("FROM p JOIN", "FROM p2 p JOIN").replace("v AS (", "v2 AS (").replace("JOIN v s", "JOIN v2 s").replace("JOIN v d", "JOIN v2 d").replace("ce AS (", "ce2 AS (").replace("e AS (SELECT src", "e2 AS (SELECT src").replace("FROM ce", "FROM ce2")
     return f"""WITH RECURSIVE {one},
 {two},

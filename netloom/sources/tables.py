@@ -12,10 +12,11 @@ from pyspark.sql.window import Window
 
 from netloom.model import Graph, symmetric
 from netloom.plans.ordering import with_position
-from netloom.session import table
+from netloom.session import discard, table
 
 #: name -> (key column, filter)
 LINE_GRAPHS = {
+    "g_all": ("l_partkey", "true"),
     "g_part": ("l_partkey", "l_returnflag = 'R' AND year(l_shipdate) = 1995"),
     "g_supp": ("l_suppkey", "l_quantity <= 5"),
     "g_mid": ("l_suppkey", "l_quantity <= 2"),
@@ -55,6 +56,13 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> Graph:
     return _built[at]
 
 
+def forget() -> None:
+    """Delete the graphs built so far; the next query on one builds it anew."""
+    for g in _built.values():
+        discard(g.vertices, g.edges)
+    _built.clear()
+
+
 def graph_sql(name: str) -> str:
     """CTEs v(id, key), ce(src < dst) and e (both directions) of the named graph, for DuckDB."""
     if name == "g_user":
