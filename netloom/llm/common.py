@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 #: Bound on the labelled rows that a classifier of this subpackage is fitted on.
 LABELLED_SAMPLE = 4000
+#: Labelled texts of more bytes are scored like all others but not learnt from, so that a sample is bounded in bytes too.
+SAMPLE_TEXT_BYTES = 65_536
 
 
 def let(value: Column, body) -> Column:
@@ -29,6 +31,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
+def sample_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the texts that a sample may hold; null counts as empty."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int = LABELLED_SAMPLE) -> list[tuple[str, int]]:
     """At most ``limit`` (text, label) pairs of the training fold.
 
@@ -43,7 +50,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int = L
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = sample_texts(docs).join(F.broadcast(ids), "doc_id")
     return [(r["text"], r["y"]) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(limit).collect()]
 
 

@@ -15,8 +15,9 @@ fold) on the driver; scoring is a map over whole texts without a shuffle.
 
 Defined cases: a null or blank text has no line and gets the share of good
 labels; without labels of both classes every score is that share (0.5 if there
-are none); texts of any length are scored over all lines; equal texts get
-equal scores; extra columns are kept.
+are none); texts of any length are scored over all lines; repeated rows, and
+rows of equal text, get equal scores whatever their id, also a null one; extra
+columns are kept, except one of the output's name, which the caller chooses.
 """
 
 from __future__ import annotations

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import held_out, with_fields
+from netloom.llm.common import held_out, sample_texts, with_fields
 
 #: Rows of each label, at most, that the lexicon is learnt from.
 POSITIVE_ROWS, NEGATIVE_ROWS = 1500, 4500
@@ -288,7 +288,7 @@ def fit_tables(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE_ROW
     for y, limit in ((1, positives), (0, negatives)):
         part = train.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
         ids = part if ids is None else ids.unionByName(part)
-    picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    picked = sample_texts(docs).join(F.broadcast(ids), "doc_id")
     rows = [(r["text"], r["y"]) for r in picked.dropDuplicates(["doc_id", "text"]).limit(positives + negatives).collect()]
     rows.sort()
     total = sum(counts.values())

@@ -1,6 +1,7 @@
 """Operators 1, 2, 5, 6 and 7 against brute-force versions on small tables with awkward rows."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -228,7 +229,7 @@ def _judge(u):
 
 def test_url_filters(spark):
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
-    got = {r["page_id"]: tuple(r)[1:] for r in url_filters.judge(pages, url_filters.rules_frame(spark), salts=3).collect()}
+    got = {r["page_id"]: tuple(r)[1:] for r in url_filters.judge(pages, url_filters.rules_frame(spark)).collect()}
     assert got == {i: _judge(u) for i, u in enumerate(URLS)}
     assert {r["verdict"] for r in url_filters.judge(pages, url_filters.rules_frame(spark, [])).collect()} == {"allow"}
     assert url_filters.judge(pages.limit(0), url_filters.rules_frame(spark)).count() == 0
@@ -247,6 +248,25 @@ def test_nested_rules(spark):
     assert got == want
 
 
+def test_many_rules_against_every_rule(spark):
+    """Nested hosts and paths at random; repeated and null page_ids, clashing columns, very long urls."""
+    r = random.Random(2)
+    host = lambda: ".".join(r.choice("ab") for _ in range(r.randint(1, 4)))
+    path = lambda: "/" + "/".join(r.choice(["x", "xy", "y", "é", ""]) for _ in range(r.randint(0, 4)))
+    rules = [(host(), r.choice([path(), path()[:-1], "", None]), r.choice(["block", "allow"])) for _ in range(60)] + [("", "/", "block"), (None, "/", "block")]
+    urls = [f"http://{host()}{path()}" for _ in range(400)] + ["http://a.b" + "/x" * 300_000]
+    rows = [(None if i % 7 == 0 else i // 2, u, "h", "p", "s", 1) for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, lo string, stack string, row long").repartition(5)
+    want = []
+    for i, u, *_ in rows:
+        h, p = re.match("http://([^/]*)(.*)", u).groups()
+        fits = [(len(a + (b or "")), len(a), v == "block", a + (b or ""), v) for a, b, v in rules if a and (h == a or h.endswith("." + a)) and p.startswith(b or "")]
+        best = max(fits, default=None)
+        want.append((str(i), h, p, best and best[3], best[4] if best else "allow"))
+    got = [(str(x["page_id"]), x["host"], x["path"], x["rule"], x["verdict"]) for x in url_filters.judge(pages, url_filters.rules_frame(spark, rules)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_warc_revisits(spark):
     head = {"content-type": "text/html", "etag": '"a"', "date": "1"}
     rows = [

@@ -159,6 +159,73 @@ def test_folding_and_exceptions():
     assert m.figures("A Cl0wn!")[1] == 1 and m.figures("a clown fish")[1] == 0 and m.figures("aclown")[1] == 0 and m.figures("")[1] == 0
 
 
+def _awkward(spark):
+    rows = [(None, None), (1, ""), (1, "A good line of words, as people write them.\nAnother one follows here."), (1, "A good line of words, as people write them.\nAnother one follows here."), (2, "x !!! ## 11\n" * 20_000), (None, "you idiot, you moron"), (3, "\n \n")]
+    return spark.createDataFrame([(*r, "mine", 7) for r in rows], "doc_id long, text string, quality_score string, toxic_hits int")
+
+
+def test_scores_of_awkward_rows(spark):
+    """Nulls, repeated rows, very long texts, clashing names and empty tables, for both classifiers."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    df = _awkward(spark)
+    good = quality.score(df, quality.fit_tables(docs, labels), out="score")
+    toxic = toxicity.score(df, toxicity.fit_tables(docs, labels), out="score", hits=None, weight="w")
+    assert good.columns == [*df.columns, "score"] and toxic.columns == [*df.columns, "score", "w"]
+    for out in (good, toxic):
+        rows = out.collect()
+        assert len(rows) == 7 and all(0 <= r["score"] <= 1 and r["quality_score"] == "mine" and r["toxic_hits"] == 7 for r in rows)
+        by_text = {}
+        for r in rows:
+            by_text.setdefault(r["text"], set()).add(r["score"])
+        assert all(len(v) == 1 for v in by_text.values())
+    score = {r["text"]: r["score"] for r in toxic.collect()}
+    assert score["you idiot, you moron"] > 0.5 > score[""] == score[None]
+    assert quality.score(df.limit(0), quality.fit([]), out="s").count() == 0 and toxicity.score(df.limit(0), toxicity.fit([]), out="s").count() == 0
+
+
+def test_quality_equals_enumeration():
+    """The whole score of a text against the sum over all labellings of its lines."""
+    from itertools import product
+    from math import exp
+
+    docs = ["Good line here.\nAnd another good line.\nThird line of it.", "x!!\n##\n12 34\nq", "One line.", "a b c\n\n!!! ???\nSome words that follow each other."]
+    model = quality.fit([(d, k % 2) for k, d in enumerate(docs * 4)])
+    gg, gb, bg, bb = model.stay
+    step = {(1, 1): gg, (1, 0): gb, (0, 1): bg, (0, 0): bb}
+    for d in docs:
+        lines = quality.lines_of(d)
+        e = [exp(max(-30, min(30, v))) for v in (quality.line_features(lines) @ model.weights).tolist()]
+        total = good = 0.0
+        for s in product((0, 1), repeat=len(lines)):
+            w = 1.0
+            for i, v in enumerate(s):
+                w *= (e[i] if v else 1.0) * (step[s[i - 1], v] if i else 1.0)
+            total += w
+            good += w * sum(len(x) for x, v in zip(lines, s, strict=True) if v)
+        assert model.share(d) == pytest.approx(good / total / sum(map(len, lines)))
+
+
+def test_toxicity_figures_equal_a_plain_search():
+    """Random texts against a search that looks at every position for every stem."""
+    r = random.Random(8)
+    lexicon = {"abc": (2.0, 0.0), "abcd": (3.0, 0.1), "ba": (1.5, 0.05), "ab ": (4.0, 0.0), "天気": (2.5, 0.0)}
+    exceptions = ["abc ca", "ba ba"]
+    m = toxicity.Matcher(lexicon, exceptions)
+    for _ in range(400):
+        text = " ".join(r.choice(["ab", "abc", "abcd", "abcde", "ba", "bab", "ca", "c", "い天気", "x"]) for _ in range(r.randint(0, 40)))
+        folded = toxicity.fold(text)
+        at = lambda w: [i for i in range(len(folded) + 1) if (folded + " ").startswith(w, i) and (not i or not folded[i - 1].isalnum() or "\u3400" <= w[0] <= "\u9fff")]  # noqa: E731, B023
+        spared = [(i, i + len(p)) for p in exceptions for i in at(p)]
+        weight = hits = 0
+        words = folded.count(" ") + folded.count("\n") + 1
+        for s, (w, rate) in lexicon.items():
+            k = sum(not any(a <= i and i + len(s) <= b for a, b in spared) for i in at(s))
+            if toxicity.stands_out(k, words, rate):
+                weight, hits = weight + k * w, hits + k
+        got = m.figures(text)
+        assert (got[1], got[2]) == (hits, words) and got[0] == pytest.approx(weight)
+
+
 def test_marginals_equal_enumeration():
     from itertools import product
     from math import exp
