@@ -65,24 +65,32 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: Rows of one key from which a join deals them to several tasks, and how many keys can be dealt.
-HOT_ROWS, HOT_KEYS = 10_000, 1_000
+#: How many keys of most rows a join can deal to several tasks, and rows that a task can well take.
+HOT_KEYS, FEW_ROWS = 1_000, 256
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, salt_by: str, how: str = "inner") -> DataFrame:
-    """``many`` joined with ``one`` (one row a key) on ``key``, also where a few keys hold most rows.
+def hot_keys(counts: DataFrame, key: str) -> list[tuple]:
+    """(key, parts) of the keys that hold more than a quarter of a task's even share of all rows; counts: key, n.
 
-    ``counts`` (key, n) says how many rows of ``many`` a key has. The ``HOT_KEYS``
-    keys of most rows, of those with more than ``HOT_ROWS``, are dealt by a hash
-    of ``salt_by``, and their rows of ``one`` are copied to each part. The list of
-    them has at most ``HOT_KEYS`` rows, so it is broadcast; a key beyond the list
+    At most ``HOT_KEYS`` of them, those of most rows, so a key beyond the list
     holds less than one row in ``HOT_KEYS``.
     """
-    hot = counts.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), key).limit(HOT_KEYS)
-    rows = [(r[key], -(-r["n"] // HOT_ROWS)) for r in hot.select(key, "n").collect()]
-    if not rows:
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = max(FEW_ROWS, total // (4 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = counts.where(F.col("n") > share).orderBy(F.desc("n"), key).limit(HOT_KEYS).select(key, "n").collect()
+    return [(r[key], -(-r["n"] // share)) for r in rows]
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: list[tuple], salt_by: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` (one row a key) on ``key``, also where a few keys hold most rows.
+
+    Rows of the ``hot`` keys of ``hot_keys`` are dealt to as many parts by a
+    hash of ``salt_by``, and their rows of ``one`` are copied to each part. The
+    list has at most ``HOT_KEYS`` rows, so it is broadcast.
+    """
+    if not hot:
         return many.join(one, key, how)
-    parts = many.sparkSession.createDataFrame(rows, T.StructType([T.StructField(key, many.schema[key].dataType), T.StructField("_parts", T.LongType())]))
+    parts = many.sparkSession.createDataFrame(hot, T.StructType([T.StructField(key, many.schema[key].dataType), T.StructField("_parts", T.LongType())]))
     dealt = many.join(F.broadcast(parts), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("_parts")), F.lit(0))).drop("_parts")
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
     copied = one.join(F.broadcast(parts), key, "left").withColumn("_salt", copies).drop("_parts")

@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import fresh, spread_join
+from netloom.llm.common import fresh, hot_keys, spread_join
 from netloom.session import discard, materialize
 
 WORDS = 5
@@ -353,10 +353,10 @@ def _count_blocks(members, shingles):
     return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles * 8 / BLOCK_BYTES), F.least(F.lit(8), F.ceil(members / FEW))).cast("long")
 
 
-def _blocks(heavy: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _blocks(heavy: DataFrame, hot: list[tuple]) -> tuple[DataFrame, DataFrame]:
     """The blocks of each large bucket, and which of them meet.
 
-    heavy: bucket, cid, family (-1: none), n; sizes: bucket, n. Returns (bucket, cid,
+    heavy: bucket, cid, family (-1: none), n; hot: the buckets to deal. Returns (bucket, cid,
     block) of every member, and (bucket, block, pairs): an array of the (x, y) that a
     block takes part in, as long as the bucket has other blocks. A family large
     enough for blocks of its own is a part of the bucket; all others are one part.
@@ -367,7 +367,7 @@ def _blocks(heavy: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = materialize(count.where(large).withColumn("own_blocks", _count_blocks(F.col("n"), F.col("shingles"))))
     rest = count.where(~large).groupBy(F.col("of.bucket").alias("bucket")).agg(_count_blocks(F.sum("n"), F.sum("shingles")).alias("rest_blocks"))
     rest = materialize(rest)
-    placed = spread_join(spread_join(of, own.select("of", "own_blocks"), "of", own.select("of", "n"), "cid", "left"), rest, "bucket", sizes, "cid", "left")
+    placed = spread_join(spread_join(of, own.select("of", "own_blocks"), "of", hot_keys(own.select("of", "n"), "of"), "cid", "left"), rest, "bucket", hot, "cid", "left")
     part, blocks = F.when(F.col("own_blocks").isNotNull(), F.col("family")).otherwise(F.lit(-1)), F.coalesce("own_blocks", "rest_blocks")
     placed = placed.select("bucket", "cid", F.xxhash64(part, F.pmod(F.xxhash64("cid"), blocks)).alias("block"))
 
@@ -388,12 +388,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ids share are dealt to many tasks.
     """
     both = materialize(edges.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("to"))).where("id <> to").distinct())
-    hubs = both.groupBy("to").agg(F.count(F.lit(1)).alias("n"))
+    hubs = hot_keys(both.groupBy("to").agg(F.count(F.lit(1)).alias("n")), "to")
     labels = materialize(both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("label")))
     for _ in range(max_rounds):
         near = spread_join(both, labels.select(F.col("id").alias("to"), "label"), "to", hubs, "id").select("id", "label")
         # the label's own label, once for each label in use
-        used = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        used = hot_keys(labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label")
         jump = spread_join(labels, labels.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", used, "id").select("id", F.col("next").alias("label"))
         after = near.unionByName(jump).unionByName(labels.select("id", "label")).groupBy("id").agg(F.min("label").alias("new"))
         nxt = materialize(labels.join(after, "id").select("id", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("changed")))
@@ -421,7 +421,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sketch", b * (4 * ROWS) + 1, F.lit(4 * ROWS))))
     banded = classes.where("n > 0").select("cid", "n", F.posexplode(bands).alias("band", "bucket"))
     sizes = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = materialize(spread_join(banded, sizes.select("bucket", F.col("n").alias("size")), "bucket", sizes, "cid"))
+    hot = hot_keys(sizes, "bucket")
+    shared = materialize(spread_join(banded, sizes.select("bucket", F.col("n").alias("size")), "bucket", hot, "cid"))
 
     light = shared.where(F.col("size") <= LIGHT).select("bucket", "cid")
     pairs = light.select("bucket", F.col("cid").alias("a")).join(light.select("bucket", F.col("cid").alias("b")), "bucket").where("a < b")
@@ -430,7 +431,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     heavy = shared.where(F.col("size") > LIGHT)
     marks = materialize(heavy.groupBy("cid").agg(F.sum(F.expr("shiftleft(1L, band)")).alias("heavy"), F.count(F.lit(1)).alias("buckets")))
     pivots = heavy.join(marks, "cid").groupBy("bucket").agg(F.max(F.struct("buckets", "cid"))["cid"].alias("pivot"))
-    led = spread_join(heavy.select("bucket", "cid"), pivots, "bucket", sizes, "cid").where("cid <> pivot")
+    led = spread_join(heavy.select("bucket", "cid"), pivots, "bucket", hot, "cid").where("cid <> pivot")
     led = led.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"), F.lit(False).alias("light"), (F.col("pivot") < F.col("cid")).alias("led_by_a"), (F.col("pivot") > F.col("cid")).alias("led_by_b"))
 
     flags = ["light", "led_by_a", "led_by_b"]
@@ -454,19 +455,19 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     tied = tied.unionByName(tied.select(F.col("pivot").alias("cid"), "pivot").distinct())
     family = materialize(tied.groupBy("cid").agg(F.min("pivot").alias("family")))
     of_family = family.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    inside = spread_join(family, of_family.select("family", F.col("n").alias("size")), "family", of_family, "cid").where("size > 1").select("cid", (F.col("size") - 1).alias("links"))
+    inside = spread_join(family, of_family.select("family", F.col("n").alias("size")), "family", hot_keys(of_family, "family"), "cid").where("size > 1").select("cid", (F.col("size") - 1).alias("links"))
     apart = verified.where("light")
     for side in ("a", "b"):
         apart = apart.join(family.select(F.col("cid").alias(side), F.col("family").alias(f"family_{side}")), side, "left")
     apart = apart.where("family_a is null or family_b is null or family_a <> family_b")
 
     # Each member is completed once; only then is it copied to its pairs of blocks.
-    placed, meet = _blocks(heavy.select("bucket", "cid", "n").join(family, "cid", "left").withColumn("family", F.coalesce("family", F.lit(-1))), sizes)
+    placed, meet = _blocks(heavy.select("bucket", "cid", "n").join(family, "cid", "left").withColumn("family", F.coalesce("family", F.lit(-1))), hot)
     per_block = placed.groupBy(F.struct("bucket", "block").alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    meeting = spread_join(placed.withColumn("at", F.struct("bucket", "block")), meet.select(F.struct("bucket", "block").alias("at"), "pairs"), "at", per_block, "cid")
+    meeting = spread_join(placed.withColumn("at", F.struct("bucket", "block")), meet.select(F.struct("bucket", "block").alias("at"), "pairs"), "at", hot_keys(per_block, "at"), "cid")
     whole = marks.select("cid", "heavy").join(sk.drop("n"), "cid").join(sets, "cid").join(family, "cid", "left").withColumn("family", F.coalesce("family", F.lit(-1)))
     bands_of = heavy.groupBy("bucket").agg(F.first("band").alias("band"))
-    complete = spread_join(meeting.select("bucket", "cid", "block", "pairs"), bands_of, "bucket", sizes, "cid").join(whole, "cid")
+    complete = spread_join(meeting.select("bucket", "cid", "block", "pairs"), bands_of, "bucket", hot, "cid").join(whole, "cid")
     dealt = complete.select("*", F.explode("pairs").alias("pair")).select("*", "pair.x", "pair.y").drop("pairs", "pair")
     dense = materialize(_heavy_links(dealt))
     edges = verified.select("a", "b").unionByName(dense.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")))
@@ -485,7 +486,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     rows, classes, counts, edges = links(docs)
     groups = components(edges)
     per_class = classes.join(counts, "cid", "left").join(groups.withColumnRenamed("id", "cid"), "cid", "left").withColumn("group", F.coalesce("component", "cid"))
-    return spread_join(rows, per_class, "set_key", classes.select("set_key", F.col("copies").alias("n")), "row_key")
+    return spread_join(rows, per_class, "set_key", hot_keys(classes.select("set_key", F.col("copies").alias("n")), "set_key"), "row_key")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -494,7 +495,7 @@ def join(docs: DataFrame) -> DataFrame:
     the connected group)."""
     found = materialize(_grouped(docs))
     groups = found.groupBy("group").agg(F.min("first_id").alias("group_id"), F.count(F.lit(1)).alias("n"))
-    named = spread_join(found, groups.drop("n"), "group", groups.select("group", "n"), "row_key")
+    named = spread_join(found, groups.drop("n"), "group", hot_keys(groups.select("group", "n"), "group"), "row_key")
     return named.select("doc_id", F.col("first_id").alias("class_id"), F.col("copies").cast("long").alias("copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group_id")
 
 

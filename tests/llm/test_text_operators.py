@@ -268,12 +268,12 @@ def _brute(texts):
     return {i: (rep[s], len(links[rep[s]]), group[rep[s]]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("light,few,hot", [(24, 192, 10_000), (3, 4, 5)])
+@pytest.mark.parametrize("light,few,hot", [(24, 192, 256), (3, 4, 2)])
 def test_jaccard_join(spark, monkeypatch, light, few, hot):
     """Also with limits so low that most buckets are large, span several blocks and have families, and keys are dealt."""
     monkeypatch.setattr(jaccard_join, "LIGHT", light)
     monkeypatch.setattr(jaccard_join, "FEW", few)
-    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "FEW_ROWS", hot)
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
     base = [word() for _ in range(120)]
