@@ -69,7 +69,9 @@ TOLERANCE = 1e-6
 LIGHT = 24
 #: Members and bytes of shingles of a block, at most; small buckets are cut into up to 8 blocks of a few members at least.
 BLOCK, BLOCK_BYTES, FEW = 2048, 16 << 20, 192
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
+#: Rows that a worker holds as Python lists at once.
+SLICE = 512
 #: Pairs compared at once inside a task.
 PAIRS = 1 << 14
 
@@ -167,7 +169,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         cache = _WordHash()
-        for b in batches:
+        for b in _slices(batches):
             sets = [shingles(t, cache) for t in b.column(2).to_pylist()]
             made = [sketch(s) for s in sets]
             cols = [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
@@ -183,7 +185,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         cache = _WordHash()
-        for b in batches:
+        for b in _slices(batches):
             sets = [shingles(t, cache) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "shingles"])
 
@@ -199,11 +201,17 @@ def _filled(column) -> np.ndarray:
     return np.unpackbits(_matrix(column, np.uint8, -(-BINS // 8)), axis=1)[:, :BINS].astype(bool)
 
 
+def _slices(batches, rows: int = SLICE):
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _prune(pairs: DataFrame, keep: list[str]) -> DataFrame:
     """The ``keep`` columns of the pairs (sketch_a, filled_a, sketch_b, filled_b) that outlast the pruning."""
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches, 4096):
             if b.num_rows:
                 col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
                 live = pa.array(survivors(*(x for s in "ab" for x in (_matrix(col[f"sketch_{s}"], np.uint32, BINS), _filled(col[f"filled_{s}"])))))
@@ -226,7 +234,7 @@ def _verify(pairs: DataFrame, keep: list[str]) -> DataFrame:
     """The pairs (set_a, set_b) that are linked, and whether they are tight."""
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             sizes = np.array([_shared(x, y) for x, y in zip(col["set_a"].to_pylist(), col["set_b"].to_pylist(), strict=True)], np.int64).reshape(-1, 2)
             tight = TIGHT[1] * sizes[:, 0] >= TIGHT[0] * sizes[:, 1]
