@@ -18,6 +18,7 @@ from netloom.operators.access import degrees, edge_count, vertex_count
 from netloom.operators.traverse import all_sources, bfs, filtered
 from netloom.plans.fixpoint import iterate
 from netloom.plans.ordering import with_rank
+from netloom.plans.skew import hot_keys, spread_join
 from netloom.session import Levels, discard, materialize
 
 
@@ -49,13 +50,19 @@ def labels(graph: Graph, in_tasks: bool = False) -> DataFrame:
     edges = graph.topology()
     least = edges.groupBy("graph_id", F.col("src").alias("id")).agg(F.min("dst").alias("m"))
     start = graph.vertices.select("graph_id", "id").join(least, ["graph_id", "id"], "left").select("graph_id", "id", F.least("id", "m").alias("label"), F.lit(True).alias("changed"))
+    at = F.struct("graph_id", "dst").alias("at")
+    hubs = hot_keys(edges.groupBy(at).agg(F.count(F.lit(1)).alias("n")), "at")
 
     def step(state: DataFrame, _: int) -> DataFrame:
         now = state.select("graph_id", "id", "label")
-        near = edges.join(now.withColumnRenamed("id", "dst"), ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("id")).agg(F.min("label").alias("near"))
-        jump = now.select("graph_id", F.col("id").alias("label"), F.col("label").alias("jump"))
+        reached = spread_join(edges.select("src", at), now.select(F.struct("graph_id", F.col("id").alias("dst")).alias("at"), "label"), "at", hubs, "src")
+        near = reached.groupBy("at.graph_id", F.col("src").alias("id")).agg(F.min("label").alias("near"))
+        of = F.struct("graph_id", "label").alias("of")
+        shared = hot_keys(now.groupBy(of).agg(F.count(F.lit(1)).alias("n")), "of")
+        jump = now.select(F.struct("graph_id", F.col("id").alias("label")).alias("of"), F.col("label").alias("jump"))
         new = F.least("label", "near", "jump")
-        return now.join(near, ["graph_id", "id"], "left").join(jump, ["graph_id", "label"], "left").select("graph_id", "id", new.alias("new"), (new < F.col("label")).alias("changed")).withColumnRenamed("new", "label")
+        both = spread_join(now.withColumn("of", of), jump, "of", shared, "id", "left").drop("of").join(near, ["graph_id", "id"], "left")
+        return both.select("graph_id", "id", new.alias("new"), (new < F.col("label")).alias("changed")).withColumnRenamed("new", "label")
 
     return iterate(start, step)
 
