@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import tiktoken
 
-from netloom.llm import bpe, common, decontam, jaccard_join, quality, toxicity
+from netloom.llm import bpe, decontam, jaccard_join, quality, toxicity
+from netloom.plans import skew
 
 tokenizers = pytest.importorskip("public_tokenizers")
 RANKS = bpe.read_ranks(tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -273,7 +274,7 @@ def test_jaccard_join(spark, monkeypatch, light, few, hot):
     """Also with limits so low that most buckets are large, span several blocks and have families, and keys are dealt."""
     monkeypatch.setattr(jaccard_join, "LIGHT", light)
     monkeypatch.setattr(jaccard_join, "FEW", few)
-    monkeypatch.setattr(common, "FEW_ROWS", hot)
+    monkeypatch.setattr(skew, "FEW_ROWS", hot)
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
     base = [word() for _ in range(120)]
