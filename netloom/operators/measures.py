@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netloom.model import Graph
+from netloom.model import Graph, symmetric
 from netloom.operators import small
 from netloom.operators.access import degrees, edge_count, vertex_count
-from netloom.operators.traverse import all_sources, bfs, filtered
+from netloom.operators.traverse import all_sources, bfs, filtered, multi_source_bfs
 from netloom.plans.fixpoint import iterate
 from netloom.plans.ordering import with_rank
 from netloom.plans.skew import hot_keys, spread_join
@@ -152,24 +152,68 @@ def transitivity(graph: Graph) -> DataFrame:
     return both.select("graph_id", F.when(F.col("paths") == 0, F.lit(float("nan"))).otherwise(6.0 * F.coalesce("t", F.lit(0)) / F.when(F.col("paths") != 0, F.col("paths"))).alias("transitivity"))
 
 
-def vertex_biconnected_components(graph: Graph, skip_bridges: bool = False) -> DataFrame:
-    """graph_id, rank, size: sizes of biconnected components, descending; bridges have size 2.
+def _search_tree(graph: Graph) -> tuple[DataFrame, int]:
+    """graph_id, id, depth, parent of a breadth-first forest from the least vertex of each component, and its depth."""
+    roots = labels(graph).where("id = label").select("graph_id", F.col("id").alias("source"))
+    seen = multi_source_bfs(graph, roots).select("graph_id", "id", "depth")
+    ends = lambda c: seen.select("graph_id", F.col("id").alias(c), F.col("depth").alias(f"{c}_depth"))
+    up = graph.topology().join(ends("src"), ["graph_id", "src"]).join(ends("dst"), ["graph_id", "dst"]).where("dst_depth = src_depth - 1")
+    parent = up.groupBy("graph_id", F.col("src").alias("id")).agg(F.min("dst").alias("parent"))
+    tree = materialize(seen.join(parent, ["graph_id", "id"], "left").select("graph_id", "id", "depth", "parent"))
+    return tree, tree.agg(F.max("depth")).first()[0] or 0
+
+
+def _upwards(rows: DataFrame, deepest: int, own: dict, merge: dict) -> DataFrame:
+    """``rows`` with the columns of ``own`` merged with those of all vertices below, level by level from the deepest one.
 
-    Hopcroft and Tarjan's search is sequential, so components of the graph are
-    the groups: they run in parallel, and only a component has to fit into a task.
+    own: name -> expression of a vertex's own value; merge: name -> (aggregate over children, combination of two columns).
     """
-    import pyarrow as pa
+    levels, below = Levels(rows.sparkSession, "level"), None
+    for d in range(deepest, -1, -1):
+        here = rows.where(F.col("depth") == d).withColumns(own)
+        if below is not None:
+            here = here.join(below, ["graph_id", "id"], "left").withColumns({k: both(F.col(k), F.col(f"{k}_below")) for k, (_, both) in merge.items()}).drop(*(f"{k}_below" for k in merge))
+        here = levels.write(here, d)
+        below = here.groupBy("graph_id", F.col("parent").alias("id")).agg(*(of(k).alias(f"{k}_below") for k, (of, _) in merge.items()))
+    return levels.read().drop("level")
 
-    from netloom.operators import kernels
 
-    found = labels(graph).select("graph_id", F.col("id").alias("src"), "label")
-    edges = graph.topology().where("src < dst").join(found, ["graph_id", "src"])
+def vertex_biconnected_components(graph: Graph, skip_bridges: bool = False, in_tasks: bool = False) -> DataFrame:
+    """graph_id, rank, size: sizes of biconnected components, descending; bridges have size 2.
 
-    def run(key, t):
-        sizes = kernels.biconnected_sizes(zip(t.column("src").to_pylist(), t.column("dst").to_pylist(), strict=True))
-        return pa.table({"graph_id": pa.array([key[0].as_py()] * len(sizes), pa.int64()), "label": pa.array([key[1].as_py()] * len(sizes), pa.int64()), "size": pa.array(sizes, pa.int64())})
+    Over tables by a breadth-first forest (after Tarjan and Vishkin 1985, and
+    Dong et al. 2023): vertices are numbered in preorder, so a subtree is an
+    interval; low and high are the least and greatest number that a subtree's
+    other edges lead to. A tree edge whose lower end leads nowhere outside the
+    subtree of its upper end separates; without such edges the components that
+    are left, each with the parent of its top, are the biconnected ones. Other
+    edges never join a vertex to its ancestor, since the forest is breadth-first.
 
-    sizes = edges.groupBy("graph_id", "label").applyInArrow(run, "graph_id long, label long, size long")
+    ``in_tasks`` runs Hopcroft and Tarjan's sequential search, one task for each graph.
+    """
+    if in_tasks:
+        sizes = small.biconnected(graph)
+    else:
+        tree, deepest = _search_tree(graph)
+        sized = _upwards(tree, deepest, {"size": F.lit(1).cast("long")}, {"size": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0)))})
+        left = F.sum("size").over(Window.partitionBy("graph_id", "parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+        sized = materialize(sized.withColumn("offset", F.when(F.col("depth") > 0, 1 + F.coalesce(left, F.lit(0))).otherwise(F.lit(0)).cast("long")))
+        levels = Levels(graph.vertices.sparkSession, "level")
+        above = levels.write(sized.where("depth = 0").withColumn("number", F.lit(0).cast("long")), 0)
+        for d in range(1, deepest + 1):
+            upper = above.select("graph_id", F.col("id").alias("parent"), F.col("number").alias("upper"))
+            above = levels.write(sized.where(F.col("depth") == d).join(upper, ["graph_id", "parent"]).select(*sized.columns, (F.col("upper") + F.col("offset")).alias("number")), d)
+        numbered = levels.read().select("graph_id", "id", "depth", "parent", "size", "number")
+        ends = lambda c: numbered.select("graph_id", F.col("id").alias(c), F.coalesce("parent", F.lit(-1)).alias(f"{c}_parent"), F.col("number").alias(f"{c}_number"))
+        cross = materialize(graph.topology().join(ends("src"), ["graph_id", "src"]).join(ends("dst"), ["graph_id", "dst"]).where("src <> dst_parent and dst <> src_parent"))
+        reach = cross.groupBy("graph_id", F.col("src").alias("id")).agg(F.min("dst_number").alias("least"), F.max("dst_number").alias("most"))
+        rows = materialize(numbered.join(reach, ["graph_id", "id"], "left"))
+        spanned = _upwards(rows, deepest, {"low": F.least("number", "least"), "high": F.greatest("number", "most")}, {"low": (F.min, F.least), "high": (F.max, F.greatest)})
+        upper = numbered.select("graph_id", F.col("id").alias("parent"), F.col("number").alias("first"), (F.col("number") + F.col("size") - 1).alias("last"))
+        kept = spanned.join(upper, ["graph_id", "parent"]).where("low < first or high > last").select("graph_id", F.col("id").alias("src"), F.col("parent").alias("dst"))
+        skeleton = Graph(graph.vertices.select("graph_id", "id"), materialize(symmetric(kept).unionByName(cross.select("graph_id", "src", "dst"))))
+        found = labels(skeleton).join(numbered.select("graph_id", "id", "depth"), ["graph_id", "id"]).groupBy("graph_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("depth").alias("top"))
+        sizes = found.where("top > 0").select("graph_id", "label", (F.col("n") + 1).alias("size"))
     if skip_bridges:
         sizes = sizes.where("size > 2")
     return with_rank(sizes, F.desc("size"), "label").select("graph_id", "rank", "size")

@@ -93,3 +93,13 @@ def closeness(graph: Graph) -> DataFrame:
         return {"id": ids, "closeness": [(g.n - 1) / s if s else float("inf") for s in sums]}
 
     return per_graph(graph, "id long, closeness double", f)
+
+
+def biconnected(graph: Graph) -> DataFrame:
+    """graph_id, label, size of every biconnected component; labels tell equal sizes apart."""
+
+    def f(g, ids):
+        sizes = kernels.biconnected_sizes(g.edges())
+        return {"label": list(range(len(sizes))), "size": sizes}
+
+    return per_graph(graph, "label long, size long", f)

@@ -77,15 +77,24 @@ def test_load(many, how):
     assert kernels.vertex_load(k4, True) == [3.0] * 4 and kernels.vertex_load(k4, False) == [0.0] * 4
 
 
-def test_biconnected(many):
+def test_biconnected(many, how):
     sizes = {}
-    for r in measures.vertex_biconnected_components(many).orderBy("graph_id", "rank").collect():
+    for r in measures.vertex_biconnected_components(many, **how).orderBy("graph_id", "rank").collect():
         sizes.setdefault(r["graph_id"], []).append(r["size"])
     assert sizes[7] == [3, 2, 2] and sizes[8] == [5] and sizes[2] == [20] and 1 not in sizes
-    short = [r["size"] for r in measures.vertex_biconnected_components(many, skip_bridges=True).where("graph_id = 7").collect()]
+    short = [r["size"] for r in measures.vertex_biconnected_components(many, skip_bridges=True, **how).where("graph_id = 7").collect()]
     assert short == [3]
 
 
+def test_biconnected_of_random_graphs(spark):
+    """Tables against the sequential search, on sparse graphs with many components, cycles and bridges."""
+    from netloom.operators import ensembles
+
+    g = ensembles.er_c(spark, 60, 2.2, 3, samples=8).materialized()
+    by = lambda f: sorted((r["graph_id"], r["rank"], r["size"]) for r in f.collect())
+    assert by(measures.vertex_biconnected_components(g)) == by(measures.vertex_biconnected_components(g, in_tasks=True))
+
+
 def test_kernels_agree_with_tables(many, how):
     from netloom.operators.ensembles import measure_grouped
 
