@@ -137,3 +137,91 @@ def test_config_model_keeps_every_vertex(spark, monkeypatch):
     monkeypatch.setattr(registry, "derived", lambda *_: Graph(v, symmetric(pairs.unionByName(more))))
     got = registry.queries()["config_model"](spark, "").groupBy("graph_id").agg(F.count("id"), F.sum("degree"), F.max(F.when(F.col("degree") == 2, F.col("id"))), F.count_if(F.col("degree") == 2)).collect()
     assert sorted(map(tuple, got)) == [(g, n, n + 2, n - 2, 2) for g in range(3)]
+
+
+def test_flat_histograms_find_the_density_of_all_graphs_of_four_vertices():
+    """Both estimates against the exact shares: C(6, k) graphs of k edges, each pair an edge with probability p."""
+    from math import comb, log
+
+    p = 1.5 / 3
+    exact = {k: log(comb(6, k)) + k * log(p) + (6 - k) * log(1 - p) for k in range(7)}
+    m = build("er_c", 5, {"n": 4, "c": 1.5})
+    first = kernels.wang_landau(m, 0, 6, lambda g: g.m, 60_000)
+    hits, second = kernels.entropic(m, first, lambda g: g.m, 40_000)
+    assert min(hits.values()) > 40_000 / 7 / 2
+    for found, off in ((first, 0.35), (second, 0.15)):
+        shift = found[3] - exact[3]
+        assert all(abs(found[k] - shift - exact[k]) < off for k in exact)
+
+
+def test_users_measures_stop_and_observe(spark):
+    drawn = ensembles.samples_frame(spark, "er_c", {"n": 30, "c": 4.0}, 1, 6)
+    triangles = lambda g: sum(len(g.adj[a].keys() & g.adj[b].keys()) for a, b in g.edges()) // 3
+    rows = ensembles.metropolis(drawn, 50, 5, 2.0, triangles, stop=lambda k, e: k >= 3 and e <= 6, observe={"edges": "edges", "half": lambda g: g.m / 2}).collect()
+    chains = {}
+    for r in rows:
+        assert r["half"] * 2 == r["edges"]
+        chains.setdefault(r["graph_id"], []).append((r["counter"], r["energy"]))
+    for c in chains.values():
+        ended = [k for k, e in sorted(c) if k >= 3 and e <= 6]
+        assert max(k for k, _ in c) == (ended[0] if ended else 50)
+    sampled = ensembles.simple_sample(drawn, {"t": triangles, "edges": "edges"}).collect()
+    assert len(sampled) == 6 and all(r["t"] >= 0 for r in sampled)
+    with pytest.raises(ValueError, match="unknown measure"):
+        ensembles.simple_sample(drawn, ["no such"])
+
+
+@pytest.mark.parametrize("model", [*PARAMS, "ws", "ba"])
+def test_states_resume(model):
+    import json
+
+    params = PARAMS | {"ws": {"n": 30, "distance": 2, "p": 0.2}, "ba": {"n": 30, "m": 2}}
+    m = build(model, 9, params[model])
+    plain = lambda x: json.loads(json.dumps(x.state()))
+    n = kernels.resume(plain(m))
+    assert plain(n) == plain(m)
+    if model in PARAMS:
+        m.m_steps(40)
+        n.m_steps(40)
+    else:
+        m.randomize()
+        n.randomize()
+    assert plain(n) == plain(m)
+
+
+def test_states_of_a_graph(spark):
+    from netloom.model import Graph
+
+    g = Graph.of(spark, 6, [(0, 1), (1, 2), (3, 4)])
+    r = ensembles.resume(ensembles.states_of(g, 1, 2.0), 0, ["edges", "components"]).first()
+    assert (r["edges"], r["components"]) == (3.0, 3.0)
+    assert ensembles.resume(ensembles.states_of(g, 1, 2.0), 100).count() == 1
+
+
+def test_parameters_can_change():
+    m = build("er_c", 2, {"n": 20, "c": 2.0})
+    m.set_params(c=19)
+    m.randomize()
+    assert m.g.m == 190
+    with pytest.raises(ValueError, match="no such"):
+        m.set_params(r=1)
+    s = build("sw", 2, {"n": 20, "r": 0.0})
+    s.set_params(r=1.0)
+    i, k = s.draw_edge()
+    assert 0 <= i < 20 and 0 <= k < 2
+
+
+def test_configuration_of_broad_degrees():
+    """Degrees for which matching stubs with restarts would never end."""
+    degrees = [40, 40, 38, 30, *[3] * 80, *[1] * 60]
+    degrees[-1] += sum(degrees) % 2
+    m = build("config", 4, {"degrees": degrees})
+    assert [m.g.degree(v) for v in range(len(degrees))] == degrees
+    other = build("config", 5, {"degrees": degrees})
+    assert len(set(m.g.edges()) & set(other.g.edges())) < 0.6 * m.g.m
+
+
+def test_er_c_by_skipping_has_the_right_mean_and_ends(spark):
+    counts = {r["graph_id"]: r["count"] for r in ensembles.er_c(spark, 60, 6.0, 1, samples=200).canonical.groupBy("graph_id").count().collect()}
+    assert sum(counts.values()) / 200 == pytest.approx(180, abs=4)
+    assert ensembles.er_c(spark, 20, 19.0, 1).canonical.count() == 190 and ensembles.er_c(spark, 20, 0.0, 1).canonical.count() == 0
