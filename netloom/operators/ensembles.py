@@ -132,15 +132,96 @@ def spatial_edge_probability(at: DataFrame, pairs: DataFrame, n: int, f: float,
     return _with_positions(pairs, at).select("graph_id", "src", "dst", F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)).alias("probability"))
 
 
-def _spatial_p(n: int, f: float, alpha: float) -> Column:
-    return F.lit(f) * F.pow(1 + F.lit(math.sqrt(n * math.pi)) * distance() / F.lit(alpha), F.lit(-alpha))
+def _spatial_p(n: int, f: float, alpha: float, d: Column | None = None) -> Column:
+    return F.lit(f) * F.pow(1 + F.lit(math.sqrt(n * math.pi)) * (distance() if d is None else d) / F.lit(alpha), F.lit(-alpha))
+
+
+#: Vertices that a cell of the finest grid holds on average.
+CELL = 8
+
+
+def _interleaved(x: Column, y: Column, bits: int) -> Column:
+    """Morton code: the bits of two cell numbers by turns, so that a block of cells of any level is one stretch of codes."""
+    code = F.lit(0).cast("long")
+    for k in range(bits):
+        code = code.bitwiseOR(F.shiftleft(F.shiftright(x, k).bitwiseAND(1), 2 * k)).bitwiseOR(F.shiftleft(F.shiftright(y, k).bitwiseAND(1), 2 * k + 1))
+    return code
+
+
+def _apart(code: Column, bits: int, first: int) -> Column:
+    """One of the two cell numbers of a Morton code."""
+    out = F.lit(0).cast("long")
+    for k in range(bits):
+        out = out.bitwiseOR(F.shiftleft(F.shiftright(code, 2 * k + first).bitwiseAND(1), k))
+    return out
+
+
+def distance_edges(at: DataFrame, n: int, p: Callable[[Column], Column], seed: int, stream: str) -> DataFrame:
+    """(graph_id, src, dst) with src < dst: each pair of points (graph_id, id, x, y in the unit square) with probability p(distance).
+
+    ``p`` must fall with the distance. Cells of a grid with about ``CELL`` points
+    each are blocks, and so are the cells of coarser grids. Two blocks of one
+    level that aren't neighbours, but whose parents are, or that are neighbours
+    on the finest level, stand for all pairs of their points; every pair lies in
+    exactly one such pair of blocks. Its points are far enough apart for p at
+    the blocks' least distance to be a good bound: candidates are drawn by
+    geometric gaps with the bound, and each stays with probability p over the
+    bound. Time grows with the vertices and the edges, not with the pairs.
+    """
+    finest = max(0, round(math.log(max(1.0, n / CELL), 4)))
+    side = lambda level: F.pow(F.lit(2.0), -level)
+    cell = lambda c: F.least(F.floor(F.col(c) * 2**finest), F.lit(2**finest - 1)).cast("long")
+    placed = materialize(with_rank(at.withColumn("z", _interleaved(cell("x"), cell("y"), finest)), "z", "id", out="pos"))
+    levels = F.explode(F.array(*(F.lit(k) for k in sorted({*range(2, finest + 1), finest}))))
+    blocks = placed.select("graph_id", "pos", "z", levels.alias("level")).withColumn("code", F.expr(f"shiftright(z, 2 * ({finest} - level))"))
+    blocks = materialize(blocks.groupBy("graph_id", "level", "code").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("size")))
+
+    steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-3, 4) for dy in range(-3, 4)))
+    around = blocks.select("*", _apart(F.col("code"), finest, 0).alias("cx"), _apart(F.col("code"), finest, 1).alias("cy"), F.explode(steps).alias("step")).select("*", "step.dx", "step.dy")
+    bx, by, width = F.col("cx") + F.col("dx"), F.col("cy") + F.col("dy"), F.expr("shiftleft(1L, level)")
+    parents = F.greatest(F.abs(F.shiftright(bx, 1) - F.shiftright("cx", 1)), F.abs(F.shiftright(by, 1) - F.shiftright("cy", 1))) <= 1
+    near = F.greatest(F.abs("dx"), F.abs("dy")) <= 1
+    inside = (bx >= 0) & (by >= 0) & (bx < width) & (by < width)
+    wanted = around.where(inside & F.when(near, F.col("level") == finest).otherwise(parents)).withColumn("other", _interleaved(bx, by, finest)).where("other >= code")
+    gap = lambda c: F.greatest(F.abs(c) - 1, F.lit(0)).cast("double")
+    bound = F.least(F.lit(1.0), p(F.sqrt(gap("dx") * gap("dx") + gap("dy") * gap("dy")) * side(F.col("level"))))
+    others = blocks.select("graph_id", "level", F.col("code").alias("other"), F.col("start").alias("other_start"), F.col("size").alias("other_size"))
+    met = wanted.select("graph_id", "level", "code", "other", "start", "size", bound.alias("bound")).join(others, ["graph_id", "level", "other"])
+
+    def drawn(r: dict):
+        total, k, t = r["size"] * r["other_size"], 0, -1
+        keys = (seed, f"{stream}_gap", r["graph_id"], r["level"], r["code"], r["other"])
+        scale = math.log1p(-r["bound"]) if r["bound"] < 1 else None
+        while True:
+            k += 1
+            t += 1 if scale is None else 1 + int(math.log(1 - uniform_py(*keys, k)) / scale) if scale else total
+            if t >= total:
+                return
+            a, b = r["start"] + t // r["other_size"], r["other_start"] + t % r["other_size"]
+            if a < b:  # within one block each pair turns up twice
+                yield a, b
+
+    def run(batches):
+        for batch in batches:
+            gid, a, b, bounds = [], [], [], []
+            for r in batch.to_pylist():
+                new = list(drawn(r))
+                gid += [r["graph_id"]] * len(new)
+                a += [x for x, _ in new]
+                b += [y for _, y in new]
+                bounds += [r["bound"]] * len(new)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (gid, a, b)), pa.array(bounds, pa.float64())], names=["graph_id", "a", "b", "bound"])
+
+    candidates = met.repartition("graph_id", "level", "code").mapInArrow(run, "graph_id long, a long, b long, bound double")
+    end = lambda c, k: placed.select("graph_id", F.col("pos").alias(c), F.col("id").alias(f"id{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    both = candidates.join(end("a", 1), ["graph_id", "a"]).join(end("b", 2), ["graph_id", "b"]).withColumns({"src": F.least("id1", "id2"), "dst": F.greatest("id1", "id2")})
+    return both.where(uniform(seed, stream, "graph_id", "src", "dst") * F.col("bound") <= p(distance())).select("graph_id", "src", "dst")
 
 
 def spatial(spark: SparkSession, n: int, f: float, alpha: float, seed: int, samples: int = 1) -> Graph:
-    """Edge if u <= f (1 + sqrt(n pi) d / alpha)^-alpha."""
+    """Each pair with probability f (1 + sqrt(n pi) d / alpha)^-alpha, in time proportional to vertices and edges."""
     at = positions(spark, n, seed, samples)
-    e = _with_positions(all_pairs(at.select("graph_id", "id"), n), at).where(uniform(seed, "spatial", "graph_id", "src", "dst") <= _spatial_p(n, f, alpha))
-    return Graph(at, symmetric(e.select("graph_id", "src", "dst")))
+    return Graph(at, symmetric(distance_edges(at, n, lambda d: _spatial_p(n, f, alpha, d), seed, "spatial")))
 
 
 def latin_hypercube_2d(spark: SparkSession, n: int, seed: int, samples: int = 1) -> DataFrame:
@@ -152,11 +233,9 @@ def latin_hypercube_2d(spark: SparkSession, n: int, seed: int, samples: int = 1)
 
 
 def dog_base(spark: SparkSession, n: int, kappa: float, seed: int, samples: int = 1) -> Graph:
-    """The distance-dependent edges: u < 1 - (1 - exp(-kappa d))^2, on Latin-hypercube points scaled to the unit square."""
+    """The distance-dependent edges: probability 1 - (1 - exp(-kappa d))^2, on Latin-hypercube points scaled to the unit square."""
     at = latin_hypercube_2d(spark, n, seed, samples).withColumns({"x": F.col("x") / F.lit(float(n)), "y": F.col("y") / F.lit(float(n))})
-    p = 1 - F.pow(F.expm1(-distance() * F.lit(kappa)), F.lit(2.0))
-    e = _with_positions(all_pairs(at.select("graph_id", "id"), n), at).where(uniform(seed, "dog", "graph_id", "src", "dst") < p)
-    return Graph(at, symmetric(e.select("graph_id", "src", "dst")))
+    return Graph(at, symmetric(distance_edges(at, n, lambda d: 1 - F.pow(F.expm1(-d * F.lit(kappa)), F.lit(2.0)), seed, "dog")))
 
 
 def degree_vec_is_valid(degrees: DataFrame) -> DataFrame:

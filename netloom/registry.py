@@ -583,7 +583,30 @@ D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 SP = f"1.5 * pow(1 + {math.sqrt(200 * math.pi)!r} * {D} / 2.5, -2.5)"
 
 
-@query("spatial", f"WITH {AT} SELECT a.id AS src, b.id AS dst FROM pos a JOIN pos b ON a.id < b.id WHERE {uniform_sql(42, 'spatial', '0', 'a.id', 'b.id')} <= {SP}")
+def _distance_sql(points: str, p: str, stream: str) -> str:
+    """The edges of 200 points: their finest grid has 4 x 4 cells, so every pair of cells is a pair of blocks of level 2.
+
+    ``points``: CTEs up to pos(id, x, y); ``p``: the probability at a distance D.
+    """
+    z = "(cx % 2) + 2 * (cy % 2) + 4 * (cx // 2) + 8 * (cy // 2)"
+    return f"""WITH RECURSIVE {points},
+cell AS (SELECT id, x, y, least(floor(x * 4), 3)::BIGINT AS cx, least(floor(y * 4), 3)::BIGINT AS cy FROM pos),
+spot AS (SELECT *, {z} AS z, row_number() OVER (ORDER BY {z}, id) - 1 AS p FROM cell),
+blk AS (SELECT z, cx, cy, min(p) AS s, count(*) AS n FROM spot GROUP BY z, cx, cy),
+met AS (SELECT a.z AS za, b.z AS zb, a.s AS sa, b.s AS sb, a.n AS na, b.n AS nb,
+  sqrt(pow(greatest(abs(a.cx - b.cx) - 1, 0), 2) + pow(greatest(abs(a.cy - b.cy) - 1, 0), 2)) / 4.0 AS d FROM blk a JOIN blk b ON b.z >= a.z),
+bound AS (SELECT *, least(1.0, {p.replace('D', 'd')}) AS top FROM met),
+draw(za, zb, sa, sb, na, nb, top, k, t) AS (
+  SELECT za, zb, sa, sb, na, nb, top, CAST(0 AS BIGINT), CAST(-1 AS BIGINT) FROM bound
+  UNION ALL
+  SELECT za, zb, sa, sb, na, nb, top, k + 1, t + 1 + CASE WHEN top < 1 THEN CAST(floor(ln(1 - {uniform_sql(42, stream + '_gap', '0', '2', 'za', 'zb', 'k + 1')}) / ln(1 - top)) AS BIGINT) ELSE 0 END FROM draw WHERE t < na * nb
+),
+cand AS (SELECT sa + t // nb AS a, sb + t % nb AS b, top FROM draw WHERE k > 0 AND t < na * nb),
+pair AS (SELECT least(a.id, b.id) AS src, greatest(a.id, b.id) AS dst, top, {D} AS d FROM cand JOIN spot a ON a.p = cand.a JOIN spot b ON b.p = cand.b WHERE cand.a < cand.b)
+SELECT src, dst FROM pair WHERE {uniform_sql(42, stream, '0', 'src', 'dst')} * top <= {p.replace('D', 'd')}"""
+
+
+@query("spatial", _distance_sql(AT, SP.replace(D, "D"), "spatial"))
 def _(spark, sf_dir):
     return ensembles.spatial(spark, 200, 1.5, 2.5, 42).canonical.select("src", "dst")
 
@@ -610,7 +633,7 @@ def _(spark, sf_dir):
     return ensembles.latin_hypercube_2d(spark, 200, 42).select("id", "x", "y")
 
 
-@query("dog", f"WITH {LHS}, pos AS (SELECT id, x / 200.0::DOUBLE AS x, y / 200.0::DOUBLE AS y FROM lhs) SELECT a.id AS src, b.id AS dst FROM pos a JOIN pos b ON a.id < b.id WHERE {uniform_sql(42, 'dog', '0', 'a.id', 'b.id')} < 1 - pow(exp(-{D} * 12.0) - 1, 2)")
+@query("dog", _distance_sql(f"{LHS}, pos AS (SELECT id, x / 200.0::DOUBLE AS x, y / 200.0::DOUBLE AS y FROM lhs)", "(1 - pow(exp(-D * 12.0) - 1, 2))", "dog"))
 def _(spark, sf_dir):
     return ensembles.dog_base(spark, 200, 12.0, 42).canonical.select("src", "dst")
 

@@ -225,3 +225,27 @@ def test_er_c_by_skipping_has_the_right_mean_and_ends(spark):
     counts = {r["graph_id"]: r["count"] for r in ensembles.er_c(spark, 60, 6.0, 1, samples=200).canonical.groupBy("graph_id").count().collect()}
     assert sum(counts.values()) / 200 == pytest.approx(180, abs=4)
     assert ensembles.er_c(spark, 20, 19.0, 1).canonical.count() == 190 and ensembles.er_c(spark, 20, 0.0, 1).canonical.count() == 0
+
+
+def test_spatial_by_cells_has_every_pair_at_its_probability(spark):
+    """Three levels of cells: the number of edges, all and long ones, against the sums of the probabilities."""
+    import math
+
+    n, f, alpha = 600, 0.9, 1.2
+    g = ensembles.spatial(spark, n, f, alpha, 5, samples=2).materialized()
+    at = {}
+    for r in g.vertices.collect():
+        at.setdefault(r["graph_id"], {})[r["id"]] = (r["x"], r["y"])
+    edges = [(r["graph_id"], r["src"], r["dst"]) for r in g.canonical.collect()]
+    assert len(edges) == len(set(edges))
+    for least in (0.0, 0.3, 0.6):
+        mean = var = 0.0
+        for points in at.values():
+            for i in range(n):
+                for j in range(i):
+                    d = math.dist(points[i], points[j])
+                    if d >= least:
+                        p = f * (1 + math.sqrt(n * math.pi) * d / alpha) ** -alpha
+                        mean, var = mean + p, var + p * (1 - p)
+        found = sum(math.dist(at[k][a], at[k][b]) >= least for k, a, b in edges)
+        assert abs(found - mean) < 4.5 * math.sqrt(var)
