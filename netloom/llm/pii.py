@@ -48,7 +48,7 @@ from netloom.llm.common import fresh, let
 #: Kinds of the base rules, and what proposals can be besides.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
-TRAINING_TEXTS = 1500
+TRAINING_TEXTS = 2000
 PRECISION = 0.97
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -346,7 +346,9 @@ def training_texts(n: int = TRAINING_TEXTS, seed: int = 7) -> list[tuple[str, li
         return (f"{pick('mail', 'e-mail:', 'contact', 'reach me at', 'write to')} " if chance(0.6) else ""), body
 
     def not_email() -> tuple[str, str]:
-        return "", pick(f"{word()} at {word()}", f"{word()} at {word()}. ", f"{word()} looked at {word()} at {word()}", f"@{word()}", f"{word()} @ {word()}", f"{word()} at {num(2)}.{num(2)}", f"At {word()}", f"{word()} dot {word()}")
+        fore = pick("", "", "", "", "mail ", "write ", "contact ", "reach ")
+        a, b, c = word(2, 16), word(2, 16), word(2, 16)
+        return fore, pick(f"{a} at {b}", f"{a} at {b}", f"{a} at {b}. ", f"{a}at at {b}", f"{a} {c} at {b} {word()}", f"{a} at {b}. {c.capitalize()}", f"{a} looked at {b} at {c}", f"@{b}", f"{a} @ {b}", f"{a} at {num(2)}.{num(2)}", f"At {b}", f"{a.capitalize()} At {b}", f"{a} dot {b}")
 
     def ip() -> tuple[str, str]:
         groups = [f"{v:x}" for v in r.integers(0, 65536, 8)]
