@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import with_fields
+from netloom.llm.common import small_batches, with_fields
 
 #: Distinct pre-tokens that one worker remembers; they are dropped by halves, the longest unused first.
 CACHE_ENTRIES = 600_000
@@ -274,7 +274,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(sizes)], names=[*b.schema.names, ids, count])
 
-    return rest.mapInArrow(run, schema)
+    return small_batches(rest).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -290,7 +290,7 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids",
             texts = [codec.decode(x.values.to_numpy(zero_copy_only=False).tolist()).decode("utf-8", "replace") if x.is_valid else None for x in lists]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
-    return rest.mapInArrow(run, with_fields(rest, **{out: "string"}))
+    return small_batches(rest).mapInArrow(run, with_fields(rest, **{out: "string"}))
 
 
 def round_trip(df: DataFrame, vocabulary: str, pattern: str, key_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -314,4 +314,4 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, key_column: str = "
                 byte_digests.append(byte_hash.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(byte_digests)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(source).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -12,6 +12,18 @@ LABELLED_SAMPLE = 4000
 SAMPLE_TEXT_BYTES = 65_536
 
 
+#: Rows of an Arrow batch, where the session has not chosen its own number.
+ARROW_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are short: rows hold whole texts, and Spark's default of 10,000 of them fills memory on both sides."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it many times in ``body``.
 

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.common import small_batches
 from netloom.session import materialize
 
 #: Edits allowed for each character of an item.
@@ -167,7 +168,7 @@ def _blocks(items: DataFrame) -> Iterator[tuple[bytes, list[tuple[int | None, st
 
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, edits, item_chars, end_char (in the normalised text) of each item that a document contains."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def search(key, block) -> DataFrame:
         def run(batches):
@@ -190,7 +191,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text contains an item. Each row is judged by itself, whatever its id."""
-    at = docs.columns.index("text")
+    at = small_batches(docs).columns.index("text")
 
     def keep(key, block):
         def run(batches):

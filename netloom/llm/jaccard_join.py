@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import fresh
+from netloom.llm.common import fresh, small_batches
 from netloom.plans.skew import hot_keys, spread_join
 from netloom.session import discard, materialize
 
@@ -177,7 +177,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
             cols += [pa.array([v.tobytes() for v, _ in made], pa.binary()), pa.array([np.packbits(f).tobytes() for _, f in made], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "row_key", "set_key", "n", "sketch", "filled"])
 
-    return source.mapInArrow(run, "doc_id long, row_key long, set_key binary, n int, sketch binary, filled binary")
+    return small_batches(source).mapInArrow(run, "doc_id long, row_key long, set_key binary, n int, sketch binary, filled binary")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [shingles(t, cache) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "shingles"])
 
-    found = source.mapInArrow(run, "set_key binary, shingles binary").dropDuplicates(["set_key"])
+    found = small_batches(source).mapInArrow(run, "set_key binary, shingles binary").dropDuplicates(["set_key"])
     return found.join(wanted.select("cid", "set_key"), "set_key").select("cid", "shingles")
 
 
