@@ -280,7 +280,7 @@ def config_from_degrees(degrees: DataFrame, seed: int, samples: int = 1) -> Grap
 
     The rows go to the samples' tasks as a table: none is collected by the driver or left out.
     """
-    rows = degrees.crossJoin(degrees.sparkSession.range(samples).withColumnRenamed("id", "graph_id")).select("graph_id", "id", "degree")
+    rows = degrees.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))).alias("graph_id"), "id", "degree")
 
     def run(key, t):
         t = t.sort_by("id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -101,5 +102,5 @@ _left: dict[str, SparkSession] = {}
 @atexit.register
 def _tidy() -> None:
     for path, spark in list(_left.items()):
-        if spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the session may be gone
             _delete(spark, path)
