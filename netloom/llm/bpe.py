@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import small_batches, with_fields
+from netloom.llm.common import slices, small_batches, with_fields
 
 #: Distinct pre-tokens that one worker remembers; they are dropped by halves, the longest unused first.
 CACHE_ENTRIES = 600_000
@@ -253,9 +253,7 @@ def _kept(df: DataFrame, *new: str) -> DataFrame:
 
 def _slices(batches):
     with _without_gc():
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                yield b.slice(at, ROWS)
+        yield from slices(batches, ROWS)
 
 
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +27,18 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def slices(batches, rows: int):
+    """Arrow batches cut into shorter ones; at the end of a task a worker gives back the memory that it doesn't use."""
+    try:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it many times in ``body``.
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import small_batches
+from netloom.llm.common import slices, small_batches
 from netloom.session import materialize
 
 #: Edits allowed for each character of an item.
@@ -45,6 +45,8 @@ ERRORS = 0.08
 MIN_CHARS = 40
 #: Normalised characters of items in one automaton.
 MAX_ITEM_CHARS = 4_000_000
+#: Rows that a worker holds as Python strings at once.
+ROWS = 512
 
 _FOLD = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _MARKS = re.compile(r"[^\w\x00-\x7f]+")
@@ -173,7 +175,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     def search(key, block) -> DataFrame:
         def run(batches):
             matcher = _matcher(key, block)
-            for b in batches:
+            for b in slices(batches, ROWS):
                 rows = [(i, *m) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in matcher.search(t)]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(cols[k], pa.int64()) for k in (0, 1, 2, 4, 3)], names=["doc_id", "item_id", "edits", "item_chars", "end_char"])
@@ -196,7 +198,7 @@ def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
     def keep(key, block):
         def run(batches):
             matcher = _matcher(key, block)
-            for b in batches:
+            for b in slices(batches, ROWS):
                 yield b.filter(pa.array([next(matcher.search(t), None) is None for t in b.column(at).to_pylist()], pa.bool_()))
 
         return run

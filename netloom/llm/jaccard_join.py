@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import fresh, small_batches
+from netloom.llm.common import fresh, slices, small_batches
 from netloom.plans.skew import hot_keys, spread_join
 from netloom.session import discard, materialize
 
@@ -170,7 +170,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         cache = _WordHash()
-        for b in _slices(batches):
+        for b in slices(batches, SLICE):
             sets = [shingles(t, cache) for t in b.column(2).to_pylist()]
             made = [sketch(s) for s in sets]
             cols = [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
@@ -186,7 +186,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         cache = _WordHash()
-        for b in _slices(batches):
+        for b in slices(batches, SLICE):
             sets = [shingles(t, cache) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "shingles"])
 
@@ -202,17 +202,11 @@ def _filled(column) -> np.ndarray:
     return np.unpackbits(_matrix(column, np.uint8, -(-BINS // 8)), axis=1)[:, :BINS].astype(bool)
 
 
-def _slices(batches, rows: int = SLICE):
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def _prune(pairs: DataFrame, keep: list[str]) -> DataFrame:
     """The ``keep`` columns of the pairs (sketch_a, filled_a, sketch_b, filled_b) that outlast the pruning."""
 
     def run(batches):
-        for b in _slices(batches, 4096):
+        for b in slices(batches, 4096):
             if b.num_rows:
                 col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
                 live = pa.array(survivors(*(x for s in "ab" for x in (_matrix(col[f"sketch_{s}"], np.uint32, BINS), _filled(col[f"filled_{s}"])))))
@@ -235,7 +229,7 @@ def _verify(pairs: DataFrame, keep: list[str]) -> DataFrame:
     """The pairs (set_a, set_b) that are linked, and whether they are tight."""
 
     def run(batches):
-        for b in _slices(batches):
+        for b in slices(batches, SLICE):
             col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             sizes = np.array([_shared(x, y) for x, y in zip(col["set_a"].to_pylist(), col["set_b"].to_pylist(), strict=True)], np.int64).reshape(-1, 2)
             tight = TIGHT[1] * sizes[:, 0] >= TIGHT[0] * sizes[:, 1]
@@ -362,7 +356,7 @@ def _count_blocks(members, shingles):
     return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles * 8 / BLOCK_BYTES), F.least(F.lit(8), F.ceil(members / FEW))).cast("long")
 
 
-def _blocks(heavy: DataFrame, hot: list[tuple]) -> tuple[DataFrame, DataFrame]:
+def _blocks(heavy: DataFrame, hot: dict[int, list[int]]) -> tuple[DataFrame, DataFrame]:
     """The blocks of each large bucket, and which of them meet.
 
     heavy: bucket, cid, family (-1: none), n; hot: the buckets to deal. Returns (bucket, cid,

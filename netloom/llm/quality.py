@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from netloom.llm.common import small_batches, training_rows, with_fields
+from netloom.llm.common import slices, small_batches, training_rows, with_fields
 
 THRESHOLD = 0.3
 SEQUENCE = 64
@@ -211,7 +211,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "quality_s
     at = rest.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 512):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([model.probability(t) for t in b.column(at).to_pylist()], pa.float64())], names=[*b.schema.names, out])
 
     return small_batches(rest).mapInArrow(run, with_fields(rest, **{out: "double"}))

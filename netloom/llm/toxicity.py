@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import held_out, sample_texts, small_batches, with_fields
+from netloom.llm.common import held_out, sample_texts, slices, small_batches, with_fields
 
 #: Rows of each label, at most, that the lexicon is learnt from.
 POSITIVE_ROWS, NEGATIVE_ROWS = 1500, 4500
@@ -305,7 +305,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity"
 
     def run(batches):
         matcher = model.matcher()
-        for b in batches:
+        for b in slices(batches, 512):
             figures = [matcher.figures(t or "") for t in b.column(at).to_pylist()]
             made = ([model.probability(*f) for f in figures], [f[1] for f in figures], [f[0] for f in figures])
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(made[k], kinds[t]) for _, t, k in new)], names=[*b.schema.names, *(c for c, _, _ in new)])
