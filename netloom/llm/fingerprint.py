@@ -9,8 +9,12 @@ bits of each value are packed into a hexadecimal string. Two unrelated values
 agree in 8 bits with probability 1/256, which ``likeness`` corrects for.
 
 Only built-in expressions run. The fingerprint needs no shuffle. ``neighbours``
-finds the next document by a global sort of the ids alone, and only the
-beginning of the next text that an edit needs, and its fingerprint, travel.
+cuts the order of documents into chunks of consecutive ones and shuffles each
+text once, to its chunk. A document that opens a chunk also goes to the end of
+the chunk before (the first one to the end of the last), so that every document
+meets the next one in its own chunk. Which documents open one is drawn by a
+hash, the likelier the longer the text, so that chunks are of like bytes
+whatever the ids; of the ids alone a small table is made for that.
 
 Defined cases: null counts as empty; a text without words has the fingerprint
 of dashes, which is like itself (1.0) and unlike anything else (0.0); a text of
@@ -23,17 +27,26 @@ returned.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.llm.common import let
-from netloom.session import materialize
+from netloom.session import discard, materialize
 
 WORDS = 5
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 LOW_BITS = 8
 EMPTY = "--" * BINS
+#: Mean bytes of a chunk of consecutive documents, as far as that makes no more than so many chunks; what a row counts besides its text.
+CHUNK_BYTES = 32_768
+CHUNKS = 16_384
+ROW_BYTES = 64
+#: Exact repeats of a row travel and become one row in its chunk; if any row has more, they become one before they travel.
+REPEATS = 100
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -85,21 +98,33 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (same / F.lit(float(BINS)) - chance) / (1 - chance)))
 
 
-def row_numbers(keys: DataFrame, *order: str) -> DataFrame:
-    """``keys`` with ``row``: the global position in the order of the given columns, without a single-task sort.
+def openings(ids: DataFrame, *key: str) -> list[Row]:
+    """The sorted keys that open a chunk: the least one, and of all others a sample by ``size`` (texts longer than a chunk always)."""
+    whole = ids.agg(F.sum("size").alias("size"), F.min(F.struct(*key)).alias("least")).first()
+    if whole["least"] is None:
+        return []
+    chunk_bytes = max(CHUNK_BYTES, whole["size"] // CHUNKS)
+    drawn = ids.where(F.pmod(F.xxhash64(*key), F.lit(chunk_bytes)) < F.col("size")).select(*key).collect()
+    return sorted({whole["least"], *drawn})
+
+
+def places(key: Column, opening: list[Row], form: T.StructType) -> Column:
+    """array<(chunk, guest)>, where a document goes: to its chunk and, if it opens that, as a guest to the one before.
 
-    A range-partitioned sort numbers each partition; the partitions' totals
-    (one row each) give the offsets.
+    The chunk is found by bisection in the opening keys, a constant array.
     """
-    placed = materialize(keys.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1))
-    totals = {r["_p"]: r["n"] for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, total = [], 0
-    for p in sorted(totals):
-        offsets.append((p, total))
-        total += totals[p]
-    starts = keys.sparkSession.createDataFrame(offsets, "_p long, _start long")  # one row a partition
-    return placed.join(F.broadcast(starts), "_p").withColumn("row", F.col("_start") + F.col("_i")).drop("_p", "_i", "_m", "_start")
+    starts = F.from_json(F.lit(json.dumps([r.asDict() for r in opening])), T.ArrayType(form))
+    hops = [F.lit(1 << b) for b in reversed(range(max(len(opening), 1).bit_length()))]
+
+    def among(starts: Column) -> Column:
+        def found(chunk: Column) -> Column:
+            own = F.struct(chunk.alias("chunk"), F.lit(False).alias("guest"))
+            before = F.struct((F.when(chunk == 0, F.lit(len(opening))).otherwise(chunk) - 1).alias("chunk"), F.lit(True).alias("guest"))
+            return F.when(F.get(starts, chunk) == key, F.array(own, before)).otherwise(F.array(own))
+
+        return let(F.aggregate(F.array(*hops), F.lit(0), lambda at, hop: F.when(F.get(starts, at + hop) <= key, at + hop).otherwise(at)), found)
+
+    return let(starts, among)
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -107,20 +132,21 @@ def neighbours(docs: DataFrame) -> DataFrame:
     beginning of the next document, and the likeness to that edited text and to the next document."""
     text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
     key = ["known", "id", "h"]  # a null id equals itself here
-    base = docs.select(doc_id.alias("doc_id"), doc_id.isNotNull().alias("known"), F.coalesce(doc_id, F.lit(0)).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
-    ids = base.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.max(F.length("text")).alias("n"))
-    placed = materialize(row_numbers(ids, *key))
-    span = placed.agg(F.max("row"), F.max("rows")).first()
-    last, repeats = span[0] or 0, (span[1] or 0) > 1
-    follows = placed.select(F.when(F.col("row") == 0, F.lit(last)).otherwise(F.col("row") - 1).alias("row"), *key)
-    owners = placed.select("row", *(F.col(k).alias(f"own_{k}") for k in key), F.floor(F.col("n") / 4).cast("int").alias("quarter"))
-    pairs = follows.join(owners, "row").drop("row")
-
-    base = base.withColumn("fingerprint", fingerprint(F.col("text")))
-    once = base.dropDuplicates(key) if repeats else base
-    heads = once.join(pairs, key).select(*(F.col(f"own_{k}").alias(k) for k in key), "quarter", F.expr("substring(text, 1, quarter)").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
-    joined = base.join(heads, key)
-    edited = F.expr("concat(substring(text, 1, length(text) - quarter), head)")
-    out = joined.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
-    out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    base = docs.select(doc_id.isNotNull().alias("known"), F.coalesce(doc_id, F.lit(0)).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
+    ids = materialize(base.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text").cast("long") + ROW_BYTES).alias("size")))
+    repeats = ids.agg(F.max("rows")).first()[0] or 0
+
+    def merged(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.first("text").alias("text"), F.count(F.lit(1)).cast("int").alias("rows"))
+
+    spots = places(F.struct(*key), openings(ids, *key), ids.select(*key).schema)
+    discard(ids)
+    dealt = (merged(base, *key) if repeats > REPEATS else base).select("*", F.inline_outer(spots)).repartition("chunk")
+    dealt = (merged(dealt, "chunk", "guest", *key) if 1 < repeats <= REPEATS else dealt).withColumn("fingerprint", fingerprint(F.col("text")))
+    order = Window.partitionBy("chunk").orderBy("guest", *key)
+    joined = dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "fingerprint"))).where(~F.col("guest")).withColumn("quarter", F.floor(F.length("text") / 4).cast("int"))
+    edited = F.expr("concat(substring(text, 1, length(text) - quarter), substring(next_text, 1, quarter))")
+    rows, copies = (["rows"], [F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy")]) if repeats > 1 else ([], [])
+    out = joined.select(F.when(F.col("known"), F.col("id")).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint", *rows)
+    out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint", *rows)
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), *copies).drop("copy")

@@ -183,6 +183,43 @@ def test_fingerprints_of_null_ids(spark):
     assert last["edited_sha256"] in {hashlib.sha256(("q r s "[:6] + x).encode()).hexdigest() for x in ("a", "z")}
 
 
+def _shuffled(spark):
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("repeated", [0, 1])
+def test_fingerprints_shuffle_each_text_once(spark, repeated):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ", k=4000))) for i in range(500)]
+    df = spark.createDataFrame(rows + rows[:repeated], "doc_id long, text string").repartition(4).cache()
+    assert df.count() == 500 + repeated
+    before, small = _shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large for it
+    try:
+        fingerprint.neighbours(df).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert 0.5 * 500 * 4000 < _shuffled(spark) - before < 1.6 * 500 * 4000
+    df.unpersist()
+
+
+@pytest.mark.parametrize(("chunk_bytes", "chunks"), [(1, 1 << 20), (150, 1 << 20), (1, 3), (1 << 30, 1)])
+def test_fingerprints_across_chunks(spark, monkeypatch, chunk_bytes, chunks):
+    monkeypatch.setattr(fingerprint, "CHUNK_BYTES", chunk_bytes)
+    monkeypatch.setattr(fingerprint, "CHUNKS", chunks)
+    rng = random.Random(6)
+    text = {i: " ".join(rng.choices(["ab", "ü", "🙂x", "word"], k=rng.choice([0, 1, 3, 30, 200]))) for i in rng.sample(range(-(10**12), 10**12), 60)}
+    rows = [(i, t or None) for i, t in text.items() for _ in range(3 if i % 7 == 0 else 1)]
+    rng.shuffle(rows)
+    for part, most in ((rows, 100), (rows, 2), (list(dict(rows).items()), 100)):  # with and without repeated rows
+        monkeypatch.setattr(fingerprint, "REPEATS", most)
+        got = sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprint.neighbours(spark.createDataFrame(part, "doc_id long, text string")).collect())
+        ids = sorted(text)
+        edited = {a: text[a][: len(text[a]) - len(text[a]) // 4] + text[b][: len(text[a]) // 4] for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
+        assert got == sorted((i, len(text[i]), hashlib.sha256(edited[i].encode()).hexdigest()) for i, _ in part)
+
+
 def test_sharding_writes_every_row_once(spark, tmp_path):
     rows = [(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, "c"), (None, None), (7, "x" * 30)]
     df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, shard long")
