@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from netloom.model import Graph, symmetric
-from netloom.operators import small
+from netloom.operators import searches, small
 from netloom.operators.access import degrees, edge_count, vertex_count
 from netloom.operators.traverse import all_sources, bfs, filtered, multi_source_bfs
 from netloom.plans.fixpoint import iterate
@@ -122,10 +122,11 @@ def diameter(graph: Graph, in_tasks: bool = False) -> DataFrame:
     """graph_id, diameter; null for a disconnected graph, whose all-source search is not run."""
     if in_tasks:
         return small.diameter(graph)
-    whole = materialize(is_connected(graph))
+    found = materialize(labels(graph))
+    whole = materialize(found.groupBy("graph_id").agg((F.count_if(F.col("id") == F.col("label")) == 1).alias("is_connected")))
     ok = whole.where("is_connected").select("graph_id")
     part = Graph(graph.vertices.join(ok, "graph_id", "left_semi"), graph.edges.join(ok, "graph_id", "left_semi"))
-    far = all_sources(part).groupBy("graph_id").agg(F.max("depth").alias("diameter"))
+    far = searches.deepest(part, found.join(ok, "graph_id", "left_semi")).groupBy("graph_id").agg(F.max("depth").alias("diameter"))
     return whole.select("graph_id").join(far, "graph_id", "left")
 
 
@@ -257,8 +258,7 @@ def closeness_centrality(graph: Graph, in_tasks: bool = False) -> DataFrame:
     """(V-1) over the sum of distances; unreachable vertices add nothing, isolated vertices are infinite."""
     if in_tasks:
         return small.closeness(graph)
-    sums = all_sources(graph).groupBy("graph_id", "id").agg(F.sum("depth").alias("s"))
-    return sums.join(vertex_count(graph), "graph_id").select("graph_id", "id", F.when(F.col("s") == 0, F.lit(float("inf"))).otherwise((F.col("vertex_count") - 1) / F.when(F.col("s") != 0, F.col("s"))).alias("closeness"))
+    return searches.distance_sums(graph).join(vertex_count(graph), "graph_id").select("graph_id", "id", F.when(F.col("s") == 0, F.lit(float("inf"))).otherwise((F.col("vertex_count") - 1) / F.when(F.col("s") != 0, F.col("s"))).alias("closeness"))
 
 
 def sw_long_ranging(graph: Graph) -> DataFrame:
