@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from netloom.operators import ensembles, kernels, measures, searches
+from netloom.operators import ensembles, kernels, measures, searches, traverse
 from netloom.operators.searches import Component
 
 
@@ -61,3 +61,11 @@ def test_closeness_in_parts(sparse, tiny):
 
 def test_closeness_shuffles_no_pairs(spark, wide):
     assert shuffled_rows(spark, lambda: measures.closeness_centrality(wide).collect()) < 160_000 / 2
+
+
+def test_all_sources_in_parts(sparse, tiny):
+    assert rows(traverse.all_sources(sparse)) == rows(traverse.all_sources(sparse, in_tasks=True))
+
+
+def test_all_sources_shuffles_no_pairs(spark, wide):
+    assert shuffled_rows(spark, lambda: traverse.all_sources(wide).collect()) < 160_000 / 2
