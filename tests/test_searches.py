@@ -12,7 +12,7 @@ from netloom.operators.searches import Component
 @pytest.fixture
 def tiny(monkeypatch):
     """Many parts a component, and every block of a few rows."""
-    for name, value in {"FEW_SOURCES": 7, "BLOCK": 16, "LISTED": 5}.items():
+    for name, value in {"FEW_SOURCES": 7, "BLOCK": 16, "CELLS": 400, "LISTED": 5}.items():
         monkeypatch.setattr(searches, name, value)
 
 
@@ -69,3 +69,13 @@ def test_all_sources_in_parts(sparse, tiny):
 
 def test_all_sources_shuffles_no_pairs(spark, wide):
     assert shuffled_rows(spark, lambda: traverse.all_sources(wide).collect()) < 160_000 / 2
+
+
+@pytest.mark.parametrize("endpoints", [False, True])
+def test_load_in_parts(sparse, tiny, endpoints):
+    assert rows(measures.vertex_load(sparse, endpoints)) == rows(measures.vertex_load(sparse, endpoints, in_tasks=True))
+
+
+@pytest.mark.parametrize("endpoints", [False, True])
+def test_load_shuffles_no_pairs(spark, wide, endpoints):
+    assert shuffled_rows(spark, lambda: measures.vertex_load(wide, endpoints).collect()) < 160_000 / 2
