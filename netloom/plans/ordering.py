@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,6 +26,21 @@ def with_position(df: DataFrame, *order: str, out: str = "id") -> DataFrame:
     return placed.join(F.broadcast(offsets), "_p").withColumn(out, F.col("_s") + F.col("_i")).drop("_p", "_i", "_m", "_s")
 
 
+def with_offset(df: DataFrame, weight: Column, *order: str, out: str) -> DataFrame:
+    """``df`` and the sum of ``weight`` over all rows before each row in the given order, without ties.
+
+    Like ``with_position``: running sums within the partitions of a range-partitioned sort, and their totals.
+    """
+    placed = materialize(df.orderBy(*order).withColumns({"_w": weight.cast("long"), "_p": F.spark_partition_id()}))
+    starts, total = [], 0
+    for r in sorted(placed.groupBy("_p").agg(F.sum("_w").alias("n")).collect()):
+        starts.append((r["_p"], total))
+        total += r["n"]
+    offsets = df.sparkSession.createDataFrame(starts, "_p int, _s long")
+    before = F.sum("_w").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn("_b", F.coalesce(before, F.lit(0))).join(F.broadcast(offsets), "_p").withColumn(out, F.col("_s") + F.col("_b")).drop("_p", "_w", "_s", "_b")
+
+
 def with_rank(df: DataFrame, *order, out: str = "rank", by: str = "graph_id") -> DataFrame:
     """``df`` and the dense position (from 0) of each row among those of its graph, in the given order.
 

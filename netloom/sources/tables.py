@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from netloom.model import Graph, symmetric
-from netloom.plans.ordering import with_position
-from netloom.session import discard, table
+from netloom.plans.ordering import with_offset, with_position
+from netloom.session import discard, materialize, table
 
 #: name -> (key column, filter)
 LINE_GRAPHS = {
@@ -40,19 +40,34 @@ def pairs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def from_pairs(p: DataFrame, graph_id: int = 0) -> Graph:
-    """Re-index the keys of (a, b) pairs to dense ids."""
-    keys = p.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    index = with_position(keys, "key")
-    v = index.select(F.lit(graph_id).cast("long").alias("graph_id"), "id", F.struct("key").alias("payload"))
-    e = p.join(index.select(F.col("key").alias("a"), F.col("id").alias("src")), "a").join(index.select(F.col("key").alias("b"), F.col("id").alias("dst")), "b")
-    return Graph(v, symmetric(e.select(F.lit(graph_id).cast("long").alias("graph_id"), "src", "dst")))
+    """Re-index the integer keys of distinct (a, b) pairs to dense ids, both tables written to the shared folder.
+
+    A key's id is its rank. Ranks are kept for blocks of 64 consecutive keys, a bit for each key that occurs and the rank
+    of the first, so that an index of dense keys is small enough to go to every task, and pairs are not shuffled for it.
+    One direction of the edges is written, the other one made as they are read.
+    """
+    p = materialize(p)
+    bit = "cast({0} & 63 as int)"
+    keys = p.select(F.explode(F.array("a", "b")).alias("key"))
+    blocks = keys.groupBy(F.shiftright("key", 6).alias("block")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit.format('key')})")).alias("mask"))
+    index = materialize(with_offset(blocks, F.bit_count("mask"), "block", out="first"))
+    rank = "{1}.first + bit_count({1}.mask & ~shiftleft(-1L, {0}))"
+    of = F.lit(graph_id).cast("long").alias("graph_id")
+    there = index.select("*", F.explode(F.expr("filter(sequence(0, 63), i -> shiftright(mask, i) & 1 = 1)")).alias("i")).alias("x")
+    v = materialize(there.select(of, F.expr(rank.format("i", "x")).alias("id"), F.struct(F.expr("shiftleft(block, 6) + i").alias("key")).alias("payload")))
+    e = p.join(index.alias("s"), F.shiftright("a", 6) == F.col("s.block")).join(index.alias("d"), F.shiftright("b", 6) == F.col("d.block"))
+    half = materialize(e.select(of, F.expr(rank.format(bit.format("a"), "s")).alias("src"), F.expr(rank.format(bit.format("b"), "d")).alias("dst")))
+    discard(p, index)
+    edges = symmetric(half)
+    edges._netloom_path = half._netloom_path
+    return Graph(v, edges)
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> Graph:
     """The named graph, built once for each session and folder."""
     at = (spark.sparkContext.applicationId, sf_dir, name)
     if at not in _built:
-        _built[at] = from_pairs(pairs(spark, sf_dir, name)).materialized()
+        _built[at] = from_pairs(pairs(spark, sf_dir, name))
     return _built[at]
 
 
