@@ -139,16 +139,23 @@ def transitivity(graph: Graph) -> DataFrame:
     """Closed two-paths over two-paths; NaN without a two-path.
 
     Edges point from the lower to the higher degree, so that the wedges of a
-    hub are not listed: each triangle is found once, at its lowest vertex.
+    hub are not listed: each triangle is found once, at its lowest vertex. To
+    every neighbour a vertex sends those that follow it in this order, one list
+    an edge in place of a row a wedge; a neighbour counts what it shares of it.
     """
-    d = degrees(graph)
+    d = materialize(degrees(graph))
     paths = d.groupBy("graph_id").agg(F.sum(F.col("degree") * (F.col("degree") - 1)).alias("paths"))
-    e = graph.topology().join(d.withColumnsRenamed({"id": "src", "degree": "ds"}), ["graph_id", "src"]).join(d.withColumnsRenamed({"id": "dst", "degree": "dd"}), ["graph_id", "dst"])
-    up = e.where("ds < dd or (ds = dd and src < dst)").select("graph_id", "src", "dst", "dd")
-    a, b = up.select("graph_id", "src", F.col("dst").alias("x"), F.col("dd").alias("dx")), up.select("graph_id", "src", F.col("dst").alias("y"), F.col("dd").alias("dy"))
-    wedge = a.join(b, ["graph_id", "src"]).where("dx < dy or (dx = dy and x < y)")
-    closed = wedge.join(up.select("graph_id", F.col("src").alias("x"), F.col("dst").alias("y")), ["graph_id", "x", "y"], "left_semi")
-    triangles = closed.groupBy("graph_id").agg(F.count(F.lit(1)).alias("t"))
+    kind = "int" if (d.agg(F.max("id")).first()[0] or 0) < 1 << 31 else "long"
+    end = lambda c: d.select("graph_id", F.col("id").alias(c), F.struct("degree", F.col("id").cast(kind).alias("id")).alias(f"{c}_at")).hint("shuffle_hash")
+    e = graph.canonical.select("graph_id", "src", "dst").join(end("src"), ["graph_id", "src"]).join(end("dst"), ["graph_id", "dst"])
+    up = e.select("graph_id", F.least("src_at", "dst_at")["id"].alias("low"), F.greatest("src_at", "dst_at").alias("high")).repartition("graph_id", "low")
+    of = F.struct("graph_id", F.col("low").alias("id")).alias("of")
+    lists = materialize(up.groupBy("graph_id", "low").agg(F.transform(F.sort_array(F.collect_list("high")), lambda x: x["id"]).alias("above")).select(of, "above"))
+    each = lists.select(F.col("of.graph_id").alias("graph_id"), F.col("of.id").alias("low"), "above", F.posexplode("above").alias("k", "id")).where(F.col("k") < F.size("above") - 1)
+    sent = each.select(F.struct("graph_id", "id").alias("of"), "low", F.slice("above", F.col("k") + 2, F.size("above")).alias("rest"))
+    hubs = hot_keys(d.select(F.struct("graph_id", F.col("id").cast(kind).alias("id")).alias("of"), F.col("degree").alias("n")), "of")
+    both = spread_join(sent, lists.hint("shuffle_hash"), "of", hubs, "low")
+    triangles = both.groupBy("of.graph_id").agg(F.sum(F.size(F.array_intersect("rest", "above"))).alias("t"))
     both = paths.join(triangles, "graph_id", "left")
     return both.select("graph_id", F.when(F.col("paths") == 0, F.lit(float("nan"))).otherwise(6.0 * F.coalesce("t", F.lit(0)) / F.when(F.col("paths") != 0, F.col("paths"))).alias("transitivity"))
 
