@@ -21,6 +21,9 @@ from netloom.plans.ordering import with_rank
 from netloom.plans.skew import hot_keys, spread_join
 from netloom.session import Levels, discard, materialize
 
+#: Edges of a connected component that is searched in a task, and of all that one task takes at once.
+FEW_EDGES = 1 << 18
+
 
 def average_degree(graph: Graph) -> DataFrame:
     """2E/V in single precision."""
@@ -186,42 +189,61 @@ def _upwards(rows: DataFrame, deepest: int, own: dict, merge: dict) -> DataFrame
     return levels.read().drop("level")
 
 
-def vertex_biconnected_components(graph: Graph, skip_bridges: bool = False, in_tasks: bool = False) -> DataFrame:
-    """graph_id, rank, size: sizes of biconnected components, descending; bridges have size 2.
+def _biconnected_over_tables(graph: Graph) -> DataFrame:
+    """graph_id, label, size of every biconnected component.
 
-    Over tables by a breadth-first forest (after Tarjan and Vishkin 1985, and
+    By a breadth-first forest (after Tarjan and Vishkin 1985, and
     Dong et al. 2023): vertices are numbered in preorder, so a subtree is an
     interval; low and high are the least and greatest number that a subtree's
     other edges lead to. A tree edge whose lower end leads nowhere outside the
     subtree of its upper end separates; without such edges the components that
     are left, each with the parent of its top, are the biconnected ones. Other
     edges never join a vertex to its ancestor, since the forest is breadth-first.
+    """
+    tree, deepest = _search_tree(graph)
+    sized = _upwards(tree, deepest, {"size": F.lit(1).cast("long")}, {"size": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0)))})
+    left = F.sum("size").over(Window.partitionBy("graph_id", "parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    sized = materialize(sized.withColumn("offset", F.when(F.col("depth") > 0, 1 + F.coalesce(left, F.lit(0))).otherwise(F.lit(0)).cast("long")))
+    levels = Levels(graph.vertices.sparkSession, "level")
+    above = levels.write(sized.where("depth = 0").withColumn("number", F.lit(0).cast("long")), 0)
+    for d in range(1, deepest + 1):
+        upper = above.select("graph_id", F.col("id").alias("parent"), F.col("number").alias("upper"))
+        above = levels.write(sized.where(F.col("depth") == d).join(upper, ["graph_id", "parent"]).select(*sized.columns, (F.col("upper") + F.col("offset")).alias("number")), d)
+    numbered = levels.read().select("graph_id", "id", "depth", "parent", "size", "number")
+    ends = lambda c: numbered.select("graph_id", F.col("id").alias(c), F.coalesce("parent", F.lit(-1)).alias(f"{c}_parent"), F.col("number").alias(f"{c}_number"))
+    cross = materialize(graph.topology().join(ends("src"), ["graph_id", "src"]).join(ends("dst"), ["graph_id", "dst"]).where("src <> dst_parent and dst <> src_parent"))
+    reach = cross.groupBy("graph_id", F.col("src").alias("id")).agg(F.min("dst_number").alias("least"), F.max("dst_number").alias("most"))
+    rows = materialize(numbered.join(reach, ["graph_id", "id"], "left"))
+    spanned = _upwards(rows, deepest, {"low": F.least("number", "least"), "high": F.greatest("number", "most")}, {"low": (F.min, F.least), "high": (F.max, F.greatest)})
+    upper = numbered.select("graph_id", F.col("id").alias("parent"), F.col("number").alias("first"), (F.col("number") + F.col("size") - 1).alias("last"))
+    kept = spanned.join(upper, ["graph_id", "parent"]).where("low < first or high > last").select("graph_id", F.col("id").alias("src"), F.col("parent").alias("dst"))
+    skeleton = Graph(graph.vertices.select("graph_id", "id"), materialize(symmetric(kept).unionByName(cross.select("graph_id", "src", "dst"))))
+    found = labels(skeleton).join(numbered.select("graph_id", "id", "depth"), ["graph_id", "id"]).groupBy("graph_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("depth").alias("top"))
+    return found.where("top > 0").select("graph_id", "label", (F.col("n") + 1).alias("size"))
+
+
+def vertex_biconnected_components(graph: Graph, skip_bridges: bool = False, in_tasks: bool = False) -> DataFrame:
+    """graph_id, rank, size: sizes of biconnected components, descending; bridges have size 2.
+
+    Connected components of up to ``FEW_EDGES`` edges are dealt to tasks, as many to each as have that many edges together,
+    and searched there after Hopcroft and Tarjan; larger ones go over tables, where rounds follow the depth of a forest.
 
     ``in_tasks`` runs Hopcroft and Tarjan's sequential search, one task for each graph.
     """
     if in_tasks:
         sizes = small.biconnected(graph)
     else:
-        tree, deepest = _search_tree(graph)
-        sized = _upwards(tree, deepest, {"size": F.lit(1).cast("long")}, {"size": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0)))})
-        left = F.sum("size").over(Window.partitionBy("graph_id", "parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-        sized = materialize(sized.withColumn("offset", F.when(F.col("depth") > 0, 1 + F.coalesce(left, F.lit(0))).otherwise(F.lit(0)).cast("long")))
-        levels = Levels(graph.vertices.sparkSession, "level")
-        above = levels.write(sized.where("depth = 0").withColumn("number", F.lit(0).cast("long")), 0)
-        for d in range(1, deepest + 1):
-            upper = above.select("graph_id", F.col("id").alias("parent"), F.col("number").alias("upper"))
-            above = levels.write(sized.where(F.col("depth") == d).join(upper, ["graph_id", "parent"]).select(*sized.columns, (F.col("upper") + F.col("offset")).alias("number")), d)
-        numbered = levels.read().select("graph_id", "id", "depth", "parent", "size", "number")
-        ends = lambda c: numbered.select("graph_id", F.col("id").alias(c), F.coalesce("parent", F.lit(-1)).alias(f"{c}_parent"), F.col("number").alias(f"{c}_number"))
-        cross = materialize(graph.topology().join(ends("src"), ["graph_id", "src"]).join(ends("dst"), ["graph_id", "dst"]).where("src <> dst_parent and dst <> src_parent"))
-        reach = cross.groupBy("graph_id", F.col("src").alias("id")).agg(F.min("dst_number").alias("least"), F.max("dst_number").alias("most"))
-        rows = materialize(numbered.join(reach, ["graph_id", "id"], "left"))
-        spanned = _upwards(rows, deepest, {"low": F.least("number", "least"), "high": F.greatest("number", "most")}, {"low": (F.min, F.least), "high": (F.max, F.greatest)})
-        upper = numbered.select("graph_id", F.col("id").alias("parent"), F.col("number").alias("first"), (F.col("number") + F.col("size") - 1).alias("last"))
-        kept = spanned.join(upper, ["graph_id", "parent"]).where("low < first or high > last").select("graph_id", F.col("id").alias("src"), F.col("parent").alias("dst"))
-        skeleton = Graph(graph.vertices.select("graph_id", "id"), materialize(symmetric(kept).unionByName(cross.select("graph_id", "src", "dst"))))
-        found = labels(skeleton).join(numbered.select("graph_id", "id", "depth"), ["graph_id", "id"]).groupBy("graph_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("depth").alias("top"))
-        sizes = found.where("top > 0").select("graph_id", "label", (F.col("n") + 1).alias("size"))
+        found = labels(graph).select("graph_id", F.col("id").alias("src"), "label")
+        edges = materialize(graph.canonical.select("graph_id", "src", "dst").join(found, ["graph_id", "src"]))
+        counts = edges.groupBy("graph_id", "label").agg(F.count(F.lit(1)).alias("n"))
+        large = materialize(counts.where(F.col("n") > FEW_EDGES).select("graph_id", "label"))
+        of = ["graph_id", "label"]
+        bins = -(-edges.count() // max(1, FEW_EDGES))
+        sizes = small.biconnected_of_components(edges.join(large, of, "left_anti").withColumn("bin", F.pmod(F.xxhash64(*of), F.lit(max(1, bins)))))
+        if large.limit(1).count():
+            part = edges.join(large, of, "left_semi").select("graph_id", "src", "dst")
+            ids = part.select("graph_id", F.explode(F.array("src", "dst")).alias("id")).distinct()
+            sizes = sizes.unionByName(_biconnected_over_tables(Graph(ids, symmetric(part)).materialized()))
     if skip_bridges:
         sizes = sizes.where("size > 2")
     return with_rank(sizes, F.desc("size"), "label").select("graph_id", "rank", "size")

@@ -103,3 +103,16 @@ def biconnected(graph: Graph) -> DataFrame:
         return {"label": list(range(len(sizes))), "size": sizes}
 
     return per_graph(graph, "label long, size long", f)
+
+
+def biconnected_of_components(edges: DataFrame) -> DataFrame:
+    """graph_id, label, size of every biconnected component, from the edges (bin, graph_id, label, src, dst) of whole components, one task for each bin."""
+
+    def run(t):
+        of: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for g, label, a, b in zip(*(t.column(c).to_pylist() for c in ("graph_id", "label", "src", "dst")), strict=True):
+            of.setdefault((g, label), []).append((a, b))
+        rows = [(g, label, n) for (g, label), part in of.items() for n in kernels.biconnected_sizes(part)]
+        return pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("graph_id", "label", "size"))})
+
+    return edges.groupBy("bin").applyInArrow(run, "graph_id long, label long, size long")
